@@ -292,6 +292,19 @@ def quantiles(
     return got.select(*keys, "n", *cols)
 
 
+def attach(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = 100_000) -> DataFrame:
+    """Join a per-group table to its rows.
+
+    Up to ``limit`` rows of ``small`` are fetched and broadcast, which leaves
+    ``rows`` where they are.  A larger table is joined by shuffle.
+    """
+    found = small.limit(limit + 1).collect()
+    if len(found) > limit:
+        return rows.join(small, list(on), how)
+    local = rows.sparkSession.createDataFrame([tuple(r) for r in found], small.schema)
+    return rows.join(F.broadcast(local), list(on), how)
+
+
 def hash_bottom(
     df: DataFrame,
     group: str,
@@ -307,28 +320,46 @@ def hash_bottom(
     so no task orders a whole group.  Adds ``out`` and the group size ``n``.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")))
-    rows = df.withColumn("__h", digest)
-    prefix = F.substring("__h", 1, 3)
-    counts = rows.groupBy(group, prefix.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    rows = df.withColumn("__h", digest).withColumn("__p", F.substring("__h", 1, 3))
+    counts = rows.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__c"))
     over = Window.partitionBy(group)
     stepped = counts.withColumn("__hi", F.sum("__c").over(over.orderBy("__p"))).withColumn("n", F.sum("__c").over(over))
-    stepped = stepped.withColumn("__k", quota(F.col("n"), F.col(group)))
-    sizes = counts.groupBy(group).agg(F.sum("__c").alias("n"))
-    edge = stepped.where((F.col("__hi") - F.col("__c") < F.col("__k")) & (F.col("__k") <= F.col("__hi"))).select(
-        group, "__p", (F.col("__k") - F.col("__hi") + F.col("__c")).alias("__need")
+    stepped = stepped.withColumn("__k", quota(F.col("n"), F.col(group)).cast("long"))
+    at_edge = (F.col("__hi") - F.col("__c") < F.col("__k")) & (F.col("__k") <= F.col("__hi"))
+    edge = stepped.groupBy(group).agg(
+        F.max("n").alias("n"),
+        F.max("__k").alias("__k"),
+        F.max(F.when(at_edge, F.col("__p"))).alias("__p"),
+        F.max(F.when(at_edge, F.col("__k") - F.col("__hi") + F.col("__c"))).alias("__need"),
     )
-    near = rows.select(group, "__h", prefix.alias("__p")).join(edge, [group, "__p"])
+    near = attach(rows.select(group, "__h", "__p"), edge.select(group, "__p", "__need"), [group, "__p"], "inner")
     cut = (
         near.withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__p").orderBy("__h")))
         .where(F.col("__rn") == F.col("__need"))
         .select(group, F.col("__h").alias("__cut"))
     )
-    marks = sizes.join(cut, group, "left").withColumn(
-        "__cut", F.coalesce("__cut", F.when(quota(F.col("n"), F.col(group)) >= F.col("n"), F.lit("g")))
-    )
-    return rows.join(marks, group, "left").withColumn(out, F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False))).drop(
-        "__h", "__cut"
+    everything = F.when(F.col("__k") >= F.col("n"), F.lit("g"))
+    marks = edge.join(cut, group, "left").select(group, "n", F.coalesce("__cut", everything).alias("__cut"))
+    chosen = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False))
+    return attach(rows, marks, [group]).withColumn(out, chosen).drop("__h", "__p", "__cut")
+
+
+def rank_by_text(rows: DataFrame, group: str, key: str, rows_per_task: int = ROWS_PER_TASK) -> "Ordered":
+    """Rank (``__rn``) and size (``__n``) per group by a text key.
+
+    The order column is a number made of the six bytes that follow the prefix
+    all keys of the group share; the key itself breaks ties.
+    """
+    ends = rows.groupBy(group).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    same = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.length("__lo"), F.lit(1))),
+        lambda i: F.substring("__lo", F.lit(1), i) == F.substring("__hi", F.lit(1), i),
     )
+    shared = ends.select(group, F.size(same).alias("__skip"))
+    tail = F.encode(F.substring(key, F.col("__skip") + 1, F.lit(6)), "UTF-8")
+    image = F.conv(F.rpad(F.substring(F.hex(tail), 1, 12), 12, "0"), 16, 10).cast("long")
+    placed = attach(rows, shared, [group]).withColumn("__image", image).drop("__skip")
+    return Ordered(placed, [group], "__image", [key], rows_per_task).row_number("__rn", total="__n").drop("__image")
 
 
 def salted_join(
