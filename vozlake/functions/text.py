@@ -171,3 +171,8 @@ def fixed(value: Column, digits: int) -> Column:
     steps = low + F.when(up, 1).otherwise(0)
     full = whole + F.floor(steps / F.lit(10**digits))
     return F.concat(full.cast("string"), F.lit("."), F.lpad((steps % F.lit(10**digits)).cast("string"), digits, "0"))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """``round`` on the exact binary value with ties to even, as a double; negative values keep their sign."""
+    return F.signum(value) * fixed(F.abs(value), digits).cast("double")

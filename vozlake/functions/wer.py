@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vozlake.functions.text import normalize_for_wer, unicode_words
 
-# Pairs with at most this many different words are compared as strings of one
-# character per word; longer pairs go through the vectorised function below.
-SHORT_VOCABULARY = 512
-OPS_TYPE = "array<struct<op:string,ref:string,hyp:string>>"
+# Pairs with at most this many words are compared as strings of one character
+# per word; longer pairs go through the vectorised function below.
+SHORT_PAIR = 512
+OPS_TYPE = T.ArrayType(
+    T.StructType([T.StructField("op", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())])
+)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, even when ``body`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _codes(words: Column, vocabulary: Column) -> Column:
@@ -95,7 +105,7 @@ def word_operations(ref: list[str], hyp: list[str]) -> list[dict]:
     return out[::-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _long_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     pairs = [None if a is None or b is None else word_distance(list(a), list(b)) for a, b in zip(ref, hyp)]
     return pd.Series(pairs, dtype="Int32")
@@ -108,27 +118,27 @@ def _operations(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 def edit_distance(ref: Column, hyp: Column) -> Column:
     """Word edit distance between two token arrays."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    short = F.size(vocabulary) <= SHORT_VOCABULARY
-    quick = F.levenshtein(_codes(F.when(short, ref), vocabulary), _codes(F.when(short, hyp), vocabulary))
-    slow = _long_distance(F.when(~short, ref), F.when(~short, hyp))
-    return F.coalesce(quick, slow)
+
+    def quick(pair: Column) -> Column:
+        vocabulary = F.array_distinct(F.concat(pair["r"], pair["h"]))
+        return let(vocabulary, lambda v: F.levenshtein(_codes(pair["r"], v), _codes(pair["h"], v)))
+
+    short = F.size(ref) + F.size(hyp) <= SHORT_PAIR
+    near = let(F.when(short, F.struct(ref.alias("r"), hyp.alias("h"))), lambda p: F.when(p.isNotNull(), quick(p)))
+    return F.coalesce(near, _long_distance(F.when(~short, ref), F.when(~short, hyp)))
+
+
+def wer_tokens(text: Column) -> Column:
+    return F.filter(F.split(normalize_for_wer(text), " "), lambda w: w != "")
 
 
-def wer(ref_text: Column, hyp_text: Column, empty_hypothesis_is_error: bool = False) -> Column:
-    """Edit distance over reference words; may exceed 1.
+def rate(ref: Column, hyp: Column) -> Column:
+    """Edit distance over reference words of two token arrays; may exceed 1.
 
     An empty reference scores 0 against an empty hypothesis and 1 otherwise.
-    With ``empty_hypothesis_is_error`` an empty hypothesis always scores 1.
     """
-    words = lambda t: F.filter(F.split(normalize_for_wer(t), " "), lambda w: w != "")
-    ref, hyp = words(ref_text), words(hyp_text)
-    rate = edit_distance(ref, hyp) / F.size(ref)
     empty_ref = F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)
-    score = F.when(F.size(ref) == 0, empty_ref).otherwise(rate)
-    if empty_hypothesis_is_error:
-        score = F.when(F.coalesce(hyp_text, F.lit("")) == "", 1.0).otherwise(score)
-    return score
+    return F.when(F.size(ref) == 0, empty_ref).otherwise(edit_distance(ref, hyp) / F.size(ref))
 
 
 def alignment(ref_text: Column, hyp_text: Column) -> Column:

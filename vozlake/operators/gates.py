@@ -179,7 +179,7 @@ def curation_progress(resolved: DataFrame) -> DataFrame:
         F.count_if(F.col("edited")).cast("double").alias("reviewed"),
         F.count_if(F.col("keep")).cast("double").alias("keep"),
         F.count_if(~F.col("keep")).cast("double").alias("drop"),
-        F.round(F.sum(F.when(F.col("keep"), F.coalesce(F.col("dur_s"), F.lit(0.0)))) / 60, 1).alias("minutes_kept"),
+        tx.rounded(F.sum(F.when(F.col("keep"), F.coalesce(F.col("dur_s"), F.lit(0.0)))) / 60, 1).alias("minutes_kept"),
     )
     names = ["total", "reviewed", "keep", "drop", "minutes_kept"]
     rows = totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("x")).select("x.*")

@@ -113,10 +113,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ratings": (
         (),
         """SELECT 'run' || (user_id % 12)::VARCHAR AS run, 'it' || (event_id % 40)::VARCHAR AS id, epoch_us(ts) // 1000 AS ts, event_id AS seq,
-        CASE WHEN event_id % 9 <> 0 THEN (value::BIGINT % 5 + 1)::INTEGER END AS geral,
-        CASE WHEN event_id % 4 <> 0 THEN ((value * 3)::BIGINT % 5 + 1)::INTEGER END AS nativo,
-        CASE WHEN event_id % 5 <> 0 THEN ((value * 7)::BIGINT % 5 + 1)::INTEGER END AS "natural",
-        CASE WHEN event_id % 3 = 0 THEN ((value * 11)::BIGINT % 5 + 1)::INTEGER END AS voz,
+        CASE WHEN event_id % 9 <> 0 THEN (floor(value)::BIGINT % 5 + 1)::INTEGER END AS geral,
+        CASE WHEN event_id % 4 <> 0 THEN (floor(value * 3)::BIGINT % 5 + 1)::INTEGER END AS nativo,
+        CASE WHEN event_id % 5 <> 0 THEN (floor(value * 7)::BIGINT % 5 + 1)::INTEGER END AS "natural",
+        CASE WHEN event_id % 3 = 0 THEN (floor(value * 11)::BIGINT % 5 + 1)::INTEGER END AS voz,
         CASE WHEN event_id % 6 <> 0 THEN value > 40 END AS parou, CASE WHEN event_id % 2 = 0 THEN event_type END AS problema,
         CASE WHEN event_id % 7 = 0 THEN event_type END AS marker_tag FROM events""",
     ),
@@ -266,7 +266,7 @@ def frames(t: Tables) -> DataFrame:
 
 def ratings(t: Tables) -> DataFrame:
     e, v = F.col("event_id"), F.col("value")
-    score = lambda x: (F.round(x).cast("long") % 5 + 1).cast("int")
+    score = lambda x: (F.floor(x).cast("long") % 5 + 1).cast("int")
     return t.events.select(
         F.concat(F.lit("run"), (F.col("user_id") % 12).cast("string")).alias("run"),
         F.concat(F.lit("it"), (e % 40).cast("string")).alias("id"),
