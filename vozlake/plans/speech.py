@@ -209,7 +209,7 @@ def covered_clips(t):
 
 @query(
     "sentences",
-    using("turns", body=rf"""SELECT turn_id, md5(s) AS sentence_md5, count(*) AS n FROM (SELECT turn_id, {s_strip("unnest(string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1)))")} AS s FROM turns) WHERE s <> '' GROUP BY 1, 2"""),
+    using("turns", body=rf"""SELECT turn_id, md5(s) AS sentence_md5, count(*) AS n FROM (SELECT turn_id, {s_strip(r"unnest(string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1)))")} AS s FROM turns) WHERE s <> '' GROUP BY 1, 2"""),
 )
 def sentences(t):
     got = roles.turns(t).select("turn_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
@@ -303,9 +303,9 @@ _TL = """tl AS (SELECT turn_id, k, ch, n, dur_s, k * (dur_s / n) AS s, (k + 1) *
         ov AS (SELECT marker, ch, k, s, least(e, t1) - greatest(s, t0) AS o FROM mkr JOIN tl USING (turn_id) WHERE s < t1 AND e > t0)"""
 
 
-@query("phone_timeline", using("turns", body=f"WITH {_TL} SELECT turn_id AS clip_id, k AS pos, ch AS phone, round(s, 6) AS \"start\", round(e, 6) AS \"end\" FROM tl"))
+@query("phone_timeline", using("turns", body=f"WITH {_TL} SELECT turn_id AS clip_id, k AS pos, ch AS phone, s AS \"start\", e AS \"end\" FROM tl"))
 def phone_timeline(t):
-    return timeline(t).select("clip_id", "pos", "phone", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return timeline(t).select("clip_id", "pos", "phone", "start", "end")
 
 
 @query("marker_overlaps", using("turns", body=f"WITH {_TL} SELECT marker, count(*) AS phones, round(sum(o), 6) AS seconds FROM ov GROUP BY 1"))
