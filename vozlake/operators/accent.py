@@ -56,11 +56,11 @@ def labelled(rows: DataFrame) -> DataFrame:
     return out.join(F.broadcast(weights), "label")
 
 
-def models(forest: bool = True) -> dict[str, object]:
+def models(forest: bool = True, trees: int = 200) -> dict[str, object]:
     """Logistic regression (ridge, C = 1) and a random forest, both on balanced classes."""
-    out = {"LR": LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=0.001, elasticNetParam=0.0, maxIter=1000, standardization=False)}
+    out = {"LR": LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=0.001, elasticNetParam=0.0, maxIter=100, standardization=False)}
     if forest:
-        out["RF"] = RandomForestClassifier(featuresCol="scaled", weightCol="weight", numTrees=50, maxDepth=8, minInstancesPerNode=5, seed=42)
+        out["RF"] = RandomForestClassifier(featuresCol="scaled", weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=5, seed=42)
     return out
 
 
@@ -91,7 +91,7 @@ def _hashed_fold(key: Column, folds: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
-def cross_domain(human: DataFrame, tts: DataFrame, row_id: str, speaker: str = "speaker_id", folds: int = 5, forest: bool = True) -> DataFrame:
+def cross_domain(human: DataFrame, tts: DataFrame, row_id: str, speaker: str = "speaker_id", folds: int = 5, forest: bool = True, trees: int = 200) -> DataFrame:
     """Macro-F1 of human→human (folds by speaker), human→tts, tts→tts (folds by row) and tts→human."""
     spark = human.sparkSession
     h, t = labelled(human).cache(), labelled(tts).cache()
@@ -106,7 +106,7 @@ def cross_domain(human: DataFrame, tts: DataFrame, row_id: str, speaker: str = "
     else:
         fold = _hashed_fold(F.col(speaker), used)
     rows = []
-    for name, model in models(forest).items():
+    for name, model in models(forest, trees).items():
         on_h, on_t = fit(h, model), fit(t, model)
         tests = {
             "HH": _cross_validated(h, model, fold, used),

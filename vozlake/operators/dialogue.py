@@ -132,33 +132,43 @@ def session_minutes(items: DataFrame) -> DataFrame:
     return items.agg(F.count(F.lit(1)).alias("items"), (F.sum(estimate_of(F.col("kind"))) / 60).alias("minutes"))
 
 
+def each_with_each(cards: DataFrame, anchors: DataFrame, small: int = 10_000) -> DataFrame:
+    """Every card with every anchor line (the product is the plan itself).
+
+    Up to ``small`` anchors are broadcast.  More are dealt into buckets, and each
+    card visits every bucket, so no task holds the whole anchor list.
+    """
+    n = anchors.count()
+    if n <= small:
+        return cards.withColumn("__k", F.lit(0)).join(F.broadcast(anchors.withColumn("__k", F.lit(0))), "__k").drop("__k")
+    k = -(-n // small)
+    visits = cards.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return visits.join(anchors.withColumn("__k", F.pmod(F.xxhash64("anchor_id"), F.lit(k)).cast("int")), "__k").drop("__k")
+
+
 def emotion_prompts(cards: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per style: the shared anchor lines, the style's own lines at each intensity, one free talk.
 
-    ``cards`` has style, direction, intensities, sentences and seq; ``anchors``
-    has id, text and seq.  The anchor list is the same for every style, so it is
-    carried as one array per card instead of a cross join.
+    ``cards`` has seq, style, direction, intensities and sentences; ``anchors``
+    has seq, id and text.
     """
-    listed = anchors.agg(F.sort_array(F.collect_list(F.struct("seq", "id", "text"))).alias("anchors"))
-    base = cards.crossJoin(F.broadcast(listed))
-    item = lambda block, n, id_, kind, text, intensity, direction: F.struct(
-        F.lit(block).alias("block"), n.alias("n"), id_.alias("id"), F.lit(kind).alias("kind"), text.alias("text"), intensity.alias("intensity"), direction.alias("direction")
-    )
+    ranked = Ordered(anchors.select(F.col("seq").alias("a_seq"), F.col("id").alias("anchor_id"), F.col("text").alias("a_text")), [], "a_seq").row_number("a_n").df
     s, d = F.col("style"), F.col("direction")
-    one = F.transform("anchors", lambda a, i: item(1, i, F.concat(F.lit("emo_"), s, F.lit("_anchor_"), a["id"].cast("string")), "emocao", a["text"], F.lit("media"), d))
-    width = F.size("sentences")
-    two = F.flatten(
-        F.transform(
-            "intensities",
-            lambda level, j: F.transform(
-                "sentences",
-                lambda text, k: item(2, j * width + k, F.concat(F.lit("emo_"), s, F.lit("_"), level, F.lit("_"), F.lpad(k.cast("string"), 2, "0")), "emocao", text, level, F.concat(d, F.lit(" Intensidade: "), level, F.lit("."))),
-            ),
+
+    def item(rows: DataFrame, block: int, n: Column, id_: Column, kind: str, text: Column, level: Column, direction: Column) -> DataFrame:
+        return rows.select(
+            "seq", s, F.lit(block).alias("block"), n.cast("long").alias("n"), id_.alias("id"), F.lit(kind).alias("kind"), text.alias("text"),
+            level.alias("intensity"), direction.alias("direction"), F.lit(ESTIMATES["monologo" if kind == "monologo" else "emotion"]).alias("est_s"),
         )
-    )
-    three = F.array(item(3, F.lit(0), F.concat(F.lit("emo_"), s, F.lit("_freeform")), "monologo", F.concat(F.lit("[IMPROVISO 2–3min no estilo "), s, F.lit("]")), F.lit("media"), d))
-    rows = base.select("seq", s, F.explode(F.concat(one, two, three)).alias("x")).select("seq", "style", "x.*")
-    return rows.withColumn("est_s", F.when(F.col("kind") == "monologo", ESTIMATES["monologo"]).otherwise(ESTIMATES["emotion"]))
+
+    first = each_with_each(cards.drop("sentences", "intensities"), ranked)
+    one = item(first, 1, F.col("a_n") - 1, F.concat(F.lit("emo_"), s, F.lit("_anchor_"), F.col("anchor_id").cast("string")), "emocao", F.col("a_text"), F.lit("media"), d)
+    levels = cards.select("*", F.posexplode("intensities").alias("j", "level"))
+    lines = levels.select("*", F.size("sentences").alias("width"), F.posexplode("sentences").alias("k", "line"))
+    own = F.concat(F.lit("emo_"), s, F.lit("_"), "level", F.lit("_"), F.lpad(F.col("k").cast("string"), F.greatest(F.lit(2), F.length(F.col("k").cast("string"))), F.lit("0")))
+    two = item(lines, 2, F.col("j") * F.col("width") + F.col("k"), own, "emocao", F.col("line"), F.col("level"), F.concat(d, F.lit(" Intensidade: "), "level", F.lit(".")))
+    three = item(cards, 3, F.lit(0), F.concat(F.lit("emo_"), s, F.lit("_freeform")), "monologo", F.concat(F.lit("[IMPROVISO 2–3min no estilo "), s, F.lit("]")), F.lit("media"), d)
+    return one.unionByName(two).unionByName(three)
 
 
 def accent_prompts(cards: DataFrame) -> DataFrame:

@@ -20,25 +20,26 @@ def walk(
     keys: Sequence[str],
     order: Sequence[str],
     inputs: Sequence[str],
-    step: Callable[[tuple | None, tuple], tuple[tuple, bool]],
+    step: Callable[[tuple | None, tuple], tuple[tuple, object]],
     out: str,
+    kind: T.DataType = T.BooleanType(),
 ) -> DataFrame:
-    """Add the boolean ``out`` that ``step(state, values) -> (state, flag)`` gives for each row.
+    """Add the column ``out`` that ``step(state, values) -> (state, value)`` gives for each row.
 
     ``state`` is None at the first row of a run (a combination of ``keys``).
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     keys, inputs = list(keys), list(inputs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            flags = []
+            values_out = []
             for key, values in zip(zip(*[batch[k] for k in keys]), zip(*[batch[c] for c in inputs])):
                 if key != current:
                     current, state = key, None
-                state, flag = step(state, values)
-                flags.append(flag)
-            yield batch.assign(**{out: flags})
+                state, value = step(state, values)
+                values_out.append(value)
+            yield batch.assign(**{out: values_out})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -284,7 +284,7 @@ def _accent_sets(t):
 
 @query("accent_cross_domain")
 def accent_cross_domain(t):
-    return ac.cross_domain(*_accent_sets(t), "vec_id")
+    return ac.cross_domain(*_accent_sets(t), "vec_id", trees=20)
 
 
 @query("accent_error_direction")
