@@ -7,10 +7,9 @@ that matches wins; letters without a rule are silent.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,62 +54,78 @@ def rules(edges_match: bool = True) -> list[tuple[str, str]]:
 
 
 class Speller:
-    """Rules compiled into one pattern."""
+    """Rules compiled into one pattern.
+
+    What a rule sees is the letter before, the next four letters and whether the
+    word starts here or one letter back, so each such view is worked out once.
+    """
 
     def __init__(self, edges_match: bool = True):
         table = rules(edges_match)
         self._phones = [phones.split() for _, phones in table]
         self._pattern = re.compile("|".join(f"({pattern})" for pattern, _ in table))
+        self._seen: dict[tuple, tuple[list[str], int]] = {}
+
+    def _at(self, word: str, i: int) -> tuple[list[str], int]:
+        view = (min(i, 2), word[i - 1 : i] if i else "", word[i : i + 4])
+        if view not in self._seen:
+            match = self._pattern.match(word, i)
+            self._seen[view] = (self._phones[match.lastindex - 1], match.end() - i) if match else ([], 1)
+        return self._seen[view]
 
     def word(self, word: str) -> list[str]:
         out: list[str] = []
-        for match in self._pattern.finditer(word):
-            out += self._phones[match.lastindex - 1]
+        i = 0
+        while i < len(word):
+            phones, used = self._at(word, i)
+            out += phones
+            i += used
         return out
 
 
-@lru_cache(maxsize=2)
-def _speller(edges_match: bool) -> Speller:
-    return Speller(edges_match)
-
-
 def text_words(text: str) -> list[str]:
     """Lower-case words; hyphens separate, other marks go."""
     return re.sub(r"[^\w ]", " ", text.lower().replace("-", " ")).split()
 
 
 def _udf(edges_match: bool):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    """Phones of single words, separated by blanks (text is cheaper to hand over than arrays)."""
+
+    @F.pandas_udf(T.StringType())
     def phones(word: pd.Series) -> pd.Series:
-        speller = _speller(edges_match)
-        return word.map(lambda w: None if w is None else speller.word(w))
+        speller = Speller(edges_match)
+        return word.map(lambda w: None if w is None else " ".join(speller.word(w)))
 
     return phones
 
 
+def _listed(spoken: Column) -> Column:
+    return F.filter(F.split(spoken, " "), lambda p: p != "")
+
+
 def word_table(texts: DataFrame, text: str = "text", edges_match: bool = True) -> DataFrame:
     """Each distinct word of a corpus once: (word, n, phones)."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "-", " "), r"[^\p{L}\p{N}_ ]", " ")
     words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
     counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("phones", _udf(edges_match)(F.col("word")))
+    return counted.withColumn("phones", _listed(_udf(edges_match)(F.col("word"))))
 
 
 def text_phones(texts: DataFrame, text: str = "text", out: str = "phones", edges_match: bool = True) -> DataFrame:
     """Add the phones of each text; a task spells every word it meets once."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @F.pandas_udf(T.StringType())
     def phones(column: pd.Series) -> pd.Series:
-        speller, known = _speller(edges_match), {}
+        speller, known = Speller(edges_match), {}
 
-        def spell(value: str | None) -> list[str]:
+        def spell(value: str | None) -> str:
             result: list[str] = []
             for word in text_words(value or ""):
                 if word not in known:
                     known[word] = speller.word(word)
                 result += known[word]
-            return result
+            return " ".join(result)
 
         return column.map(spell)
 
-    return texts.withColumn(out, phones(F.col(text)))
+    return texts.withColumn(out, _listed(phones(F.col(text))))

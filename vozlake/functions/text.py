@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # Character classes.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD_CHAR = r"[\p{L}\p{N}_]"
 NOT_WORD_CHAR = r"[^\p{L}\p{N}_]"
 
@@ -23,7 +27,7 @@ INTERRUPTED_MARK = " … [interrompido pelo usuário]"
 
 def strip(text: Column) -> Column:
     """Remove white space at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def unicode_words(text: Column) -> Column:

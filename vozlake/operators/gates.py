@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vozlake.functions import license as lic
 from vozlake.functions import text as tx
 from vozlake.operators.ordered import ROWS_PER_TASK, attach, nth, quantiles
+from vozlake.session import materialize
 
 # Flags that drop a clip even when the curator kept it.
 DROP_FLAGS = ["2 vozes", "sobreposição", "corte ruim"]
@@ -60,9 +61,27 @@ def export_gates(resolved: DataFrame, readable: str | None = None) -> DataFrame:
     return resolved.withColumn("reason", first(rules))
 
 
+def _chars(rows: DataFrame) -> Column:
+    """Characters that are spoken: the column ``chars`` when it is there, else from the text."""
+    return F.col("chars") if "chars" in rows.columns else tx.alnum_chars(F.col("text"))
+
+
+def _rate(rows: DataFrame) -> Column:
+    return F.col("dur_s") / F.greatest(_chars(rows), F.lit(1)).cast("double")
+
+
+def decisions(resolved: DataFrame, readable: str | None = None) -> DataFrame:
+    """Gate results without the texts (id, speaker, dur_s, reason, chars, text_chars), written to the shared folder.
+
+    Several sinks and reports read them, and the texts need to be looked at once only.
+    """
+    cols = ["id", "speaker", "dur_s", "reason", tx.alnum_chars(F.col("text")).alias("chars"), F.length("text").alias("text_chars")]
+    return materialize(export_gates(resolved, readable).select(*cols), "decisions")
+
+
 def duration_char_bounds(rows: DataFrame, key: str = "speaker", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per-speaker limits on seconds per character, from plain quartile elements."""
-    rate = tx.seconds_per_char(F.col("dur_s"), F.col("text"))
+    rate = _rate(rows)
     spec = {"q1": nth(lambda n: F.floor(n / 4)), "q3": nth(lambda n: F.floor(3 * n / 4))}
     timed = rows.where((F.col("dur_s").isNotNull()) & (F.col("dur_s") != 0))
     got = quantiles(timed, [key], rate, spec, rows_per_task)
@@ -76,7 +95,7 @@ def duration_char_gate(
     """Add ``rate`` and ``outlier``; speakers with fewer than ``min_rows`` rows are never outliers."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
     bounds = sizes.join(duration_char_bounds(rows, key, rows_per_task), key, "left").select(key, "lo", "hi", "__rows")
-    rate = F.when(F.col("dur_s") != 0, tx.seconds_per_char(F.col("dur_s"), F.col("text")))
+    rate = F.when(F.col("dur_s") != 0, _rate(rows))
     out = attach(rows, bounds, [key]).withColumn("rate", rate)
     wrong = (F.col("__rows") >= min_rows) & ~F.col("rate").between(F.col("lo"), F.col("hi"))
     return out.withColumn("outlier", F.coalesce(wrong, F.lit(False))).drop("__rows")
@@ -84,30 +103,39 @@ def duration_char_gate(
 
 def strict_duration_char(gated: DataFrame) -> DataFrame:
     """Turn outliers into rejects (the strict mode of the export)."""
+    size = F.col("text_chars") if "text_chars" in gated.columns else F.length("text")
     label = F.concat(
-        F.lit("outlier duração/char (gate): "), F.col("dur_s").cast("string"), F.lit("s p/ "), F.length("text").cast("string"), F.lit(" chars")
+        F.lit("outlier duração/char (gate): "), F.col("dur_s").cast("string"), F.lit("s p/ "), size.cast("string"), F.lit(" chars")
     )
     return gated.withColumn("reason", F.coalesce("reason", F.when(F.col("outlier"), label)))
 
 
-def garbage(text: Column) -> Column:
-    """Four or more tokens with at most two different ones, or one or two characters."""
-    low = tx.tokens(F.lower(text))
-    repeated = (F.size(low) >= 4) & (F.size(F.array_distinct(low)) <= 2)
-    return repeated | F.length(text).between(1, 2)
+def with_garbage(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Add whether a stripped text has four or more tokens but at most two different ones, or one or two characters.
+
+    The token array is a column of its own, because it is looked at several times.
+    """
+    low = rows.withColumn("__low", F.split(F.lower(text), f"{tx.SPACE}+"))
+    rest = low.withColumn("__rest", F.array_remove("__low", F.get("__low", F.lit(0))))
+    third = F.size(F.array_remove("__rest", F.get("__rest", F.lit(0))))
+    repeated = (F.size("__low") >= 4) & ((F.size("__rest") == 0) | (third == 0))
+    return rest.withColumn(out, repeated | F.length(text).between(1, 2)).drop("__low", "__rest")
 
 
 def auto_reasons(rows: DataFrame, rms: str | None = None, peak: str | None = None, readable: str | None = None) -> DataFrame:
     """Add ``reasons`` (all that hold, joined by ``; ``), ``dropped`` and ``suspicions``."""
-    text, dur = tx.strip(F.coalesce(F.col("text"), F.lit(""))), F.col("dur_s")
-    words = tx.token_count(text)
+    text, words, dur = F.col("__text"), F.col("__words"), F.col("dur_s")
     seconds = F.concat(tx.fixed(dur, 1), F.lit("s"))
+    # Each measure is a column of its own, so that it is taken once per row.
+    measured = rows.withColumn("__text", tx.strip(F.coalesce(F.col("text"), F.lit(""))))
+    measured = with_garbage(measured, "__text", "__garbage").withColumn("__words", tx.token_count(text)).withColumn("__seconds", seconds)
+    seconds = F.col("__seconds")
     rules = [
         (text == "", "vazio"),
         (words.between(1, 2), F.concat(F.lit("fragmento ("), words.cast("string"), F.lit(" pal)"))),
         (dur < 1.0, F.concat(F.lit("curto "), seconds)),
         (dur > 12.0, F.concat(F.lit("longo "), seconds)),
-        (garbage(text), "repetição/garbage"),
+        (F.col("__garbage"), "repetição/garbage"),
     ]
     if rms:
         rules.append((F.col(rms) < 0.004, F.concat(F.lit("quase-silêncio (rms "), tx.fixed(F.col(rms), 3), F.lit(")"))))
@@ -120,11 +148,13 @@ def auto_reasons(rows: DataFrame, rms: str | None = None, peak: str | None = Non
         (dur > 10.5, F.concat(F.lit("quase no teto ("), seconds, F.lit(")"))),
         (words > 40, F.concat(F.lit("run-on ("), words.cast("string"), F.lit(" pal)"))),
     ]
-    found = some(rules)
+    listed = measured.withColumn("__found", some(rules))
+    dropped = F.size("__found") > 0
     return (
-        rows.withColumn("reasons", F.array_join(found, "; "))
-        .withColumn("dropped", F.size(found) > 0)
-        .withColumn("suspicions", F.when(F.size(found) == 0, F.array_join(some(doubts), "; ")).otherwise(""))
+        listed.withColumn("reasons", F.array_join("__found", "; "))
+        .withColumn("dropped", dropped)
+        .withColumn("suspicions", F.when(~dropped, F.array_join(some(doubts), "; ")).otherwise(""))
+        .drop("__text", "__words", "__garbage", "__seconds", "__found")
     )
 
 

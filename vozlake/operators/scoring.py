@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vozlake.functions import wer as w
 from vozlake.operators.ordered import ROWS_PER_TASK, linear, quantiles
+from vozlake.session import materialize
 
 
 def score(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", training: bool = False) -> DataFrame:
@@ -19,9 +20,13 @@ def score(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", training: bool =
 
 
 def wer_summary(scored: DataFrame, keys: list[str] | None = None, cap: float | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Exact median, mean and number of scored rows; ``cap`` bounds only the aggregate."""
+    """Exact median, mean and number of scored rows; ``cap`` bounds only the aggregate.
+
+    The scores are written out first: they are far dearer than what follows.
+    """
     keys = keys or []
     value = F.col("wer") if cap is None else F.least(F.col("wer"), F.lit(float(cap)))
+    scored = materialize(scored.select(*keys, "wer"), "scores")
     med = quantiles(scored, keys, value, {"median": linear(0.5)}, rows_per_task)
     mean = scored.groupBy(*keys).agg(F.avg(value).alias("mean"))
     joined = med.join(mean, keys) if keys else med.join(F.broadcast(mean))

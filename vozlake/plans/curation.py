@@ -11,6 +11,7 @@ from vozlake.operators import gates
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import s_alnum, s_strip, s_tokens, s_words, using
+from vozlake.session import materialize
 
 
 def resolved(t):
@@ -32,7 +33,7 @@ def gated(t):
     ),
 )
 def export_scoreboard(t):
-    return gates.scoreboard(gated(t))
+    return gates.scoreboard(gates.decisions(resolved(t)))
 
 
 @query(
@@ -44,7 +45,7 @@ def export_scoreboard(t):
     ),
 )
 def export_reject_histogram(t):
-    return gates.reject_histogram(gated(t))
+    return gates.reject_histogram(gates.decisions(resolved(t)))
 
 
 @query(
@@ -152,7 +153,7 @@ def auto_curation_reasons(t):
     ),
 )
 def auto_curation_histogram(t):
-    rows = gates.auto_reasons(roles.clips(t)).where("dropped")
+    rows = materialize(gates.auto_reasons(roles.clips(t)).select("reasons", "dropped"), "reasons").where("dropped")
     return rows.groupBy(tx.first_reason_head(F.col("reasons")).alias("head")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -208,7 +209,7 @@ _BOUNDS = f"""ok AS (SELECT * FROM gated WHERE reason IS NULL),
     ),
 )
 def duration_char_bounds(t):
-    got = gates.duration_char_bounds(gated(t).where("reason is null"))
+    got = gates.duration_char_bounds(gates.decisions(resolved(t)).where("reason is null"))
     return got.select("speaker", "n", *[F.round(c, 8).alias(c) for c in ("q1", "q3", "lo", "hi")])
 
 
@@ -221,7 +222,7 @@ def duration_char_bounds(t):
     ),
 )
 def duration_char_gate(t):
-    got = gates.duration_char_gate(gated(t).where("reason is null"))
+    got = gates.duration_char_gate(gates.decisions(resolved(t)).where("reason is null"))
     return got.select("id", "speaker", F.round("rate", 8).alias("rate"), "outlier")
 
 
@@ -237,7 +238,7 @@ def duration_char_gate(t):
     ),
 )
 def strict_export_scoreboard(t):
-    g = gated(t)
+    g = gates.decisions(resolved(t))
     passed = gates.strict_duration_char(gates.duration_char_gate(g.where("reason is null")))
     cols = ["speaker", "dur_s", "reason"]
     return gates.scoreboard(passed.select(*cols).unionByName(g.where("reason is not null").select(*cols)))

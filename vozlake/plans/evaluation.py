@@ -11,6 +11,7 @@ from vozlake.operators import scoring as sc
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import s_norm, using
+from vozlake.session import materialize
 
 
 def turn_pairs(t):
@@ -49,7 +50,7 @@ def turn_wer(t):
     ),
 )
 def wer_summary(t):
-    rows = scored(t).select("role", "wer")
+    rows = materialize(scored(t).select("role", "wer"), "scores")
     out = lambda mode, cap: sc.wer_summary(rows, ["role"], cap).select("role", F.lit(mode).alias("mode"), "n", F.round("median", 8).alias("median"), F.round("mean", 8).alias("mean"))
     return out("raw", None).unionByName(out("capped", 1.0))
 
