@@ -20,7 +20,7 @@ from vozlake.session import materialize
 
 ROWS_PER_TASK = 2_000_000
 MAX_HOT_GROUPS = 1024
-_BY, _SLICE = "__by", "__slice"
+_BY, _SLICE = "__o_by", "__o_slice"
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -82,28 +82,28 @@ class Ordered:
         steps = max(parts.values())
         probs = F.array(*[F.lit(i / steps) for i in range(1, max(steps, 2))])
         if not self.keys:
-            cuts = rows.agg(F.percentile_approx(_BY, probs, 10000).alias("__cuts"))
+            cuts = rows.agg(F.percentile_approx(_BY, probs, 10000).alias("__o_cuts"))
             cut_rows = [tuple(r) for r in cuts.collect()]
-            schema = T.StructType([T.StructField("__cuts", T.ArrayType(T.DoubleType()))])
+            schema = T.StructType([T.StructField("__o_cuts", T.ArrayType(T.DoubleType()))])
         else:
             only = rows.alias("r").join(
                 F.broadcast(hot_frame(rows, self.keys, hot)).alias("h"), _same("r", "h", self.keys), "left_semi"
             )
-            cuts = only.groupBy(*self.keys).agg(F.percentile_approx(_BY, probs, 10000).alias("__cuts"))
+            cuts = only.groupBy(*self.keys).agg(F.percentile_approx(_BY, probs, 10000).alias("__o_cuts"))
             cut_rows = []
             for r in cuts.collect():
                 key = tuple(r[k] for k in self.keys)
-                want, have = parts[key], r["__cuts"]
+                want, have = parts[key], r["__o_cuts"]
                 picked = sorted({have[min(len(have) - 1, max(0, round(i * len(have) / want) - 1))] for i in range(1, want)})
                 cut_rows.append((*key, picked))
             schema = T.StructType(
                 [T.StructField(k, rows.schema[k].dataType) for k in self.keys]
-                + [T.StructField("__cuts", T.ArrayType(T.DoubleType()))]
+                + [T.StructField("__o_cuts", T.ArrayType(T.DoubleType()))]
             )
         local = rows.sparkSession.createDataFrame(cut_rows, schema)
         joined = rows.alias("r").join(F.broadcast(local).alias("c"), _same("r", "c", self.keys), "left")
         slice_no = F.when(
-            F.col("c.__cuts").isNotNull(), F.size(F.filter(F.col("c.__cuts"), lambda c: c < F.col(f"r.{_BY}")))
+            F.col("c.__o_cuts").isNotNull(), F.size(F.filter(F.col("c.__o_cuts"), lambda c: c < F.col(f"r.{_BY}")))
         ).otherwise(-1)
         return joined.select("r.*", slice_no.alias(_SLICE))
 
@@ -151,23 +151,23 @@ class Ordered:
                 whole = Window.partitionBy(*([F.col(k) for k in self.keys] or [F.lit(0)]))
                 rows = rows.withColumn(total, F.sum(value).over(whole))
             return self._with(rows)
-        per_slice = self._slices(F.sum(value).alias("__part"))
+        per_slice = self._slices(F.sum(value).alias("__o_part"))
         keys = [F.col(k) for k in self.keys] or [F.lit(0)]
         before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
         summary = per_slice.select(
             *self.keys,
             _SLICE,
-            F.coalesce(F.sum("__part").over(before), zero).alias("__before"),
-            F.sum("__part").over(Window.partitionBy(*keys)).alias("__all"),
+            F.coalesce(F.sum("__o_part").over(before), zero).alias("__o_before"),
+            F.sum("__o_part").over(Window.partitionBy(*keys)).alias("__o_all"),
         )
         if total:
             local = Window.partitionBy(*[F.col(k) for k in [*self.keys, _SLICE]])
-            rows = rows.withColumn("__local", F.sum(value).over(local))
-        rows = self._attach(rows, summary, ["__before", "__all"])
-        rows = rows.withColumn(out, F.col(out) + F.coalesce("__before", zero))
+            rows = rows.withColumn("__o_local", F.sum(value).over(local))
+        rows = self._attach(rows, summary, ["__o_before", "__o_all"])
+        rows = rows.withColumn(out, F.col(out) + F.coalesce("__o_before", zero))
         if total:
-            rows = rows.withColumn(total, F.coalesce("__all", "__local")).drop("__local")
-        return self._with(rows.drop("__before", "__all"))
+            rows = rows.withColumn(total, F.coalesce("__o_all", "__o_local")).drop("__o_local")
+        return self._with(rows.drop("__o_before", "__o_all"))
 
     def row_number(self, out: str = "rn", total: str | None = None) -> "Ordered":
         """1-based position; optionally also the group size."""
@@ -192,14 +192,14 @@ class Ordered:
         order = F.struct(*self._order())
         keys = [F.col(k) for k in self.keys] or [F.lit(0)]
         over = Window.partitionBy(*keys).orderBy(_SLICE)
-        summary = self._slices(pick(F.struct(value.alias("v")), order).alias("__edge")).select(
-            *self.keys, _SLICE, edge("__edge").over(over).alias("__near")
+        summary = self._slices(pick(F.struct(value.alias("v")), order).alias("__o_edge")).select(
+            *self.keys, _SLICE, edge("__o_edge").over(over).alias("__o_near")
         )
         at_cut = (F.lag(F.lit(1)) if back else F.lead(F.lit(1))).over(window).isNull()
-        rows = self._rows.withColumn(out, near).withColumn("__cut", at_cut)
-        rows = self._attach(rows, summary, ["__near"])
-        rows = rows.withColumn(out, F.when(F.col("__cut"), F.col("__near.v")).otherwise(F.col(out)))
-        return self._with(rows.drop("__cut", "__near"))
+        rows = self._rows.withColumn(out, near).withColumn("__o_cut", at_cut)
+        rows = self._attach(rows, summary, ["__o_near"])
+        rows = rows.withColumn(out, F.when(F.col("__o_cut"), F.col("__o_near.v")).otherwise(F.col(out)))
+        return self._with(rows.drop("__o_cut", "__o_near"))
 
     def lags(self, out: str, col: Column | str, depth: int) -> "Ordered":
         """Array of the previous ``depth`` values, oldest first, shorter at the start of a group."""
@@ -207,13 +207,13 @@ class Ordered:
         if not self.split:
             frame = self._window().rowsBetween(-depth, -1)
             return self._with(self._rows.withColumn(out, F.collect_list(value).over(frame)))
-        step, names = self.with_column("__l0", F.struct(value.alias("v"))), []
+        step, names = self.with_column("__o_l0", F.struct(value.alias("v"))), []
         for i in range(1, depth + 1):
-            step = step.lag(f"__l{i}", f"__l{i - 1}")
-            names.insert(0, f"__l{i}")
+            step = step.lag(f"__o_l{i}", f"__o_l{i - 1}")
+            names.insert(0, f"__o_l{i}")
         found = F.filter(F.array(*names), lambda x: x.isNotNull())
         rows = step._rows.withColumn(out, F.transform(found, lambda x: x["v"]))
-        return self._with(rows.drop("__l0", *names))
+        return self._with(rows.drop("__o_l0", *names))
 
 
 def islands(ordered: Ordered, out: str, starts: Column) -> Ordered:

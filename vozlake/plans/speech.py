@@ -11,6 +11,7 @@ from vozlake.operators import prosody as pr
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import s_alnum, s_strip, s_tokens, using
+from vozlake.session import materialize
 
 
 def words(t):
@@ -22,7 +23,8 @@ def pitch(t):
 
 
 def boundaries(t):
-    return pr.boundaries(words(t), pitch(t))
+    """Marked words; written out, because every reader would otherwise repeat the pitch join."""
+    return materialize(pr.boundaries(words(t), pitch(t)), "boundaries")
 
 
 _ST = "12.0::DOUBLE * log2(greatest({}, 1e-6) / 100.0::DOUBLE)"
@@ -256,7 +258,7 @@ def segment_ids(t):
 
 @query("phone_coverage")
 def phone_coverage(t):
-    return mk.phone_coverage(phones.word_table(t.documents), phones.INVENTORY)
+    return mk.phone_coverage(materialize(phones.word_table(t.documents), "words"), phones.INVENTORY)
 
 
 @query(
