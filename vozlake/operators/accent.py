@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vozlake.operators.ordered import attach
+from vozlake.operators.ordered import attach, beside
 
 # Features, plausible ranges and the phone pairs under test.
 FEATURES = ["F1_z", "F2_z", "F3_z", "B1_Hz", "duration_ms"]
@@ -26,7 +26,7 @@ def plausible(rows: DataFrame) -> DataFrame:
 
 
 def _scores(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    joined = attach(rows, stats, keys) if keys else rows.crossJoin(F.broadcast(stats))
+    joined = attach(rows, stats, keys) if keys else beside(rows, stats)
     for f in FORMANTS:
         spread = F.coalesce(F.when(F.col(f"__sd_{f}") != 0, F.col(f"__sd_{f}")), F.when(F.col(f"__sd_{f}") == 0, F.lit(1e-6)))
         joined = joined.withColumn(f"{f}_z", (F.col(f"{f}_Hz") - F.col(f"__mu_{f}")) / spread)
@@ -52,7 +52,7 @@ def labelled(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("label", (F.col("aperture") == "open").cast("double"))
     sizes = out.groupBy("label").agg(F.count(F.lit(1)).alias("__c"))
     whole = sizes.agg(F.sum("__c").alias("__t"), F.count(F.lit(1)).alias("__k"))
-    weights = sizes.crossJoin(F.broadcast(whole)).select("label", (F.col("__t") / (F.col("__k") * F.col("__c"))).alias("weight"))
+    weights = beside(sizes, whole).select("label", (F.col("__t") / (F.col("__k") * F.col("__c"))).alias("weight"))
     return out.join(F.broadcast(weights), "label")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vozlake.functions import signal as sg
 from vozlake.functions import text as tx
 from vozlake.operators.gates import some
-from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, linear, quantiles
+from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, beside, linear, quantiles
 
 # Segmentation.
 FRAME_S, SILENCE_DB, MIN_SILENCE_S, PAD_S, MIN_SEGMENT_S, MAX_SEGMENT_S = 0.02, -42.0, 0.35, 0.15, 1.0, 20.0
@@ -86,7 +86,7 @@ def snr_summary(takes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
     """Median and minimum signal-to-noise ratio over takes that have one."""
     rows = takes.where(F.col("snr_db") != 0)
     med = quantiles(rows, [], F.col("snr_db"), {"median": linear(0.5)}, rows_per_task)
-    return med.crossJoin(F.broadcast(rows.agg(F.min("snr_db").alias("lowest"))))
+    return beside(med, rows.agg(F.min("snr_db").alias("lowest")))
 
 
 def normalize_peak(blocks: DataFrame, peak_dbfs: float = -3.0, clip: str = "clip_id") -> DataFrame:

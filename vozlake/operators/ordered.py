@@ -307,6 +307,12 @@ def attach(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "lef
     return rows.join(F.broadcast(local), list(on), how)
 
 
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the values of a one-row table to every row, as literals."""
+    row = one.first()
+    return rows.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema.fields})
+
+
 def hash_bottom(
     df: DataFrame,
     group: str,

@@ -95,20 +95,21 @@ def marker_coverage(ratings: DataFrame) -> DataFrame:
     return totals.select(F.explode(lines).alias("x")).select("x.*").unionByName(tags.agg(F.count(F.lit(1)).alias("n")))
 
 
-def required_fields(run: Column) -> Column:
+def required_fields(run: Column, voice_marks: tuple[str, ...] = VOICE_RUN_MARKS) -> Column:
+    """Fields a rating needs; runs whose name holds a voice mark also need ``voz``."""
     base = F.array(*[F.lit(c) for c in ("geral", "nativo", "natural", "parou", "carioca")])
     voice = F.lit(False)
-    for mark in VOICE_RUN_MARKS:
+    for mark in voice_marks:
         voice = voice | F.contains(run, F.lit(mark))
     return F.when(voice, F.concat(base, F.array(F.lit("voz")))).otherwise(base)
 
 
-def completeness(clips: DataFrame, ratings: DataFrame) -> DataFrame:
+def completeness(clips: DataFrame, ratings: DataFrame, voice_marks: tuple[str, ...] = VOICE_RUN_MARKS) -> DataFrame:
     """Per clip the required fields that are still missing."""
     fields = ("geral", "nativo", "natural", "parou", "carioca", "voz")
     given = F.filter(F.array(*[F.when(F.coalesce(F.col(f"r.{c}").cast("string"), F.lit("")) != "", F.lit(c)) for c in fields]), lambda x: x.isNotNull())
     joined = clips.alias("c").join(ratings.alias("r"), ["run", "id"], "left")
-    missing = F.array_except(required_fields(F.col("run")), given)
+    missing = F.array_except(required_fields(F.col("run"), voice_marks), given)
     return joined.select("run", "id", missing.alias("missing"), (F.size(missing) == 0).alias("complete"))
 
 

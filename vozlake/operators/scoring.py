@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vozlake.functions import wer as w
-from vozlake.operators.ordered import ROWS_PER_TASK, linear, quantiles
+from vozlake.operators.ordered import ROWS_PER_TASK, beside, linear, quantiles
 from vozlake.session import materialize
 
 
@@ -29,7 +29,7 @@ def wer_summary(scored: DataFrame, keys: list[str] | None = None, cap: float | N
     scored = materialize(scored.select(*keys, "wer"), "scores")
     med = quantiles(scored, keys, value, {"median": linear(0.5)}, rows_per_task)
     mean = scored.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    joined = med.join(mean, keys) if keys else med.join(F.broadcast(mean))
+    joined = med.join(mean, keys) if keys else beside(med, mean)
     return joined.select(*keys, "n", "median", "mean")
 
 

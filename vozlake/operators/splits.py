@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vozlake.functions import license as lic
-from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, hash_bottom, rank_by_text
+from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, beside, hash_bottom, rank_by_text
 
 HOLDOUT_SEED, MIX_SEED = "777", "42"
 
@@ -190,7 +190,8 @@ def corpus_hours(manifest: DataFrame) -> DataFrame:
 def estimated_hours(rows: DataFrame, sample: int = 2000, by: str = "seq", dur: str = "dur_s") -> DataFrame:
     """Hours from the mean of the first ``sample`` rows, next to the exact sum."""
     head = rows.orderBy(by).limit(sample).agg(F.avg(dur).alias("__mean"))
-    return rows.agg(F.count(F.lit(1)).alias("clips"), F.sum(dur).alias("__sum")).join(F.broadcast(head)).select(
+    whole = rows.agg(F.count(F.lit(1)).alias("clips"), F.sum(dur).alias("__sum"))
+    return beside(whole, head).select(
         "clips",
         F.round(F.col("__mean") * F.col("clips") / 3600, 6).alias("estimated_hours"),
         F.round(F.col("__sum") / 3600, 6).alias("exact_hours"),

@@ -138,8 +138,8 @@ def streamed_edit_log(t):
 
 @query(
     "streamed_sentences",
-    r"""SELECT conv_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY turn, k)) AS text_md5 FROM (SELECT conv_id, turn, k, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1))) AS s,
-        unnest(range(len(string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1))))) AS k FROM conversations)) WHERE s <> '' GROUP BY 1""",
+    r"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS seq, md5(s) AS sentence_md5 FROM (SELECT conv_id, turn, k, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s FROM
+        (SELECT conv_id, turn, unnest(p) AS s, unnest(range(len(p))) AS k FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1)) AS p FROM conversations))) WHERE s <> ''""",
 )
 def streamed_sentences(t):
     raw = jobs.file_stream(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
@@ -148,9 +148,7 @@ def streamed_sentences(t):
     out = scratch_path(t.spark, "sentences")
     stream = jobs.sentence_stream(chunks)
     jobs.drain_to_files(stream, scratch_path(t.spark, "checkpoint"), out)
-    got = t.spark.read.schema(stream.schema).parquet(out)
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "sentence"))), lambda x: x["sentence"])
-    return got.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(listed, "|")).alias("text_md5"))
+    return t.spark.read.schema(stream.schema).parquet(out).select("conv_id", "seq", F.md5("sentence").alias("sentence_md5"))
 
 
 @query("resumed_files", "SELECT event_id, event_type FROM events")

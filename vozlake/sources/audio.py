@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vozlake.functions import text as tx
 from vozlake.sources.files import base_name
+from vozlake.sources.streams import open_stream
 
 HEAD_BYTES = 65536
 
@@ -27,12 +28,8 @@ def listing(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
 
 
 def read_head(path: str, size: int = HEAD_BYTES) -> bytes:
-    """First bytes of a file on any file system Arrow knows."""
-    from pyarrow import fs
-
-    plain = path[5:] if path.startswith("file:") and not path.startswith("file://") else path
-    system, inner = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
-    with system.open_input_stream(inner) as stream:
+    """First bytes of a file."""
+    with open_stream(path) as stream:
         return stream.read(size)
 
 

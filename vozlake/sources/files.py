@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vozlake.functions import text as tx
+from vozlake.sources.streams import open_stream
 
 BAD = "__bad"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(_glob(spark, path))
+
+
+def _glob(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    return found is not None and len(found) > 0
+    return [status.getPath().toString() for status in found or []]
+
+
+_LINE = T.StructType([T.StructField("value", T.StringType()), T.StructField("file", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def _hidden_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files whose name starts with ``_``, which Spark's own readers leave out."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file in batch["file"]:
+                with io.TextIOWrapper(io.BufferedReader(open_stream(file)), encoding="utf-8") as text:
+                    numbered = enumerate(text)
+                    while rows := [(line.rstrip("\n"), file, n) for n, line in itertools.islice(numbered, 10_000)]:
+                        yield pd.DataFrame(rows, columns=["value", "file", "n"])
+
+    names = spark.createDataFrame([(f,) for f in _glob(spark, path)], "file string").repartition(F.col("file"))
+    order = F.struct(F.col("file"), F.lit(0).cast("long"), F.col("n"))
+    return names.mapInPandas(read, _LINE).select("value", "file", order.alias("line_order"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +53,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     ``line_order`` sorts lines of a file as written: block start, then the
     position inside the block.
     """
+    if path.rstrip("/").rsplit("/", 1)[-1].startswith("_"):
+        return _hidden_lines(spark, path).where(tx.strip(F.col("value")) != "")
     rows = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
