@@ -358,3 +358,22 @@ def artifact_completeness(t):
 
     r = roles.ratings(t)
     return complete(r, r.where(F.col("seq") % 3 != 0).select("run", "id").distinct(), r.where("run <> 'run3'"))
+
+
+@query(
+    "sorted_markers",
+    """SELECT user_id, string_agg(event_type, '>' ORDER BY t, event_id) AS tags, round(min(t), 6) AS first_start FROM (SELECT user_id, event_id, event_type, value + event_id / 1e7 AS t FROM events) GROUP BY 1""",
+)
+def sorted_markers(t):
+    from vozlake.operators.ordered import nest
+
+    start = F.col("value") + F.col("event_id") / F.lit(1e7)
+    one = F.struct(start.alias("t_start"), F.col("event_type").alias("tag"))
+    lists = nest(t.events, ["user_id"], F.col("event_id"), one, "markers")
+    got = lists.select("user_id", rt.sorted_markers(F.col("markers")).alias("m"))
+    return got.select("user_id", F.array_join(F.transform("m", lambda x: x["tag"]), ">").alias("tags"), F.round(F.col("m")[0]["t_start"], 6).alias("first_start"))
+
+
+@query("rating_times", using("ratings", body="SELECT seq, ts // 1000 AS seconds FROM ratings"))
+def rating_times(t):
+    return roles.ratings(t).select("seq", F.unix_seconds(rt.rated_at(F.col("ts"))).alias("seconds"))
