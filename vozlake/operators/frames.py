@@ -13,6 +13,7 @@ from vozlake.functions import signal as sg
 from vozlake.functions import text as tx
 from vozlake.operators.gates import some
 from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, beside, linear, quantiles
+from vozlake.session import materialize
 
 # Segmentation.
 FRAME_S, SILENCE_DB, MIN_SILENCE_S, PAD_S, MIN_SEGMENT_S, MAX_SEGMENT_S = 0.02, -42.0, 0.35, 0.15, 1.0, 20.0
@@ -154,12 +155,13 @@ def syllable_nuclei(frames: DataFrame, clip: str = "clip_id", rows_per_task: int
 
     Two peaks are never adjacent, and after a peak the next two frames are
     skipped, so only chains of peaks two frames apart compete: of such a chain
-    every second peak counts.
+    every second peak counts.  The peaks are written out, because they are few
+    next to the frames and ordered twice.
     """
     tops = frames.where(~F.isnan("db")).groupBy(clip).agg(F.max("db").alias("__top"))
     o = Ordered(attach(frames, tops, [clip]), [clip], "i", rows_per_task=rows_per_task).lag("__a", "db").lead("__b", "db")
     peak = (F.col("db") > F.col("__top") - 4.0) & (F.col("db") >= F.col("__a")) & (F.col("db") > F.col("__b"))
-    found = o.df.where(peak).select(clip, "i", "t", "voiced")
+    found = materialize(o.df.where(peak).select(clip, "i", "t", "voiced"), "peaks")
     chain = Ordered(found, [clip], "i", rows_per_task=rows_per_task).lag("__p", "i")
     new = F.col("__p").isNull() | (F.col("i") - F.col("__p") >= 3)
     rows = chain.cumsum("__chain", F.when(new, 1).otherwise(0)).df
@@ -192,7 +194,7 @@ def silent_pauses(
         numbered = o.cumsum("__run", F.when(new, 1).otherwise(0)).df
         return numbered.groupBy(clip, "__run").agg(F.min("i").alias("i"), F.sum("n").alias("n"), F.first("silent").alias("silent")).drop("__run")
 
-    first = runs(rows.withColumn("n", F.lit(1)))
+    first = materialize(runs(rows.withColumn("n", F.lit(1))), "runs")
     long_enough = F.col("n") * F.lit(hop_s) >= min_sounding_s
     merged = runs(first.withColumn("silent", F.col("silent") | ~long_enough))
     pauses = F.count_if(F.col("silent") & (F.col("n") * F.lit(hop_s) >= min_silent_s))

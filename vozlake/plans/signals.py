@@ -13,6 +13,7 @@ from vozlake.operators import speakers as sk
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import using
+from vozlake.session import materialize
 
 
 def samples(t):
@@ -156,11 +157,12 @@ def trimmed_clips(t):
 
 
 def dense(t):
-    """Frames without holes: characters of a turn as 10 ms steps."""
+    """Frames without holes, as a table: characters of a turn as 10 ms steps."""
     c = F.split(F.lower("text"), "")
     rows = roles.turns(t).select(F.col("turn_id").alias("clip_id"), F.posexplode(c).alias("i", "ch"))
     level = F.when(F.col("ch").rlike("[a-z]"), 60.0 + F.ascii("ch") % 7).otherwise(F.lit(20.0))
-    return rows.select("clip_id", F.col("i").cast("long").alias("i"), (F.col("i") * F.lit(0.01)).alias("t"), level.alias("db"), F.col("ch").isin(*"aeiourstl").alias("voiced"))
+    frames_ = rows.select("clip_id", F.col("i").cast("long").alias("i"), (F.col("i") * F.lit(0.01)).alias("t"), level.alias("db"), F.col("ch").isin(*"aeiourstl").alias("voiced"))
+    return materialize(frames_, "frames")
 
 
 _DENSE = """de AS (SELECT turn_id AS clip_id, i, i * 0.01::DOUBLE AS t, CASE WHEN regexp_matches(ch, '[a-z]') THEN 60.0::DOUBLE + ascii(ch) % 7 ELSE 20.0::DOUBLE END AS db, instr('aeiourstl', ch) > 0 AS voiced
