@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import secrets
+from vozlake.llm import decontaminate, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_secrets")
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(read(spark, folder, "documents"))
+
+
+@query("op7_decontamination", decontaminate.SQL)
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digest(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
