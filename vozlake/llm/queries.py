@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import decontaminate, secrets
+from vozlake.llm import decontaminate, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_decontamination", decontaminate.SQL)
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(read(spark, folder, "documents"))
