@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import decontaminate, secrets, simhash
+from vozlake.llm import decontaminate, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(read(spark, folder, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.digest(read(spark, folder, "documents"), read(spark, folder, "labels"))
