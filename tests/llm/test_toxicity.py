@@ -59,8 +59,8 @@ def test_a_score_depends_on_the_text_alone(spark):
     rows, labels = corpus(120)
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = tx.fit(tx.training_rows(docs, marks))
-    other = tx.fit(tx.training_rows(docs.repartition(7).orderBy(F.rand(3)), marks))
+    model = tx.fit(docs, tx.training_labels(docs, marks))
+    other = tx.fit(docs.repartition(7), tx.training_labels(docs.repartition(7).orderBy(F.rand(3)), marks))
     assert np.allclose([model.score(t) for _, t in rows], [other.score(t) for _, t in rows])
 
 

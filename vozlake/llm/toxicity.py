@@ -32,7 +32,7 @@ from vozlake.llm import linear
 from vozlake.llm.common import bounded_batches, in_fold, unused
 from vozlake.llm.linear import BUCKETS, WORD, Rows, sigmoid
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 THRESHOLD = 0.7
 LABEL_NOISE = 0.02
 MINED_VOTERS = 6
@@ -170,6 +170,10 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) ->
     return model, p
 
 
+def indicators(votes: np.ndarray) -> np.ndarray:
+    return np.concatenate([votes == 1, votes == -1], axis=1).astype(float)
+
+
 @dataclass
 class Classifier:
     voters: Voters
@@ -180,16 +184,12 @@ class Classifier:
     def score(self, text: str | None) -> float:
         text = text or ""
         slots, values = linear.word_features(text)
-        return float(sigmoid(self.words[slots % BUCKETS] @ values + self.votes @ self._indicators(np.array([self.voters.votes(text)]))[0] + self.bias))
+        return float(sigmoid(self.words[slots % BUCKETS] @ values + self.votes @ indicators(np.array([self.voters.votes(text)]))[0] + self.bias))
 
-    @staticmethod
-    def _indicators(votes: np.ndarray) -> np.ndarray:
-        return np.concatenate([votes == 1, votes == -1], axis=1).astype(float)
 
-
-def train(rows: Rows, votes: np.ndarray, target: np.ndarray, voters: Voters, word_cost: float = 0.02, vote_cost: float = 0.0001) -> Classifier:
-    """Logistic regression on soft labels; hashed words cost more than votes."""
-    dense = Classifier._indicators(votes)
+def train(rows: Rows, votes: np.ndarray, target: np.ndarray, word_cost: float = 0.002, vote_cost: float = 0.0001) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression on soft labels: weights of hashed words and of votes, and a bias.  Words cost more than votes."""
+    dense = indicators(votes)
     k, n = dense.shape[1], max(1, len(target))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -197,32 +197,37 @@ def train(rows: Rows, votes: np.ndarray, target: np.ndarray, voters: Voters, wor
         z = rows.times(words) + dense @ own + bias
         miss = (sigmoid(z) - target) / n
         value = float(np.mean(np.logaddexp(0, z) - target * z)) if len(z) else 0.0
-        gradient = np.concatenate([rows.back(miss, BUCKETS) + word_cost * words / 10, dense.T @ miss + vote_cost * own, [miss.sum()]])
+        gradient = np.concatenate([rows.back(miss, BUCKETS) + word_cost * words, dense.T @ miss + vote_cost * own, [miss.sum()]])
         return value, gradient
 
     x = linear.minimise(loss, np.zeros(BUCKETS + k + 1))
-    return Classifier(voters, x[:BUCKETS].astype(np.float32), x[BUCKETS:-1], float(x[-1]))
+    return x[:BUCKETS].astype(np.float32), x[BUCKETS:-1], x[-1:]
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """``rows``: text and label (0, 1 or null) of the training rows."""
-    clean = rows.select("text", F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(-1).cast("int").alias("label"))
+def fit(texts: DataFrame, told: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
+    """``texts``: the documents' texts; ``told``: text_hash and label (0, 1 or null) of the training rows."""
+    clean = told.select("text_hash", F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(-1).cast("int").alias("label"))
     fixed = Voters()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def fixed_votes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: fixed.votes(text or ""), na_action=None)
 
-    features, other = linear.sample_features(clean.withColumn("votes", fixed_votes("text")), linear.word_features, sample_rows)
-    label = other["label"].to_numpy(np.int64)
-    voters = Voters(mine(features, label))
-    votes = np.array([list(x) for x in other["votes"]], np.int64).reshape(len(label), len(fixed.names))[:, :-1]
-    for part in [*voters.mined, frozenset().union(*voters.mined)]:
-        inside = np.concatenate([[0], np.cumsum(np.isin(features.slots, list(part)))])
-        present = inside[features.starts[1:]] > inside[features.starts[:-1]]
-        votes = np.column_stack([votes, present.astype(np.int64)])
-    _, posterior = fit_label_model(votes, label)
-    return train(features.hashed(), votes, posterior, voters)
+    def learn(features: Rows, other: pd.DataFrame) -> linear.Arrays:
+        label = other["label"].to_numpy(np.int64)
+        mined = mine(features, label)
+        votes = np.array([list(x) for x in other["votes"]], np.int64).reshape(len(label), len(fixed.names))[:, :-1]
+        for part in [*mined, frozenset().union(*mined)]:
+            inside = np.concatenate([[0], np.cumsum(np.isin(features.slots, list(part)))])
+            present = inside[features.starts[1:]] > inside[features.starts[:-1]]
+            votes = np.column_stack([votes, present.astype(np.int64)])
+        _, posterior = fit_label_model(votes, label)
+        words, own, bias = train(features.hashed(), votes, posterior)
+        return {"words": words, "votes": own, "bias": bias, "mined": np.array([x for part in mined for x in sorted(part)], np.int64), "sizes": np.array(list(map(len, mined)), np.int64)}
+
+    got = linear.fit_sample(texts, clean, linear.word_features, sample_rows, learn, {"votes": fixed_votes("text")})
+    parts = np.split(got["mined"], np.cumsum(got["sizes"]))[: len(got["sizes"])]
+    return Classifier(Voters([frozenset(part.tolist()) for part in parts]), got["words"], got["votes"], float(got["bias"][0]))
 
 
 def score(df: DataFrame, classifier: Classifier, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -237,22 +242,23 @@ def score(df: DataFrame, classifier: Classifier, text: str = "text", out: str =
     return df.withColumn(out, scores(F.col(f"`{text}`")))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Text and label of the labelled documents outside the held-out fold."""
+def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Text hash and label of the labelled documents outside the held-out fold."""
     # A doc_id with several labels counts as toxic if any says so.
     told = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("label"))
-    mine = docs.select(F.col("doc_id").alias("id"), "text").where(~in_fold(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull())
-    return mine.join(told, "id").select("text", "label")
+    own = docs.where(~in_fold(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), linear.text_hash(F.col("text")).alias("text_hash"))
+    return own.join(told, "id").select("text_hash", "label")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    classifier = fit(training_rows(docs, labels))
+    classifier = fit(docs.select("text"), training_labels(docs, labels))
     rows = score(docs.select("doc_id", F.col("text").alias("body")), classifier, "body", "score")
     return rows.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The documents that the classifier doesn't call toxic.  ``source`` holds the labelled texts, if not ``docs``."""
-    classifier = fit(training_rows(docs if source is None else source, labels))
+    known = docs if source is None else source
+    classifier = fit(known.select("text"), training_labels(known, labels))
     mark = unused(docs, "toxicity")
     return score(docs, classifier, out=mark).where(F.col(mark) < THRESHOLD).drop(mark)
