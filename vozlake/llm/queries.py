@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import decontaminate, secrets, simhash, toxicity
+from vozlake.llm import decontaminate, extract, hosts, language, ordinal, raking, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,28 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return ordinal.digest(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op10_raking")
+def op10_raking(spark: SparkSession, folder: str) -> DataFrame:
+    return raking.digest(read(spark, folder, "documents"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.digest(read(spark, folder, "documents"))
+
+
+@query("op3_hosts", hosts.SQL)
+def op3_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    return hosts.digest(read(spark, folder, "pages"), read(spark, folder, "labels"))
+
+
+@query("op6_extraction")
+def op6_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.digest(read(spark, folder, "pages"))
