@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import decontaminate, extract, hosts, language, ordinal, raking, secrets, simhash, toxicity
+from vozlake.llm import decontaminate, extract, hosts, language, ordinal, pivots, raking, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op3_hosts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_extraction")
 def op6_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract.digest(read(spark, folder, "pages"))
+
+
+@query("op2_pivots", pivots.SQL)
+def op2_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.digest(read(spark, folder, "embeddings"))
