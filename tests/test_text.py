@@ -31,10 +31,20 @@ def test_numbers_in_words(spark):
 @pytest.mark.parametrize(
     "n, words",
     [(0, "zero"), (100, "cem"), (101, "cento e um"), (160, "cento e sessenta"), (1000, "mil"), (1005, "mil e cinco"), (1300, "mil e trezentos"),
-     (1350, "mil trezentos e cinquenta"), (22290, "vinte e dois mil duzentos e noventa"), (1000000, "um milhão"), (-3, "menos três")],
+     (1350, "mil trezentos e cinquenta"), (22290, "vinte e dois mil duzentos e noventa"), (1000000, "um milhão"), (2_000_100, "dois milhões e cem"), (10**15, "um quatrilhão")],
 )
-def test_cardinals(n, words):
-    assert numbers.cardinal(n) == words
+def test_cardinals(spark, n, words):
+    assert spark.range(1).select(numbers.cardinal(F.lit(str(n))).alias("w")).first().w == words
+    assert spark.range(1).select(numbers.cardinal(F.lit("00" + str(n))).alias("w")).first().w == words
+
+
+def test_numbers_beyond_all_scales_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "R$ 0,05 e 007"), (4, "a 12345678 b 1,0% x1y 3.000,50"), (5, "9" * 40 + ",5")], "id int, text string")
+    got = {r.id: r.spoken for r in numbers.verbalized(df).collect()}
+    assert got[1] is None and got[2] == ""
+    assert got[3] == "zero reais e cinco centavos e sete"
+    assert got[4].startswith("a um, dois, três, quatro, cinco, seis, sete, oito b um por cento x") and "xumy três mil,cinquenta" in got[4]
+    assert got[5] == ", ".join(["nove"] * 40) + " vírgula cinco"
 
 
 def test_phones_with_and_without_word_edges():
