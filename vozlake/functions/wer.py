@@ -15,9 +15,7 @@ from vozlake.functions.text import normalize_for_wer, unicode_words
 # Pairs with at most this many words are compared as strings of one character
 # per word; longer pairs go through the vectorised function below.
 SHORT_PAIR = 512
-OPS_TYPE = T.ArrayType(
-    T.StructType([T.StructField("op", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("hyp", T.StringType())])
-)
+OPS_TYPE = T.StructType([T.StructField(name, T.ArrayType(T.StringType())) for name in ("op", "ref", "hyp")])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,52 +55,64 @@ def word_distance(ref: list[str], hyp: list[str]) -> int:
     return int(row[-1])
 
 
-def word_operations(ref: list[str], hyp: list[str]) -> list[dict]:
-    """ok / sub / del / ins in order; ties prefer ok, then sub, del, ins.
+# Moves of a trace, in the order in which ties are settled.
+OPERATIONS = np.array(["ok", "sub", "del", "ins"], dtype=object)
+#: Reference words and hypothesis words that each move takes.
+TAKES_REF, TAKES_HYP = np.array([1, 1, 1, 0]), np.array([1, 1, 0, 1])
 
-    Only every k-th table row is kept; a block of rows is rebuilt when the
-    trace reaches it, so memory stays near ``sqrt(len(ref)) * len(hyp)``.
+
+def _moves(above: np.ndarray, row: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The preferred move into every cell of ``row``, as a number of ``OPERATIONS``."""
+    rise = row[1:] - above[:-1]
+    move = np.full(row.size, 3, dtype=np.uint8)
+    move[row == above + 1] = 2
+    inner = move[1:]
+    inner[rise == 1] = 1
+    inner[same & (rise == 0)] = 0
+    return move
+
+
+def _trace(r: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Moves from the first to the last word.
+
+    One row of distances is kept for each stretch of about ``sqrt`` rows; moves are worked out for
+    one stretch at a time, from the last to the first, so memory stays near ``sqrt(ref) * hyp``.
     """
-    r, h = _encode(ref, hyp)
-    n, m = r.size, h.size
-    step = max(1, int(np.sqrt(n)) if n else 1)
-    kept = {0: np.arange(m + 1)}
-    row = kept[0]
-    for i in range(1, n + 1):
-        row = _row_distances(row, (h != r[i - 1]).astype(np.int64), i)
-        if i % step == 0:
-            kept[i] = row
-    block: dict[int, np.ndarray] = {}
-    out, i, j = [], n, m
-
-    def table(k: int) -> np.ndarray:
-        if k in kept:
-            return kept[k]
-        if k not in block:
-            block.clear()
-            start = k - k % step
-            cur = kept[start]
-            for q in range(start + 1, min(start + step, n) + 1):
-                cur = _row_distances(cur, (h != r[q - 1]).astype(np.int64), q)
-                block[q] = cur
-        return block[k]
-
-    while i or j:
-        here = table(i)[j]
-        diagonal = table(i - 1)[j - 1] if i and j else None
-        if i and j and r[i - 1] == h[j - 1] and here == diagonal:
-            out.append({"op": "ok", "ref": ref[i - 1], "hyp": hyp[j - 1]})
-            i, j = i - 1, j - 1
-        elif i and j and here == diagonal + 1:
-            out.append({"op": "sub", "ref": ref[i - 1], "hyp": hyp[j - 1]})
-            i, j = i - 1, j - 1
-        elif i and here == table(i - 1)[j] + 1:
-            out.append({"op": "del", "ref": ref[i - 1], "hyp": None})
-            i -= 1
-        else:
-            out.append({"op": "ins", "ref": None, "hyp": hyp[j - 1]})
-            j -= 1
-    return out[::-1]
+    stretch = max(1, int(np.sqrt(r.size)))
+    anchors = [np.arange(h.size + 1)]
+    row = anchors[0]
+    for i, word in enumerate(r, 1):
+        row = _row_distances(row, (h != word).astype(np.int64), i)
+        if i % stretch == 0:
+            anchors.append(row)
+    parts, j = [], h.size
+    for start in range((r.size - 1) // stretch * stretch, -1, -stretch) if r.size else ():
+        rows = [anchors[start // stretch]]
+        moves = []
+        for i in range(start, min(start + stretch, r.size)):
+            rows.append(_row_distances(rows[-1], (h != r[i]).astype(np.int64), i + 1))
+            moves.append(_moves(rows[-2], rows[-1], h == r[i]))
+        own = []
+        i = len(moves)
+        while i:
+            own.append(moves[i - 1][j])
+            i, j = i - TAKES_REF[own[-1]], j - TAKES_HYP[own[-1]]
+        parts.append(np.array(own[::-1], dtype=np.uint8))
+    # What is left of the hypothesis comes before the first reference word.
+    parts.append(np.full(j, 3, dtype=np.uint8))
+    return np.concatenate(parts[::-1])
+
+
+def word_operations(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Operation, reference word and hypothesis word of each step, in three arrays; absent words are None."""
+    moves = _trace(*_encode(ref, hyp))
+    columns = []
+    for words, takes in ((ref, TAKES_REF), (hyp, TAKES_HYP)):
+        used = takes[moves] == 1
+        column = np.full(moves.size, None, dtype=object)
+        column[used] = words
+        columns.append(column)
+    return OPERATIONS[moves], *columns
 
 
 @F.pandas_udf(T.IntegerType())
@@ -112,8 +122,8 @@ def _long_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(OPS_TYPE)
-def _operations(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([word_operations(list(a), list(b)) for a, b in zip(ref, hyp)])
+def _operations(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([word_operations(list(a), list(b)) for a, b in zip(ref, hyp)], columns=["op", "ref", "hyp"])
 
 
 def edit_distance(ref: Column, hyp: Column) -> Column:
@@ -143,4 +153,5 @@ def rate(ref: Column, hyp: Column) -> Column:
 
 def alignment(ref_text: Column, hyp_text: Column) -> Column:
     """Array of (op, ref, hyp) over lower-case words."""
-    return _operations(unicode_words(F.lower(ref_text)), unicode_words(F.lower(hyp_text)))
+    return let(_operations(unicode_words(F.lower(ref_text)), unicode_words(F.lower(hyp_text))), lambda o: F.arrays_zip(o["op"], o["ref"], o["hyp"]))
+

@@ -40,6 +40,15 @@ def operations(rows: DataFrame, keep: list[str], ref: str = "ref", hyp: str = "h
     return ops.select(*keep, "pos", "o.op", "o.ref", "o.hyp")
 
 
+def operation_totals(rows: DataFrame, keep: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Errors, reference words and hypothesis words of each pair; pairs without any word give no row."""
+    usable = rows.where((F.coalesce(F.col(ref), F.lit("")) != "") & (F.coalesce(F.col(hyp), F.lit("")) != ""))
+    words = usable.select(*keep, *[w.unicode_words(F.lower(F.col(c))).alias(name) for c, name in ((ref, "__r"), (hyp, "__h"))])
+    counted = words.where(F.size("__r") + F.size("__h") > 0)
+    sizes = [F.size(c).cast("long").alias(name) for c, name in (("__r", "ref_words"), ("__h", "hyp_words"))]
+    return counted.select(*keep, w.edit_distance(F.col("__r"), F.col("__h")).cast("long").alias("errors"), *sizes)
+
+
 def confusions(ops: DataFrame) -> DataFrame:
     return ops.where("op <> 'ok'").groupBy("op", "ref", "hyp").agg(F.count(F.lit(1)).alias("n"))
 

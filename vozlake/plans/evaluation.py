@@ -80,10 +80,7 @@ def wer_operations(t):
     ),
 )
 def wer_operation_totals(t):
-    ops = sc.operations(turn_pairs(t), ["turn_id"])
-    return ops.groupBy("turn_id").agg(
-        F.count_if(F.col("op") != "ok").alias("errors"), F.count("ref").alias("ref_words"), F.count("hyp").alias("hyp_words")
-    )
+    return sc.operation_totals(turn_pairs(t), ["turn_id"])
 
 
 @query("word_confusions")
