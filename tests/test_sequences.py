@@ -260,14 +260,29 @@ def random_frames(seed, n):
 
 
 def turns_loop(frames, rules):
-    state, out = None, []
-    for s, *frame in frames:
-        state, turn = tn.advance(rules, state, tuple(frame))
+    """The listener with every frame as a run of its own."""
+    listener, out = tn.Listener(), []
+    for s, i, prob, playing, complete in frames:
+        turn = listener.hear(rules, tn.Run(i, 1, playing, prob >= rules.barge_prob, prob >= rules.speech, complete is not None and complete > rules.complete))
         if turn:
             out.append((s, *turn))
     return out
 
 
+def test_turn_rules_on_hand_made_frames():
+    rules = tn.TurnRules(barge_in=True)
+    frames = lambda *parts: [(1, i, *p) for i, p in enumerate(p for n, *p in parts for _ in range(n))]
+    speech, silence, likely, play, shout = (0.9, False, None), (0.1, False, None), (0.1, False, 0.7), (0.1, True, None), (0.9, True, None)
+    assert turns_loop(frames((9, *speech), (17, *silence)), rules) == []
+    assert turns_loop(frames((9, *speech), (18, *silence)), rules) == [(1, 0, 26, 27, "silence")]
+    assert turns_loop(frames((8, *speech), (40, *silence)), rules) == []
+    assert turns_loop(frames((9, *speech), (8, *likely)), rules) == [(1, 0, 16, 17, "complete")]
+    assert turns_loop(frames((9, *speech), (8, *silence), (5, *likely), (5, *silence)), rules) == [(1, 0, 26, 27, "silence")]
+    assert turns_loop(frames((5, *shout), (3, *play), (9, *shout), (18, *silence)), rules) == []
+    cut = turns_loop(frames((3, *play), (20, *shout), (18, *silence)), rules)
+    assert cut == [(1, 10, 40, 31, "silence")]
+
+
 @pytest.mark.parametrize("barge", [False, True])
 def test_turns_batch_and_stream_agree_with_the_rule(spark, tmp_path, barge):
     rules = tn.TurnRules(barge_in=barge)
@@ -312,3 +327,15 @@ def test_markers_without_start_pass_through(spark):
     got = {r.clip_id: r for r in mk.enrich(records, phones).collect()}
     assert got[1].enriched[0].expected_phoneme == "b" and got[1].enriched[0].sev == 5 and got[1].enriched[0].gop_score == 0.5
     assert got[2].enriched is None and got[2].markers[0].sev == "1" and len(got) == 3
+
+
+def test_turns_do_not_depend_on_the_order_of_equal_frames(spark):
+    rng = random.Random(4)
+    data = [(1, i // 3, rng.choice([0.1, 0.9]), rng.random() < 0.2, rng.choice([None, 0.7])) for i in range(400)]
+    rules = tn.TurnRules(endpoint_ms=96, short_ms=64, min_turn_ms=64, cooldown_s=0.064, barge_in=True, barge_frames=2, barge_prob=0.8)
+    results = []
+    for _ in range(2):
+        rng.shuffle(data)
+        df = spark.createDataFrame(data, "session long, i long, prob double, playing boolean, complete double")
+        results.append((sorted(map(str, tn.turns(df, rules).collect())), sorted(map(str, tn.barge_ins(df, rules).collect()))))
+    assert results[0] == results[1] and results[0][0] and results[0][1]

@@ -30,7 +30,7 @@ def frames_of(df):
     v = F.col("value")
     return df.select(
         F.col("user_id").alias("session"), i.alias("i"), F.least(v / 50, F.lit(1.0)).alias("prob"), (F.col("event_type") == "error").alias("playing"),
-        F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 10) / F.lit(10.0)).alias("complete"),
+        F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 10) / F.lit(10.0)).alias("complete"), "event_id",
     )
 
 
@@ -40,13 +40,13 @@ RULES = tn.TurnRules(endpoint_ms=96, short_ms=64, min_turn_ms=64, cooldown_s=0.0
 
 @query("recorded_turns")
 def recorded_turns(t):
-    return tn.turns(frames_of(t.events), RULES)
+    return tn.turns(frames_of(t.events), RULES, ties=["event_id"])
 
 
 @query("streamed_turns")
 def streamed_turns(t):
     out = scratch_path(t.spark, "turns")
-    stream = jobs.turn_stream(frames_of(event_stream(t)), RULES)
+    stream = jobs.turn_stream(frames_of(event_stream(t)), RULES, ["event_id"])
     jobs.drain_to_files(stream, scratch_path(t.spark, "checkpoint"), out)
     return t.spark.read.schema(stream.schema).parquet(out)
 
@@ -59,7 +59,7 @@ def streamed_turns(t):
         SELECT session, i AS at, frames FROM k WHERE k = 2""",
 )
 def barge_ins(t):
-    return tn.barge_ins(frames_of(t.events), tn.TurnRules(barge_prob=0.2, barge_frames=2))
+    return tn.barge_ins(frames_of(t.events), tn.TurnRules(barge_prob=0.2, barge_frames=2), ties=["event_id"])
 
 
 @query(

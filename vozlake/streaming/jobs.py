@@ -7,7 +7,7 @@ so a restarted job goes on where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vozlake.operators import edits as ed
-from vozlake.operators.turns import START, TurnRules, advance
+from vozlake.operators.turns import TIES, Listener, Run, TurnRules, marks
 
 WATERMARK = "10 minutes"
 
@@ -172,11 +172,10 @@ _TURN_OUT = T.StructType(
 )
 _TURN_STATE = T.StructType(
     [
-        T.StructField("started", T.BooleanType()),
-        T.StructField("first", T.LongType()),
+        T.StructField("start", T.LongType()),
         T.StructField("kept", T.LongType()),
-        T.StructField("speech", T.LongType()),
-        T.StructField("silence", T.LongType()),
+        T.StructField("voiced", T.LongType()),
+        T.StructField("quiet", T.LongType()),
         T.StructField("strong", T.LongType()),
         T.StructField("played", T.LongType()),
         T.StructField("cut", T.BooleanType()),
@@ -184,28 +183,27 @@ _TURN_STATE = T.StructType(
 )
 
 
-def turn_stream(frames: DataFrame, rules: TurnRules = TurnRules()) -> DataFrame:
+def turn_stream(frames: DataFrame, rules: TurnRules = TurnRules(), ties: Sequence[str] = TIES) -> DataFrame:
     """Finished turns of a frame stream; the open turn of a session is its state.
 
     Frames of a session must arrive in order across batches; inside a batch they
-    are sorted here.
+    are sorted here, ``ties`` settling equal numbers.
     """
+    flags = {f"__{name}": mark for name, mark in marks(rules).items()}
+    names, order = list(flags), ["i", *ties]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else START
-        rows = pd.concat(list(batches)).sort_values("i")
-        out = []
-        for i, prob, playing, complete in zip(rows["i"], rows["prob"], rows["playing"], rows["complete"]):
-            done = None if pd.isna(complete) else float(complete)
-            current, turn = advance(rules, tuple(current), (int(i), float(prob), bool(playing), done))
-            if turn:
-                out.append((key[0], *turn))
-        state.update(tuple(current))
+        listener = Listener(*state.get) if state.exists else Listener()
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        new = (rows[names] != rows[names].shift()).any(axis=1) | (rows["i"] != rows["i"].shift() + 1)
+        runs = rows.groupby(new.cumsum()).agg(first=("i", "min"), n=("i", "size"), **{c: (c, "first") for c in names})
+        heard = (listener.hear(rules, Run(*(int(x) for x in r[:2]), *(bool(x) for x in r[2:]))) for r in runs.itertuples(index=False, name=None))
+        out = [(key[0], *turn) for turn in heard if turn]
+        state.update((listener.start, listener.kept, listener.voiced, listener.quiet, listener.strong, listener.played, listener.cut))
         yield pd.DataFrame(out, columns=["session", "first", "last", "frames", "reason"])
 
-    return frames.select("session", "i", "prob", "playing", "complete").groupBy("session").applyInPandasWithState(
-        run, _TURN_OUT, _TURN_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    columns = dict.fromkeys(["session", "i", *ties, *flags])
+    return frames.withColumns(flags).select(*columns).groupBy("session").applyInPandasWithState(run, _TURN_OUT, _TURN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 _SENTENCE_OUT = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("sentence", T.StringType())])
