@@ -126,3 +126,26 @@ def test_delta_store_merges_fields_whatever_the_order_of_batches(spark, tmp_path
     packed = store.compact(str(tmp_path / "c"))
     assert sorted(tuple(r) for r in packed.read().select("id", "seq", "a", "b").collect()) == want
     assert packed.read().where(F.col("id") == "x").count() == 1
+
+
+def wave_bytes(before: bytes = b"", frames: int = 100, rf64: bool = False) -> bytes:
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16)
+    large = b"ds64" + struct.pack("<IQQQI", 28, 0, frames * 4, frames, 0) if rf64 else b""
+    size = 0xFFFFFFFF if rf64 else frames * 4
+    return (b"RF64" if rf64 else b"RIFF") + struct.pack("<I", 0) + b"WAVE" + large + before + fmt + b"data" + struct.pack("<I", size)
+
+
+def test_headers_far_into_a_file_and_unreadable_files(spark, tmp_path):
+    junk = b"JUNK" + struct.pack("<I", 100_001) + b"\0" * 100_002
+    for name, data in {"a": wave_bytes(), "b": wave_bytes(junk), "c": wave_bytes(junk, 5_000_000_000, True), "d": b"RIFF", "e": b"RIFF\0\0\0\0WAVEfmt ", "f": b""}.items():
+        (tmp_path / f"{name}.wav").write_bytes(data)
+    files = au.listing(spark, str(tmp_path))
+    got = {r.path[-5]: (r.sr, r.channels, r.frames) for r in au.inventory(files).collect()}
+    assert got == {"a": (8000, 2, 100), "b": (8000, 2, 100), "c": (8000, 2, 5_000_000_000)}
+    assert {r.path[-5] for r in au.unreadable(files).where("reason <> ''").collect()} == {"d", "e"}  # Spark lists no empty file
+
+
+def test_separator_that_shows_late(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("# head\n" * 3000 + "".join(f"w{k}.wav == words {k}\n" for k in range(60)))
+    got = {r.wav: r.text for r in au.transcripts(spark, [str(tmp_path)]).collect()}
+    assert len(got) == 60 and "words 7" in got.values()

@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from vozlake.operators import dialogue as dg
 from vozlake.operators.ordered import Ordered, exclusive, hash_bottom, hot_groups, linear, nest, nth, quantiles, salted_join
 
 
@@ -97,13 +98,17 @@ def test_salted_join(skewed, spark, how):
 
 
 def test_nest_keeps_every_row_in_order(skewed):
-    got = nest(skewed, ["k"], "t", F.col("id"), "ids", ["id"], part_rows=64, rows_per_task=100).collect()
-    whole = {}
-    for r in sorted(got, key=lambda r: r.part):
-        assert len(r.ids) <= 64
-        whole.setdefault(r.k, []).extend(r.ids)
-    assert whole == {k: [x.id for x in v] for k, v in by_key(skewed).items()}
+    got = nest(skewed, ["k"], "t", F.col("id"), "ids", ["id"]).collect()
+    assert {r.k: list(r.ids) for r in got} == {k: [x.id for x in v] for k, v in by_key(skewed).items()}
 
 
 def test_hot_groups_reports_only_large_groups(skewed):
     assert hot_groups(skewed, ["k"], 100) == [(("hot",), 400)]
+
+
+def test_long_groups_stay_whole(spark):
+    turns = spark.range(5000).select(F.lit(7).alias("conv_id"), ((F.col("id") * 37) % 5000).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = dg.nested_dialogues(turns).collect()
+    assert len(rows) == 1 and [int(t.text) * 37 % 5000 for t in rows[0].turns] == list(range(5000))
+    one = dg.alignment_json(turns.withColumns({"start": F.col("turn"), "end": F.col("turn") + 1, "role_label": F.lit("x")})).collect()
+    assert len(one) == 1 and one[0].json.count('"x"') == 5000

@@ -54,18 +54,17 @@ def dialogue_timeline(
     )
 
 
-def alignment_json(timeline: DataFrame, rate: int = 24000, key: str = "conv_id", by: str = "turn", part_rows: int = 4096) -> DataFrame:
+def alignment_json(timeline: DataFrame, rate: int = 24000, key: str = "conv_id", by: str = "turn") -> DataFrame:
     """Ground-truth transcript lines ``[text, [start, end], role]`` of a dialogue as JSON text."""
     seconds = lambda c: F.round(F.col(c) / F.lit(float(rate)), 3).cast("string")
     quoted = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', "$1")
     line = F.concat(F.lit("["), quoted("text"), F.lit(", ["), seconds("start"), F.lit(", "), seconds("end"), F.lit("], "), quoted("role_label"), F.lit("]"))
-    parts = nest(timeline, [key], by, line, "lines", part_rows=part_rows)
-    return parts.select(key, "part", F.concat(F.lit('{"alignments": ['), F.array_join("lines", ", "), F.lit("]}")).alias("json"))
+    return nest(timeline, [key], by, line, "lines").select(key, F.concat(F.lit('{"alignments": ['), F.array_join("lines", ", "), F.lit("]}")).alias("json"))
 
 
-def nested_dialogues(turns: DataFrame, key: str = "conv_id", by: str = "turn", fields: Sequence[str] = ("role", "text"), part_rows: int = 4096, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """One row per dialogue (per part of a very long one) with its turns in order."""
-    return nest(turns, [key], by, F.struct(*fields), "turns", part_rows=part_rows, rows_per_task=rows_per_task)
+def nested_dialogues(turns: DataFrame, key: str = "conv_id", by: str = "turn", fields: Sequence[str] = ("role", "text")) -> DataFrame:
+    """One row per dialogue with its turns in order."""
+    return nest(turns, [key], by, F.struct(*fields), "turns")
 
 
 def speaking_time(turns: DataFrame, key: str = "conv_id", speaker: str = "speaker") -> DataFrame:

@@ -66,7 +66,7 @@ def enrich(
         "t_start", "t_end", "tag", severity(F.col("sev")).alias("sev"), "note", "expected_phoneme", "expected_grapheme",
         F.when(known, F.round(score if score is not None else F.lit(0.5), 3)).alias("gop_score"),
     )
-    lists = nest(found, [clip], "marker", item, "enriched", rows_per_task=rows_per_task)
+    lists = nest(found, [clip], "marker", item, "enriched")
     out = good.drop("__bad").join(lists, clip, "left")
     passed = flagged.where("__bad").drop("__bad")
     return out.unionByName(passed, allowMissingColumns=True)

@@ -397,23 +397,13 @@ def salted_join(
     return salted.join(copied, [*on, "__salt"], how).drop("__salt")
 
 
-def nest(
-    df: DataFrame,
-    keys: Sequence[str],
-    by: Column | str,
-    item: Column,
-    out: str,
-    ties: Sequence[str] = (),
-    part_rows: int = 4096,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Collect the rows of a group into an ordered array of ``item``.
+def nest(df: DataFrame, keys: Sequence[str], by: Column | str, item: Column, out: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Collect the rows of each group into one array of ``item``, ordered by ``by``, then ``ties``, then the item itself.
 
-    A group of up to ``part_rows`` rows gives one row with ``part`` 0.  A longer
-    group gives consecutive parts, so no array grows with the data.
+    For formats that ask for an array.  A group is one row however long it is; where that must not grow,
+    stay with the rows.
     """
-    o = Ordered(df.withColumn("__item", item), keys, by, ties, rows_per_task).row_number("__rn")
-    part = F.floor((F.col("__rn") - 1) / F.lit(part_rows)).cast("int")
-    pairs = F.sort_array(F.collect_list(F.struct("__rn", "__item")))
-    grouped = o.df.groupBy(*keys, part.alias("part")).agg(pairs.alias("__pairs"))
-    return grouped.select(*keys, "part", F.transform("__pairs", lambda p: p["__item"]).alias(out))
+    order = [F.col(by) if isinstance(by, str) else by, *[F.col(c) for c in ties]]
+    entry = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], item.alias("item"))
+    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__entries"))
+    return grouped.select(*keys, F.transform("__entries", lambda e: e["item"]).alias(out))

@@ -48,16 +48,23 @@ def dialogue_timeline(t):
     return dg.dialogue_timeline(spoken(t)).select("conv_id", "turn", "start", "end", "channel", "role_label")
 
 
-@query("dialogue_alignments")
+@query(
+    "dialogue_alignments",
+    using(
+        "turns",
+        body=f"""WITH {_SP} SELECT conv_id, md5('{{{{"alignments": [' || string_agg('[' || to_json(text)::VARCHAR || ', [' || round(st / 24000.0::DOUBLE, 3) || ', ' || round((st + samples) / 24000.0::DOUBLE, 3) || '], '
+        || CASE WHEN spk = 'A' THEN '"SPEAKER_MAIN"' ELSE '"SPEAKER_OTHER"' END || ']', ', ' ORDER BY turn) || ']}}}}') AS json_md5 FROM ti GROUP BY 1""".replace("{{", "{").replace("}}", "}"),
+    ),
+)
 def dialogue_alignments(t):
-    return dg.alignment_json(dg.dialogue_timeline(spoken(t)))
+    return dg.alignment_json(dg.dialogue_timeline(spoken(t))).select("conv_id", F.md5("json").alias("json_md5"))
 
 
-@query("nested_dialogues", using("turns", body="SELECT conv_id, 0 AS part, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS text_md5 FROM turns GROUP BY 1"))
+@query("nested_dialogues", using("turns", body="SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS text_md5 FROM turns GROUP BY 1"))
 def nested_dialogues(t):
     got = dg.nested_dialogues(roles.turns(t))
     pick = lambda f: F.transform("turns", lambda x: x[f])
-    return got.select("conv_id", "part", F.size("turns").alias("turns"), F.array_join(pick("role"), ">").alias("roles"), F.md5(F.array_join(pick("text"), "|")).alias("text_md5"))
+    return got.select("conv_id", F.size("turns").alias("turns"), F.array_join(pick("role"), ">").alias("roles"), F.md5(F.array_join(pick("text"), "|")).alias("text_md5"))
 
 
 def diarized(t):

@@ -90,7 +90,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "turns": (
         (),
-        """SELECT conv_id, turn, role, text, conv_id * 1000 + turn AS turn_id,
+        """SELECT conv_id, turn, role, text, conv_id * 4294967296 + turn AS turn_id,
         round(0.5::DOUBLE + length(text) / 60.0::DOUBLE, 3) AS dur_s FROM conversations""",
     ),
     "words": (
@@ -224,13 +224,17 @@ def manifest(t: Tables) -> DataFrame:
     )
 
 
+#: A conversation, turn or piece number takes up to 32 bits, so keys made of two of them can't collide.
+TURNS = 1 << 32
+
+
 def turns(t: Tables) -> DataFrame:
     return t.conversations.select(
         "conv_id",
         "turn",
         "role",
         "text",
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("turn_id"),
         F.round(F.lit(0.5) + F.length("text") / F.lit(60.0), 3).alias("dur_s"),
     )
 

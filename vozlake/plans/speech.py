@@ -290,7 +290,7 @@ def timeline(t):
 
 
 def timed_markers(t):
-    turn_id = F.col("user_id") * 1000 + F.col("event_id") % 8
+    turn_id = F.col("user_id") * roles.TURNS + F.col("event_id") % 8
     sev = F.when(F.col("event_id") % 6 == 0, "grave").otherwise((F.col("event_id") % 9).cast("string"))
     start = F.col("value") % F.lit(7.0)
     rows = t.events.select(
@@ -301,7 +301,7 @@ def timed_markers(t):
 
 _TL = """tl AS (SELECT turn_id, k, ch, n, dur_s, k * (dur_s / n) AS s, (k + 1) * (dur_s / n) AS e FROM
         (SELECT turn_id, dur_s, len(l) AS n, unnest(l) AS ch, unnest(range(len(l))) AS k FROM (SELECT turn_id, dur_s, regexp_extract_all(lower(text), '[a-z]') AS l FROM turns))),
-        mkr AS (SELECT user_id * 1000 + event_id % 8 AS turn_id, event_id AS marker, value % 7.0::DOUBLE AS t0, value % 7.0::DOUBLE + 0.35::DOUBLE AS t1 FROM events WHERE user_id * 1000 + event_id % 8 IN (SELECT turn_id FROM turns)),
+        mkr AS (SELECT user_id * 4294967296 + event_id % 8 AS turn_id, event_id AS marker, value % 7.0::DOUBLE AS t0, value % 7.0::DOUBLE + 0.35::DOUBLE AS t1 FROM events WHERE user_id * 4294967296 + event_id % 8 IN (SELECT turn_id FROM turns)),
         ov AS (SELECT marker, ch, k, s, least(e, t1) - greatest(s, t0) AS o FROM mkr JOIN tl USING (turn_id) WHERE s < t1 AND e > t0)"""
 
 

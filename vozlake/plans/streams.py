@@ -144,7 +144,7 @@ def streamed_edit_log(t):
 def streamed_sentences(t):
     raw = jobs.file_stream(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
     pieces = raw.select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("k", "piece"), F.size(F.split("text", "(?<= )")).alias("n"))
-    chunks = pieces.select("conv_id", (F.col("turn") * 1000000 + F.col("k")).alias("pos"), "piece", (F.col("k") == F.col("n") - 1).alias("last"))
+    chunks = pieces.select("conv_id", (F.col("turn") * roles.TURNS + F.col("k")).alias("pos"), "piece", (F.col("k") == F.col("n") - 1).alias("last"))
     out = scratch_path(t.spark, "sentences")
     stream = jobs.sentence_stream(chunks)
     jobs.drain_to_files(stream, scratch_path(t.spark, "checkpoint"), out)

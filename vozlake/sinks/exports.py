@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vozlake.functions import text as tx
-from vozlake.operators.ordered import nest
+from vozlake.operators.ordered import Ordered, nest
 from vozlake.sources.files import base_name
 
 
@@ -23,16 +23,18 @@ def write_train(gated: DataFrame, path: str, speaker: str = "speaker", key: str
     ordered(rejects).write.mode("overwrite").partitionBy(speaker).json(f"{path}/rejects")
 
 
-def _array_parts(rows: DataFrame, item: Column, by: Column | str, ties: list[str], part_rows: int) -> DataFrame:
-    """Rows as JSON arrays of at most ``part_rows`` items."""
-    return nest(rows, [], by, item, "items", ties, part_rows=part_rows).select(F.to_json("items").alias("value"))
+def _arrays(rows: DataFrame, item: Column, by: str, ties: list[str], array_rows: int) -> DataFrame:
+    """Rows in order as JSON arrays of ``array_rows`` items each; the last one may be shorter."""
+    numbered = Ordered(rows, [], by, ties).row_number("__rn").df
+    placed = numbered.withColumn("__array", F.floor((F.col("__rn") - 1) / F.lit(array_rows)))
+    return nest(placed, ["__array"], "__rn", item, "items").select(F.to_json("items").alias("value"))
 
 
-def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq", part_rows: int = 10_000) -> None:
+def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq", array_rows: int = 10_000) -> None:
     """One split in several training formats.
 
     ``canonical`` JSON lines; ``csm`` JSON arrays of one-turn conversations
-    without sound events; ``orpheus`` JSON lines with the control prefix;
+    without sound events, ``array_rows`` to an array; ``orpheus`` JSON lines with the control prefix;
     ``ljspeech`` lines ``name|text``.
     """
     prefixed = F.concat(tx.style_prefix(F.col("style"), F.col("accent")), "text")
@@ -41,7 +43,7 @@ def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq
     if "csm" in formats:
         talk = rows.where(F.coalesce(F.col("kind"), F.lit("")) != "paralinguistico")
         item = F.struct(F.lit(0).alias("speaker"), prefixed.alias("text"), F.col("audio"))
-        _array_parts(talk, item, by, ["audio"], part_rows).write.mode("overwrite").text(f"{path}/csm")
+        _arrays(talk, item, by, ["audio"], array_rows).write.mode("overwrite").text(f"{path}/csm")
     if "orpheus" in formats:
         rows.select("audio", prefixed.alias("text")).write.mode("overwrite").json(f"{path}/orpheus")
     if "ljspeech" in formats:
@@ -49,10 +51,10 @@ def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq
         rows.select(line.alias("value")).write.mode("overwrite").text(f"{path}/ljspeech")
 
 
-def write_conversations(rows: DataFrame, path: str, by: str = "seq", part_rows: int = 10_000) -> None:
-    """Conversations of one segment each: arrays of one-element arrays."""
+def write_conversations(rows: DataFrame, path: str, by: str = "seq", array_rows: int = 10_000) -> None:
+    """Conversations of one segment each: arrays of ``array_rows`` one-element arrays."""
     item = F.array(F.struct("text", F.col("audio").alias("audio_path"), F.lit(0).alias("speaker")))
-    _array_parts(rows, item, by, ["audio"], part_rows).write.mode("overwrite").text(path)
+    _arrays(rows, item, by, ["audio"], array_rows).write.mode("overwrite").text(path)
 
 
 def append_unseen(rows: DataFrame, path: str, key: str = "path") -> None:

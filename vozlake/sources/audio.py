@@ -1,13 +1,14 @@
 """Audio files as tables: where they are, how long they are, which text belongs to them.
 
 Only headers are read.  File contents never enter a plan: the listing selects
-path and size, and a task opens each file for its first bytes.
+path and size, and a task opens each file and seeks from chunk to chunk.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,7 @@ from pyspark.sql import types as T
 
 from vozlake.functions import text as tx
 from vozlake.sources.files import base_name
-from vozlake.sources.streams import open_stream
-
-HEAD_BYTES = 65536
+from vozlake.sources.streams import open_file
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
@@ -27,47 +26,65 @@ def listing(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
     return files.select("path", "length")
 
 
-def read_head(path: str, size: int = HEAD_BYTES) -> bytes:
-    """First bytes of a file."""
-    with open_stream(path) as stream:
-        return stream.read(size)
+#: Sizes of this value stand in the ds64 chunk of a file beyond 4 GB.
+ELSEWHERE = 0xFFFFFFFF
 
 
-def wav_header(head: bytes) -> tuple[int, int, int]:
-    """(sample rate, channels, frames) of a RIFF/WAVE header."""
-    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+def wav_header(stream: BinaryIO) -> tuple[int, int, int]:
+    """(sample rate, channels, frames) of a RIFF or RF64 wave file; reads chunk heads only, wherever they lie."""
+    head = stream.read(12)
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise ValueError("not a wave file")
-    at, rate, channels, align = 12, 0, 0, 0
-    while at + 8 <= len(head):
-        name, size = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            channels, rate, _, align = struct.unpack("<HIIH", head[at + 10 : at + 22])
+    rate = channels = align = large = 0
+    while len(head := stream.read(8)) == 8:
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
+        after = stream.tell() + size + size % 2
+        if name == b"ds64":
+            large = struct.unpack("<8xQ", stream.read(16))[0]
+        elif name == b"fmt ":
+            channels, rate, _, align = struct.unpack("<HIIH", stream.read(14)[2:])
         elif name == b"data":
             if not rate or not align:
                 raise ValueError("no format")
-            return rate, channels, size // align
-        at += 8 + size + size % 2
+            return rate, channels, (large if size == ELSEWHERE and large else size) // align
+        stream.seek(after)
     raise ValueError("no data")
 
 
-_HEAD = T.StructType([T.StructField("path", T.StringType()), T.StructField("sr", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("frames", T.LongType())])
+_HEAD = T.StructType(
+    [T.StructField("path", T.StringType()), T.StructField("sr", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("frames", T.LongType()), T.StructField("problem", T.StringType())]
+)
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """(path, sr, channels, frames, dur_s) from headers; files that cannot be read drop out."""
+def headers(files: DataFrame) -> DataFrame:
+    """(path, sr, channels, frames, problem) of every file; ``problem`` says why a header can't be read.
+
+    A file that can't be opened fails the task, so that Spark tries again; only the file's own content makes a problem.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                try:
-                    rows.append((path, *wav_header(read_head(path))))
-                except (ValueError, OSError, struct.error):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "sr", "channels", "frames"])
+                with open_file(path) as stream:
+                    try:
+                        rows.append((path, *wav_header(stream), None))
+                    except (ValueError, struct.error) as problem:
+                        rows.append((path, None, None, None, str(problem)))
+            yield pd.DataFrame(rows, columns=["path", "sr", "channels", "frames", "problem"]).astype({"sr": "Int32", "channels": "Int32", "frames": "Int64"})
+
+    return files.select("path").repartition(F.col("path")).mapInPandas(read, _HEAD)
+
 
-    got = files.select("path").repartition(F.col("path")).mapInPandas(read, _HEAD)
-    return got.where("sr > 0").withColumn("dur_s", F.col("frames") / F.col("sr"))
+def inventory(files: DataFrame) -> DataFrame:
+    """(path, sr, channels, frames, dur_s) of the readable files."""
+    return headers(files).where("problem is null and sr > 0").drop("problem").withColumn("dur_s", F.col("frames") / F.col("sr"))
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(path, reason) of the files that ``inventory`` leaves out."""
+    bad = headers(files).where("problem is not null or sr <= 0")
+    return bad.select("path", F.coalesce("problem", F.lit("no sample rate")).alias("reason"))
 
 
 def run_files(files: DataFrame, root_depth: int = 2) -> DataFrame:
@@ -79,20 +96,12 @@ def run_files(files: DataFrame, root_depth: int = 2) -> DataFrame:
 def transcripts(spark: SparkSession, globs: list[str], least: int = 50) -> DataFrame:
     """(wav, text) from the first transcript file, by path length, that has more than ``least`` valid lines.
 
-    The separator is ``==`` or ``|``, whichever the head of the file shows.
+    The separator is ``==`` if any line of the file has it, else ``|``.
     """
     lines = spark.read.text(globs).select(F.col("_metadata.file_path").alias("file"), tx.strip(F.col("value")).alias("line"))
 
-    def separators(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file in batch["file"]:
-                head = read_head(file, 16000).decode("utf-8", "ignore")[:4000]
-                rows.append((file, "==" if "==" in head else "|" if "|" in head else None))
-            yield pd.DataFrame(rows, columns=["file", "sep"])
-
-    names = lines.select("file").distinct()
-    seps = names.mapInPandas(separators, "file string, sep string").where("sep is not null")
+    shows = lambda mark: F.bool_or(F.instr("line", mark) > 0)
+    seps = lines.groupBy("file").agg(F.when(shows("=="), "==").when(shows("|"), "|").alias("sep")).where("sep is not null")
     joined = lines.join(seps, "file").where(F.instr("line", F.col("sep")) > 0)
     at = F.instr("line", F.col("sep"))
     wav = base_name(tx.strip(F.substring("line", F.lit(1), at - 1)))
