@@ -339,3 +339,17 @@ def test_turns_do_not_depend_on_the_order_of_equal_frames(spark):
         df = spark.createDataFrame(data, "session long, i long, prob double, playing boolean, complete double")
         results.append((sorted(map(str, tn.turns(df, rules).collect())), sorted(map(str, tn.barge_ins(df, rules).collect()))))
     assert results[0] == results[1] and results[0][0] and results[0][1]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_totals_do_not_depend_on_the_batches(spark, tmp_path, files):
+    rows = [(k, (k * 7919) % 100_000, k % 3, float(k % 17)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, at long, stage long, seconds double").withColumn("ts", F.timestamp_seconds(F.col("at")))
+    for k in range(files):
+        df.where(F.col("id") % files == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), df.schema, files=1)
+    got = jobs.updating(jobs.stage_latency(stream.select("ts", "stage", "seconds")), str(tmp_path / "out"), str(tmp_path / "cp"), ["start", "stage"]).collect()
+    assert sum(r.n for r in got) == 900
+    levels = jobs.updating(jobs.level_meter(stream.select("ts", F.col("stage").alias("channel"), F.col("seconds").alias("x")), "1 hour"), str(tmp_path / "lv"), str(tmp_path / "cp2"), ["start", "channel"])
+    want = df.groupBy(F.window("ts", "1 hour")["start"].alias("start"), "stage").agg(F.max("seconds").alias("peak")).collect()
+    assert sorted(map(tuple, levels.collect())) == sorted(map(tuple, want))

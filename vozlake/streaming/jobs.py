@@ -110,19 +110,26 @@ def resolve_edits(stream: DataFrame, store: DeltaStore, checkpoint: str) -> Data
 # ---- windows ---------------------------------------------------------------
 
 
-def stage_latency(stream: DataFrame, window: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+def _within(stream: DataFrame, watermark: str | None) -> DataFrame:
+    """History comes in any order: without a watermark no row is late, and totals don't depend on the batches.
+
+    A live stream sets one to bound its state, and loses what comes later than that."""
+    return stream.withWatermark("ts", watermark) if watermark else stream
+
+
+def stage_latency(stream: DataFrame, window: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Count, mean, p50 and p95 per window and stage (ts, stage, seconds)."""
     return (
-        stream.withWatermark("ts", watermark)
+        _within(stream, watermark)
         .groupBy(F.window("ts", window).alias("w"), "stage")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean_s"), F.percentile_approx("seconds", F.array(F.lit(0.5), F.lit(0.95)), 10000).alias("__p"))
         .select(F.col("w.start").alias("start"), "stage", "n", "mean_s", F.col("__p")[0].alias("p50_s"), F.col("__p")[1].alias("p95_s"))
     )
 
 
-def level_meter(stream: DataFrame, window: str = "5 seconds", watermark: str = WATERMARK) -> DataFrame:
+def level_meter(stream: DataFrame, window: str = "5 seconds", watermark: str | None = None) -> DataFrame:
     """Peak per channel and window (ts, channel, x)."""
-    peaks = stream.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "channel").agg(F.max(F.abs("x")).alias("peak"))
+    peaks = _within(stream, watermark).groupBy(F.window("ts", window).alias("w"), "channel").agg(F.max(F.abs("x")).alias("peak"))
     return peaks.select(F.col("w.start").alias("start"), "channel", "peak")
 
 
