@@ -23,7 +23,7 @@ def test_sums_equal_all_segmentations():
     table[len(pieces)] = 0
     for length in (1, 2, 5, 7):
         words = list({"".join(rng.choice(list("abz"), length)) for _ in range(12)})
-        lattice = lg.Lattice(words, index, 4)
+        lattice = lg.Lattice(words, lg.Pieces(pieces))
         sums = lattice.forward(table)[-1]
         use = lattice.expected(table[:, :1], np.arange(1.0, len(words) + 1))
         want_use = np.zeros(len(table))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +31,7 @@ from vozlake.llm.common import bounded_batches, in_fold, materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS, SMOOTHING, MOST_PIECE, OTHER = 2, 0.1, 12, 0.1
-COUNTED, REMEMBERED, BLOCK = 200_000, 300_000, 4096
+COUNTED, REMEMBERED, BLOCK, TEXTS = 200_000, 400_000, 4096, 1000
 SMALL = 1e-300
 UNKNOWN = "und"
 LONGEST_WORD = 40
@@ -53,37 +53,76 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Pieces:
+    """Finds pieces by 64-bit hashes of their characters, for many substrings at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]):
+        hashes = np.array([self.hash_of(piece) for piece in pieces], np.uint64)
+        self.count, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        # One bit for each value of a hash's first 22 bits tells most other substrings apart at once.
+        self.marked = np.zeros(1 << 22, bool)
+        self.marked[hashes >> np.uint64(42)] = True
+
+    @classmethod
+    def hash_of(cls, piece: str) -> int:
+        value = 0
+        for character in piece:
+            value = (value * int(cls.BASE) + ord(character)) % (1 << 64)
+        return value
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each piece; the number of pieces where there is none."""
+        out = np.full(len(hashes), self.count, np.int32)
+        likely = np.flatnonzero(self.marked[hashes >> np.uint64(42)])
+        if len(likely):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[likely]), self.count - 1)
+            hit = self.hashes[at] == hashes[likely]
+            out[likely[hit]] = self.order[at[hit]]
+        return out
+
+
 class Lattice:
     """All segmentations of words of one length: which piece lies between any two places, for every word."""
 
-    def __init__(self, words: list[str], index: Mapping[str, int], longest: int):
-        lines, self.places = ["▁" + word for word in words], len(words[0]) + 1
-        self.spans = [(start, end) for end in range(1, self.places + 1) for start in range(max(0, end - longest), end)]
-        nothing, other = len(index), len(index) + 1
-        flat = [index.get(line[start:end], nothing) for line in lines for start, end in self.spans]
-        self.pieces = np.array(flat, np.int32).reshape(len(lines), len(self.spans))
-        for column, (start, end) in enumerate(self.spans):
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.places = len(words[0]) + 1
+        letters = np.array(["▁" + word for word in words], f"<U{self.places}").view(np.uint32).reshape(len(words), self.places).astype(np.uint64)
+        self.spans = [(start, end) for end in range(1, self.places + 1) for start in range(max(0, end - pieces.longest), end)]
+        self.pieces = np.empty((len(self.spans), len(words)), np.int32)
+        running: dict[int, np.ndarray] = {}
+        for row, (start, end) in enumerate(self.spans):
+            last = letters[:, end - 1]
+            running[start] = running[start] * Pieces.BASE + last if end - start > 1 else last
+            found = pieces.find(running[start])
             if end - start == 1:
-                self.pieces[self.pieces[:, column] == nothing, column] = other
+                found[found == pieces.count] = pieces.count + 1  # an unknown character
+            self.pieces[row] = found
 
     def forward(self, table: np.ndarray) -> list[np.ndarray]:
         """Sums over all cuts of the first letters, one row per word; ``table`` has a row per piece."""
-        sums = [np.ones((len(self.pieces), table.shape[1]))] + [np.zeros((len(self.pieces), table.shape[1])) for _ in range(self.places)]
-        for column, (start, end) in enumerate(self.spans):
-            sums[end] += sums[start] * table[self.pieces[:, column]]
+        shape = (self.pieces.shape[1], table.shape[1])
+        sums = [np.ones(shape)] + [np.zeros(shape) for _ in range(self.places)]
+        for row, (start, end) in enumerate(self.spans):
+            sums[end] += sums[start] * table[self.pieces[row]]
         return sums
 
     def expected(self, table: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected use of every piece, over all cuts of every word, each word ``times``; ``table`` has one column."""
         before = self.forward(table)
-        after = [np.zeros((len(self.pieces), 1)) for _ in range(self.places)] + [np.ones((len(self.pieces), 1))]
-        use = np.zeros(len(table))
+        n = self.pieces.shape[1]
+        after = [np.zeros((n, 1)) for _ in range(self.places)] + [np.ones((n, 1))]
+        use = np.empty(self.pieces.shape)
         share = times[:, None] / np.maximum(before[-1], SMALL)
-        for column, (start, end) in reversed(list(enumerate(self.spans))):
-            p = table[self.pieces[:, column]]
-            after[start] += p * after[end]
-            use += np.bincount(self.pieces[:, column], (before[start] * p * after[end] * share)[:, 0], len(table))
-        return use
+        for row in range(len(self.spans) - 1, -1, -1):
+            start, end = self.spans[row]
+            onward = table[self.pieces[row]] * after[end]
+            after[start] += onward
+            use[row] = (before[start] * onward * share)[:, 0]
+        return np.bincount(self.pieces.ravel(), use.ravel(), len(table))
 
 
 def by_length(words: Iterable[str]) -> dict[int, list[str]]:
@@ -98,30 +137,36 @@ class Model:
     """A column per language; a row per piece, then one of zeros, then that of an unknown character."""
 
     languages: list[str]
-    index: dict[str, int]
+    pieces: Pieces
     table: np.ndarray
-    longest: int
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Remember the logarithm of each word's probability in every language, over all segmentations."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known, self.logs = {}, np.zeros((0, 0))
+        found = [self.logs.reshape(-1, len(self.languages))]
         for group in by_length(word for word in words if word not in self.known).values():
             for at in range(0, len(group), BLOCK):
                 part = group[at : at + BLOCK]
-                sums = Lattice(part, self.index, self.longest).forward(self.table)[-1]
-                self.known.update(zip(part, np.log(np.maximum(sums, SMALL)), strict=True))
-
-    def judge(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+                sums = Lattice(part, self.pieces).forward(self.table)[-1]
+                for word in part:
+                    self.known[word] = len(self.known)
+                found.append(np.log(np.maximum(sums, SMALL)))
+        self.logs = np.concatenate(found)
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Best language and posterior of each text; words are learnt for many texts at a time."""
+        counts = [Counter(words_of(text or "")) for text in texts]
+        if self.languages:
+            self.learn(set().union(*counts))
         out = []
-        for text in texts:
-            counts = Counter(words_of(text or ""))
-            if not counts or not self.languages:
+        for own in counts:
+            if not own or not self.languages:
                 out.append((UNKNOWN, 0.0))
                 continue
-            self.learn(counts)
-            total = np.fromiter(counts.values(), float, len(counts)) @ np.array([self.known[word] for word in counts])
+            total = np.fromiter(own.values(), float, len(own)) @ self.logs[[self.known[word] for word in own]]
             chance = np.exp(total - total.max())
             best = int(np.argmax(chance))
             out.append((self.languages[best], float(chance[best] / chance.sum())))
@@ -151,12 +196,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def expected_counts(words: DataFrame, languages: list[str], index: Mapping[str, int], table: np.ndarray, longest: int) -> np.ndarray:
+def expected_counts(words: DataFrame, languages: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Expected use of each piece per language, summed over all words."""
-    shipped = words.sparkSession.sparkContext.broadcast((languages, index, table))  # at most vocabulary times languages
+    shipped = words.sparkSession.sparkContext.broadcast((languages, pieces, table))  # at most vocabulary times languages
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, places, chances = shipped.value
+        names, known, chances = shipped.value
         sums = np.zeros_like(chances)
         for batch in batches:
             for lang, own in batch.groupby("lang"):
@@ -166,7 +211,7 @@ def expected_counts(words: DataFrame, languages: list[str], index: Mapping[str,
                     for at in range(0, len(group), BLOCK):
                         part = group[at : at + BLOCK]
                         each = np.array([times[word] for word in part], float)
-                        sums[:, column] += Lattice(part, places, longest).expected(chances[:, column : column + 1], each)
+                        sums[:, column] += Lattice(part, known).expected(chances[:, column : column + 1], each)
         piece, column = np.nonzero(sums)
         yield pd.DataFrame({"piece": piece, "column": column, "x": sums[piece, column]})
 
@@ -178,21 +223,21 @@ def expected_counts(words: DataFrame, languages: list[str], index: Mapping[str,
 
 def fit(rows: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> Model:
     """``rows``: text and lang of the training documents; rows without a language are left out."""
-    pieces = load_pieces(vocabulary)
-    index, longest, n = {piece: k for k, piece in enumerate(pieces)}, max(map(len, pieces)), len(pieces)
+    pieces = Pieces(load_pieces(vocabulary))
+    n = pieces.count
     words = materialize(word_counts(rows.where(F.col("lang").isNotNull())), "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     table = np.full((n + 2, len(languages)), 1.0 / n)
     table[n:] = [[0.0], [OTHER / n]]
     for _ in range(rounds if languages else 0):
-        counts = expected_counts(words, languages, index, table, longest)[:n]
+        counts = expected_counts(words, languages, pieces, table)[:n]
         total = counts.sum(axis=0) + smoothing * n
         table[:n] = (counts + smoothing) / total
         # A language with little text has large floors; one floor for all keeps that from deciding.
         floor = (smoothing / total).max()
         table[:n] = np.maximum(table[:n], floor)
         table[n + 1] = OTHER * floor
-    return Model(languages, index, table, longest)
+    return Model(languages, pieces, table)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
@@ -202,7 +247,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", out: str = "langua
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(shipped.value.judge(texts), columns=["lang", "score"])
+        whole = texts.tolist()
+        parts = (shipped.value.judge(whole[at : at + TEXTS]) for at in range(0, len(whole), TEXTS))
+        return pd.DataFrame([answer for part in parts for answer in part], columns=["lang", "score"])
 
     return df.withColumn(out, judged(F.col(f"`{text}`")))
 
