@@ -1,8 +1,8 @@
 """Walks, alignments and turns against plain loops over small random data."""
 
-import difflib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -134,9 +134,12 @@ def test_phrases(spark, limit):
 
 def align_loop(cur, asr):
     ts = [None] * len(cur)
-    for b in difflib.SequenceMatcher(a=cur, b=[w for w, _, _ in asr], autojunk=False).get_matching_blocks():
-        for k in range(b.size):
-            ts[b.a + k] = asr[b.b + k][1:]
+    ops, _, _ = wer.word_operations(cur, [w for w, _, _ in asr])
+    i = j = 0
+    for op in ops:
+        if op == "ok":
+            ts[i] = asr[j][1:]
+        i, j = i + (op != "ins"), j + (op != "del")
     matched = sum(t is not None for t in ts)
     for i in range(len(ts)):
         if ts[i] is None:
@@ -160,8 +163,11 @@ def test_word_alignment(spark):
             asr.append((rng.choice("abcde"), t, t + 0.2))
             t += rng.choice([0.2, 0.9])
         want, cover = align_loop(cur, asr)
-        got = pr.align_pair(cur, cur, [w for w, _, _ in asr], [s for _, s, _ in asr], [e for _, _, e in asr])
-        assert [(w["start"], w["end"]) for w in got["words"]] == [pytest.approx(x) for x in want] and got["coverage"] == cover
+        matches = wer.word_matches(cur, [w for w, _, _ in asr])
+        got = pr.word_times(matches, np.array([s for _, s, _ in asr]), np.array([e for _, _, e in asr]))
+        assert list(zip(*got)) == [pytest.approx(x) for x in want] and (matches >= 0).mean() == pytest.approx(cover)
+    assert [len(x) for x in pr.word_times(np.zeros(0, int), np.zeros(0), np.zeros(0))] == [0, 0]
+    assert list(pr.word_times(np.array([-1, -1]), np.zeros(0), np.zeros(0))[1]) == [0.0, 0.0]
     df = spark.createDataFrame([("Olá, “mundo” !", [("ola", 0.0, 0.3), ("MUNDO", 0.4, 0.9)])], "text string, heard array<struct<word:string,start:double,end:double>>")
     r = pr.align_words(df).first()
     assert [(w.word, w.start) for w in r.aligned] == [("Olá,", 0.0), ("mundo", 0.4)] and r.coverage == 1.0
