@@ -58,13 +58,16 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 def models(forest: bool = True, trees: int = 200) -> dict[str, object]:
     """Logistic regression (ridge, C = 1) and a random forest, both on balanced classes."""
-    out = {"LR": LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=0.001, elasticNetParam=0.0, maxIter=100, standardization=False)}
+    out = {"LR": LogisticRegression(featuresCol="scaled", weightCol="weight", elasticNetParam=0.0, maxIter=100, standardization=False)}
     if forest:
         out["RF"] = RandomForestClassifier(featuresCol="scaled", weightCol="weight", numTrees=trees, maxDepth=8, minInstancesPerNode=5, seed=42)
     return out
 
 
 def fit(rows: DataFrame, model):
+    """Scale, then fit.  Weights are balanced and add up to the rows, so C = 1 is a ridge of one over their number."""
+    if isinstance(model, LogisticRegression):
+        model = model.copy({model.regParam: 1.0 / max(1, rows.count())})
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True), model]
     return Pipeline(stages=stages).fit(rows)
 

@@ -72,8 +72,8 @@ def speaking_time(turns: DataFrame, key: str = "conv_id", speaker: str = "speake
 
 
 def main_speaker(times: DataFrame, requested: Column | None = None, auto: bool = True, key: str = "conv_id", speaker: str = "speaker") -> DataFrame:
-    """The requested speaker, else the one who talks longest (or, without ``auto``, the first label)."""
-    longest = F.max_by(F.col(speaker), F.struct(F.col("seconds"))) if auto else F.min(speaker)
+    """The requested speaker, else the one who talks longest (or, without ``auto``, the first label); ties go to the first label."""
+    longest = F.min_by(F.col(speaker), F.struct(-F.col("seconds"), F.col(speaker))) if auto else F.min(speaker)
     asked = requested if requested is not None else F.lit(None).cast("string")
     return times.groupBy(key).agg(F.coalesce(F.max(asked), longest).alias("main"))
 

@@ -29,8 +29,8 @@ def frame_levels(samples: DataFrame, frame: int, clip: str = "clip_id") -> DataF
     ).withColumn("db", sg.db(F.col("rms")))
 
 
-def clip_levels(samples: DataFrame, step: int = 40, clip: str = "clip_id") -> DataFrame:
-    """Peak and RMS from every ``step``-th sample."""
+def clip_levels(samples: DataFrame, step: int = 1, clip: str = "clip_id") -> DataFrame:
+    """Peak and RMS from all samples, or from every ``step``-th one."""
     return samples.where(F.pmod("i", F.lit(step)) == 0).groupBy(clip).agg(F.max(F.abs("x")).alias("peak"), sg.rms(F.col("x")).alias("rms"))
 
 

@@ -187,9 +187,10 @@ def corpus_hours(manifest: DataFrame) -> DataFrame:
     return out.unionByName(total).select("source", "clips", F.round(F.col("__s") / 3600, 6).alias("hours"), "shippable", "research")
 
 
-def estimated_hours(rows: DataFrame, sample: int = 2000, by: str = "seq", dur: str = "dur_s") -> DataFrame:
-    """Hours from the mean of the first ``sample`` rows, next to the exact sum."""
-    head = rows.orderBy(by).limit(sample).agg(F.avg(dur).alias("__mean"))
+def estimated_hours(rows: DataFrame, share: float = 0.1, seed: int = 42, key: str = "seq", dur: str = "dur_s") -> DataFrame:
+    """Hours from the mean of a seeded ``share`` of the rows, next to the exact sum."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), 1, 8), 16, 10).cast("long")
+    head = rows.where(draw < F.lit(int(share * 2**32))).agg(F.avg(dur).alias("__mean"))
     whole = rows.agg(F.count(F.lit(1)).alias("clips"), F.sum(dur).alias("__sum"))
     return beside(whole, head).select(
         "clips",

@@ -157,7 +157,7 @@ def corpus_hours(t):
     "estimated_hours",
     using(
         "clips",
-        body="""SELECT (SELECT count(*) FROM clips) AS clips, round((SELECT avg(dur_s) FROM (SELECT dur_s FROM clips ORDER BY seq LIMIT 2000)) * (SELECT count(*) FROM clips) / 3600, 6) AS estimated_hours,
+        body="""SELECT (SELECT count(*) FROM clips) AS clips, round((SELECT avg(dur_s) FROM clips WHERE ('0x' || substr(md5('42|' || seq), 1, 8))::BIGINT < 429496729) * (SELECT count(*) FROM clips) / 3600, 6) AS estimated_hours,
         round((SELECT sum(dur_s) FROM clips) / 3600, 6) AS exact_hours""",
     ),
 )

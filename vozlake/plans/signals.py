@@ -34,7 +34,7 @@ def frame_levels(t):
     return got.select("clip_id", "frame", "samples", F.round("rms", 8).alias("rms"), F.round("peak", 8).alias("peak"), F.round("db", 6).alias("db"))
 
 
-@query("clip_levels", f"WITH {_S} SELECT clip_id, round(max(abs(x)), 8) AS peak, round(sqrt(avg(x * x)), 8) AS rms FROM smp WHERE i % 40 = 0 GROUP BY 1")
+@query("clip_levels", f"WITH {_S} SELECT clip_id, round(max(abs(x)), 8) AS peak, round(sqrt(avg(x * x)), 8) AS rms FROM smp GROUP BY 1")
 def clip_levels(t):
     return fr.clip_levels(samples(t)).select("clip_id", F.round("peak", 8).alias("peak"), F.round("rms", 8).alias("rms"))
 
