@@ -294,17 +294,13 @@ def quantiles(
     return got.select(*keys, "n", *cols)
 
 
-def attach(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = 100_000) -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a per-group table to its rows.
 
-    Up to ``limit`` rows of ``small`` are fetched and broadcast, which leaves
-    ``rows`` where they are.  A larger table is joined by shuffle.
+    Nothing runs here: the optimizer sees the table's size when it is there, broadcasts a small one and
+    splits the hot keys of a large one.
     """
-    found = small.limit(limit + 1).collect()
-    if len(found) > limit:
-        return rows.join(small, list(on), how)
-    local = rows.sparkSession.createDataFrame([tuple(r) for r in found], small.schema)
-    return rows.join(F.broadcast(local), list(on), how)
+    return rows.join(small, list(on), how)
 
 
 def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
