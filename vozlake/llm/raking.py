@@ -13,7 +13,8 @@ The factor table is broadcast up to ``broadcast_sources`` sources and joined by
 A null source, language or text topic is a category of its own.  Tokens are runs of anything but white
 space; null and empty texts have none, weigh nothing, and are drawn like their cell.  A category without
 tokens has no target.  The draw depends on id, text and seed alone, so repeated rows go together and
-order doesn't matter.  Other columns are kept.  An empty table gives an empty sample.
+order doesn't matter.  Other columns are kept, but for those that start with the prefix, which are replaced.  An empty
+table gives an empty sample.
 """
 
 from __future__ import annotations
@@ -159,37 +160,40 @@ def draw(key: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, F.coalesce(text, F.lit(""))), 11) * F.lit(2.0**-53)
 
 
-def mix(
-    docs: DataFrame,
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", topic: Column | None = None, seed: int = 17, prefix: str = "mix_") -> DataFrame:
+    """Add what the texts are read for: topic, tokens and the row's draw."""
+    body = F.col(f"`{text}`")
+    return docs.withColumns({f"{prefix}topic": topic_of(body) if topic is None else topic, f"{prefix}tokens": tokens_of(body), f"{prefix}draw": draw(F.col(f"`{doc_id}`"), body, seed)})
+
+
+def weigh(
+    measured: DataFrame,
     share: float = 0.5,
     powers: Mapping[str, float] | None = None,
     targets: Mapping[str, Mapping[str, float]] | None = None,
-    doc_id: str = "doc_id",
-    text: str = "text",
     source: str = "source",
     language: str = "lang",
-    topic: Column | None = None,
-    seed: int = 17,
     broadcast_sources: int = BROADCAST_SOURCES,
     prefix: str = "mix_",
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with the topic, tokens, weight, probability and whether the row is drawn."""
-    body = F.col(f"`{text}`")
-    names = {"source": category(F.col(f"`{source}`")), "language": category(F.col(f"`{language}`")), "topic": category(topic_of(body) if topic is None else topic)}
-    cells = docs.select(*[c.alias(k) for k, c in names.items()], tokens_of(body).alias("tokens"))
-    powers = {"source": 0.5, "language": 0.5, "topic": 1.0} | dict(powers or {})
-    factors = fit(cells, share, powers, targets)
-    key, a = unused(docs, "mix_source"), unused(docs, "mix_factor")
+    """Rake over measured rows and add weight, probability and whether the row is drawn; the draw goes."""
+    topic = category(F.col(f"{prefix}topic"))
+    own_source, own_language = category(F.col(f"`{source}`")), category(F.col(f"`{language}`"))
+    cells = measured.select(own_source.alias("source"), own_language.alias("language"), topic.alias("topic"), F.col(f"{prefix}tokens").alias("tokens"))
+    factors = fit(cells, share, {"source": 0.5, "language": 0.5, "topic": 1.0} | dict(powers or {}), targets)
+    key, a = unused(measured, "mix_source"), unused(measured, "mix_factor")
     table = factors.sources.select(F.col("source").alias(key), F.col("a").alias(a))
     if factors.n_sources <= broadcast_sources:
         table = F.broadcast(table)
-    topic_key = unused(docs, "mix_topic_key")
-    both = docs.withColumn(topic_key, names["topic"]).withColumn(f"{prefix}tokens", tokens_of(body)).join(table, names["source"] == F.col(key), "left")
-    both = both.withColumn(f"{prefix}topic", F.when(F.col(topic_key).startswith("="), F.substring(topic_key, 2, 1 << 20)))
-    weight = F.coalesce(F.col(a), F.lit(0.0)) * lookup(factors.language, names["language"]) * lookup(factors.topic, F.col(topic_key))
-    out = both.withColumn(f"{prefix}weight", weight).withColumn(f"{prefix}probability", F.least(F.lit(1.0), F.col(f"{prefix}weight") * F.lit(factors.scale)))
-    out = out.withColumn(f"{prefix}drawn", draw(F.col(f"`{doc_id}`"), body, seed) < F.col(f"{prefix}probability"))
-    return out.drop(key, a, topic_key)
+    weight = F.coalesce(F.col(a), F.lit(0.0)) * lookup(factors.language, own_language) * lookup(factors.topic, topic)
+    out = measured.join(table, own_source == F.col(key), "left").withColumn(f"{prefix}weight", weight).drop(key, a)
+    out = out.withColumn(f"{prefix}probability", F.least(F.lit(1.0), F.col(f"{prefix}weight") * F.lit(factors.scale)))
+    return out.withColumn(f"{prefix}drawn", F.col(f"{prefix}draw") < F.col(f"{prefix}probability")).drop(f"{prefix}draw")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", topic: Column | None = None, seed: int = 17, prefix: str = "mix_", **options) -> DataFrame:
+    """All rows and columns of ``docs`` with the topic, tokens, weight, probability and whether the row is drawn."""
+    return weigh(measure(docs, doc_id, text, topic, seed, prefix), prefix=prefix, **options)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
@@ -199,6 +203,6 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    narrow = docs.select("doc_id", "source", "lang", "text")
-    return mix(narrow).select("doc_id", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_drawn")
-
+    """The texts are read once: what is measured is written without them, and all the rest works on that."""
+    narrow = materialize(measure(docs).select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_draw"), "measured")
+    return weigh(narrow).select("doc_id", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_drawn")
