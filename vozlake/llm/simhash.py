@@ -264,9 +264,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: in
     return prints.join(named, "fp").select("id", "text_hash", "fp", "component_id", "root")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group: the one with the smallest id (null first), then the smallest text hash."""
-    found = groups(docs, doc_id, text, **options)
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first row of each group in ``found`` (id, text_hash, root): smallest id (null first), then smallest text hash."""
     first = found.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     id_name, hash_name = unused(docs, "kept_id"), unused(docs, "kept_hash")
     kept = first.select(F.col("first.id").alias(id_name), F.col("first.text_hash").alias(hash_name))
@@ -276,5 +275,10 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     return both.dropDuplicates([id_name, hash_name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each group: the one with the smallest id (null first), then the smallest text hash."""
+    return keep_first(docs, groups(docs, doc_id, text, **options), doc_id, text)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return groups(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"), "component_id")
