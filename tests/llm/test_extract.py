@@ -36,6 +36,14 @@ def test_broken_markup():
     assert ex.main_text(f"<nav><ul><li>x<article><p>{LONG}</p></article>") == LONG
 
 
+def test_short_blocks_with_links():
+    short = '<h2>Results <a href="#r">#</a></h2><p>See <a href="/r">the report</a> for more.</p><ul><li>An <a href="/x">inline link</a> in it</li></ul><p><a href="/s">Source</a></p><p>© the town</p>'
+    kept = ["Results #", "See the report for more.", "An inline link in it", "Source", "© the town"]
+    page = '<body><div><a href="/">Home</a></div>{}<div>© 2020 the site</div></body>'
+    assert ex.main_text(page.format(f"<article><p>{LONG}</p>{short}<p>{LONG}</p></article>")) == "\n".join([LONG, *kept, LONG])
+    assert ex.main_text(page.format(f'<div>{LONG}</div><div>It is said in <a href="/r">one</a> of them.</div><div>{LONG}</div>')) == f"{LONG}\nIt is said in one of them.\n{LONG}"
+
+
 def test_edge_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", f"<article><p>{LONG}</p></article>"), (3, "u", f"<article><p>{LONG}</p></article>"), (None, "u", "<article>" + f"<p>{LONG}</p>" * 2000 + "</article>"), (5, "u", "<b " * 50_000), (6, "u", '<a href="' * 20_000), (7, "u", "<p>x" * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("N_chars", F.lit(1)).withColumn("a.b", F.lit(1))

@@ -3,6 +3,7 @@
 A page is cut into blocks at block-level tags.  Pass one decides each block by its share of stop words,
 its length and the share of its text inside links: long prose is good; linked text, and text in
 navigation, notices, adverts, forms or comments, is bad; short blocks and medium prose stay open.
+Inside an article short blocks stay open whatever they link to.
 Pass two gives an open block the label of its nearest decided neighbours: both agree, or the nearer one
 counts; neighbours in the same article are asked first.
 
@@ -190,10 +191,14 @@ def stop_share(text: str) -> float:
 
 def first_pass(block: Block) -> str:
     n = len(block.text)
-    if block.beside or block.linked > MOST_LINKED * n:
+    if block.beside:
+        return "bad"
+    if n < SHORT and block.article:
+        return "open"  # a short line of the article may well be a link
+    if block.linked > MOST_LINKED * n:
         return "bad"
     if n < SHORT:
-        return "bad" if "©" in block.text or block.linked else "open"
+        return "bad" if "©" in block.text else "open"
     share = stop_share(block.text)
     if share >= STOP_HIGH:
         return "good" if n > LONG else "near"
