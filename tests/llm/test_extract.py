@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,6 +45,21 @@ def test_short_blocks_with_links():
     assert ex.main_text(page.format(f'<div>{LONG}</div><div>It is said in <a href="/r">one</a> of them.</div><div>{LONG}</div>')) == f"{LONG}\nIt is said in one of them.\n{LONG}"
 
 
+def test_long_attributes():
+    for value in (f"<nav class='menu'><p>{LONG}</p> > ", f"<b>{LONG}"):
+        value = value * (100_000 // len(value) + 1)
+        aside = f'<aside data-x="{value}"><p>{LONG}</p></aside>'
+        assert ex.main_text(f'{aside}<article data-y="{value}"><div data-x="{value}" id=a><p>{LONG}</p></div></article>') == LONG
+        assert ex.main_text(f'<div data-x="{value}" CLASS = "sidebar"><p>{LONG}</p></div><p>{LONG}</p>') == LONG
+
+
+def test_unclosed_quotes_take_linear_time():
+    for piece in ('<a href="', "<a href='x\"", '<a "', "<a '<a \""):
+        start = time.process_time()
+        ex.main_text(piece * 40_000)
+        assert time.process_time() - start < 10
+
+
 def test_edge_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", f"<article><p>{LONG}</p></article>"), (3, "u", f"<article><p>{LONG}</p></article>"), (None, "u", "<article>" + f"<p>{LONG}</p>" * 2000 + "</article>"), (5, "u", "<b " * 50_000), (6, "u", '<a href="' * 20_000), (7, "u", "<p>x" * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("N_chars", F.lit(1)).withColumn("a.b", F.lit(1))

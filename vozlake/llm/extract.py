@@ -54,9 +54,9 @@ BESIDE_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article body content entry main page post story text wrapper container".split())
 
 MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+|[^<>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*+"|'[^']*+')*+|[^<>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S
 )
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'/=]+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|\S+))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
 
