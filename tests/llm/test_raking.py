@@ -79,3 +79,11 @@ def test_sampling_ignores_order_and_empty_tables_work(spark):
     assert ids(rk.sample(df)) == ids(rk.sample(df.repartition(9).orderBy(F.rand(4))))
     assert rk.sample(df.limit(0)).count() == 0 and rk.mix(df.where("doc_id in (900, 901)")).where("mix_drawn").count() == 0
     assert rk.sample(df).columns == [*df.columns, "mix_probability"]
+
+
+def test_texts_without_tokens_have_the_plain_share(spark):
+    _, df = table(spark, 3)
+    empty = spark.range(2000).select((F.col("id") + 10_000).alias("doc_id"), F.lit(" ").alias("text"), F.lit("en").alias("lang"), F.lit("empty only").alias("source"))
+    rows = rk.mix(df.select(empty.columns).unionAll(empty), share=0.3).where("mix_tokens = 0").collect()
+    assert len(rows) == 2003 and {r.mix_probability for r in rows} == {0.3}
+    assert 500 < sum(r.mix_drawn for r in rows) < 700

@@ -11,8 +11,8 @@ driver.  Languages and topics are closed sets; their product is what the driver
 The factor table is broadcast up to ``broadcast_sources`` sources and joined by shuffle beyond.
 
 A null source, language or text topic is a category of its own.  Tokens are runs of anything but white
-space; null and empty texts have none, weigh nothing, and are drawn like their cell.  A category without
-tokens has no target.  The draw depends on id, text and seed alone, so repeated rows go together and
+space; null and empty texts have none, weigh nothing, and are drawn with the plain share (never if no text has
+tokens).  A category without tokens has no target.  The draw depends on id, text and seed alone, so repeated rows go together and
 order doesn't matter.  Other columns are kept, but for those that start with the prefix, which are replaced.  An empty
 table gives an empty sample.
 """
@@ -187,7 +187,9 @@ def weigh(
         table = F.broadcast(table)
     weight = F.coalesce(F.col(a), F.lit(0.0)) * lookup(factors.language, own_language) * lookup(factors.topic, topic)
     out = measured.join(table, own_source == F.col(key), "left").withColumn(f"{prefix}weight", weight).drop(key, a)
-    out = out.withColumn(f"{prefix}probability", F.least(F.lit(1.0), F.col(f"{prefix}weight") * F.lit(factors.scale)))
+    raked = F.least(F.lit(1.0), F.col(f"{prefix}weight") * F.lit(factors.scale))
+    plain = F.lit(float(share) if factors.scale else 0.0)
+    out = out.withColumn(f"{prefix}probability", F.when(F.col(f"{prefix}tokens") > 0, raked).otherwise(plain))
     return out.withColumn(f"{prefix}drawn", F.col(f"{prefix}draw") < F.col(f"{prefix}probability")).drop(f"{prefix}draw")
 
 
