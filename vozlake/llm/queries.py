@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import decontaminate, extract, hosts, language, ordinal, pivots, raking, secrets, simhash, toxicity
+from vozlake.llm import decontaminate, extract, hosts, language, ordinal, pivots, raking, secrets, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op6_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_pivots", pivots.SQL)
 def op2_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.digest(read(spark, folder, "embeddings"))
+
+
+@query("op11_tokens")
+def op11_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.digest(read(spark, folder, "documents"))
