@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vozlake.llm import decontaminate, extract, hosts, language, ordinal, pivots, raking, secrets, simhash, tokens, toxicity
+from vozlake.llm import decontaminate, extract, hosts, interactions, language, ordinal, pivots, raking, secrets, simhash, tokens, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,13 @@ def op2_pivots(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_tokens")
 def op11_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.digest(read(spark, folder, "documents"))
+
+
+@query("op12_variants", variants.SQL)
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.digest(read(spark, folder, "documents"))
+
+
+@query("op13_interactions", interactions.SQL)
+def op13_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.digest(read(spark, folder, "documents"), read(spark, folder, "labels"))
