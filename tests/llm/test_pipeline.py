@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tests_llm_plain import contaminated_plain, groups_plain, raked_plain
+from test_copies import plain_groups
+from tests_llm_plain import contaminated_plain, raked_plain
 from vozlake.llm import raking, secrets, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,7 +34,7 @@ def test_each_stage_equals_its_plain_version(spark, sf_dir, stages):
     assert by_id(rows[1]).keys() == {r.doc_id for r in rows[0] if model.score(r.text) < toxicity.THRESHOLD}
     assert len(rows[1]) < len(rows[0])
 
-    roots = groups_plain([r.text for r in rows[1]])
+    roots = plain_groups([r.text for r in rows[1]])
     least = {}
     for r, root in zip(rows[1], roots, strict=True):
         least[root] = min(least.get(root, r.doc_id), r.doc_id)

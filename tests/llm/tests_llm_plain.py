@@ -3,12 +3,8 @@
 import numpy as np
 from test_decontaminate import words
 from test_raking import plain_fit
-from test_simhash import plain_components, plain_print
 
 
-def groups_plain(texts):
-    return plain_components([plain_print(t) for t in texts])
-
 
 def contaminated_plain(text, items):
     mine, hit = words(text), set()
