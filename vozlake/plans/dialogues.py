@@ -115,17 +115,23 @@ def meeting_blocks(t):
     return dg.blocks(meeting(t), 100, min_samples=20).withColumn("rms", F.round("rms", 6))
 
 
+#: The same samples as whole steps of 16 bits, so that sums over speakers are exact.
+STEPS = 32767
+_MS = f"ms AS (SELECT session, speaker, i, round(x * {STEPS}) AS x FROM me)"
+
+
 @query(
     "meeting_role_pairs",
-    f"""WITH {_ME}, c AS (SELECT session, min(m) AS m, count(*) AS k0 FROM (SELECT session, speaker, max(i) AS m FROM me GROUP BY 1, 2) GROUP BY 1), cl AS (SELECT me.* FROM me JOIN c USING (session) WHERE i <= m),
+    f"""WITH {_ME}, {_MS}, c AS (SELECT session, min(m) AS m, count(*) AS k0 FROM (SELECT session, speaker, max(i) AS m FROM ms GROUP BY 1, 2) GROUP BY 1), cl AS (SELECT ms.* FROM ms JOIN c USING (session) WHERE i <= m),
         k AS (SELECT session, count(DISTINCT speaker) AS k FROM cl GROUP BY 1),
         p AS (SELECT a.session, a.speaker AS agent, a.i, any_value(a.x) AS l, coalesce(sum(b.x), 0) / greatest(1, any_value(k) - 1) AS r FROM cl a LEFT JOIN cl b ON a.session = b.session AND a.i = b.i AND a.speaker <> b.speaker JOIN k ON k.session = a.session GROUP BY 1, 2, 3),
         t AS (SELECT session, agent, max(abs(r)) AS top FROM p GROUP BY 1, 2)
-        SELECT session, agent, count(*) AS samples, round(sum(l), 3) AS "left", round(sum(r * CASE WHEN top > 0.99 THEN 0.99::DOUBLE / top ELSE 1 END), 3) AS "right" FROM p JOIN t USING (session, agent) GROUP BY 1, 2""",
+        SELECT session, agent, count(*) AS samples, round(sum(l) / {STEPS}::DOUBLE, 3) AS "left", round(sum(r * CASE WHEN top > {0.99 * STEPS}::DOUBLE THEN {0.99 * STEPS}::DOUBLE / top ELSE 1 END) / {STEPS}::DOUBLE, 3) AS "right" FROM p JOIN t USING (session, agent) GROUP BY 1, 2""",
 )
 def meeting_role_pairs(t):
-    got = dg.role_pairs(meeting(t))
-    return got.groupBy("session", "agent").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("left"), 3).alias("left"), F.round(F.sum("right"), 3).alias("right"))
+    got = dg.role_pairs(meeting(t).withColumn("x", F.round(F.col("x") * STEPS)), peak=0.99 * STEPS)
+    total = lambda side: F.round(F.sum(side) / STEPS, 3).alias(side)
+    return got.groupBy("session", "agent").agg(F.count(F.lit(1)).alias("samples"), total("left"), total("right"))
 
 
 _EST = "CASE kind WHEN 'monologo' THEN 110 WHEN 'dialogo' THEN 90 ELSE 12 END"
