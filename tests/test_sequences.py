@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from vozlake.functions import wer
+from vozlake.functions import blocks, wer
 from vozlake.operators import frames as fr
 from vozlake.operators import markers as mk
 from vozlake.operators import prosody as pr
@@ -132,14 +132,39 @@ def test_phrases(spark, limit):
     assert got == want
 
 
+def blocks_loop(one, other):
+    """The longest common run, tried at every pair of places, then what lies before and behind."""
+    best = (0, 0, 0)
+    for i in range(len(one)):
+        for j in range(len(other)):
+            size = 0
+            while i + size < len(one) and j + size < len(other) and one[i + size] == other[j + size]:
+                size += 1
+            best = max(best, (size, -i, -j))
+    size, i, j = best[0], -best[1], -best[2]
+    if not size:
+        return []
+    behind = [(i + size + a, j + size + b, n) for a, b, n in blocks_loop(one[i + size :], other[j + size :])]
+    return [*blocks_loop(one[:i], other[:j]), (i, j, size), *behind]
+
+
+def test_longest_blocks():
+    rng = random.Random(14)
+    for _ in range(600):
+        letters = "abcdefghij"[: rng.choice([1, 2, 3, 10])]
+        one = [rng.choice(letters) for _ in range(rng.randrange(25))]
+        other = [rng.choice(letters) for _ in range(rng.randrange(25))] if rng.random() < 0.5 else [w for w in one if rng.random() > 0.2]
+        assert blocks.longest_blocks(one, other) == blocks_loop(one, other)
+    many = [f"w{rng.randrange(300)}" for _ in range(20_000)]
+    found = blocks.block_matches(many, [w for k, w in enumerate(many) if k % 50])
+    assert (found >= 0).sum() > 19_500
+    assert blocks.longest_blocks(["x"] * 50_000, ["x"] * 30_000) == [(0, 0, 30_000)]
+
+
 def align_loop(cur, asr):
     ts = [None] * len(cur)
-    ops, _, _ = wer.word_operations(cur, [w for w, _, _ in asr])
-    i = j = 0
-    for op in ops:
-        if op == "ok":
-            ts[i] = asr[j][1:]
-        i, j = i + (op != "ins"), j + (op != "del")
+    for i, j, size in blocks_loop(cur, [w for w, _, _ in asr]):
+        ts[i : i + size] = [x[1:] for x in asr[j : j + size]]
     matched = sum(t is not None for t in ts)
     for i in range(len(ts)):
         if ts[i] is None:
@@ -163,7 +188,7 @@ def test_word_alignment(spark):
             asr.append((rng.choice("abcde"), t, t + 0.2))
             t += rng.choice([0.2, 0.9])
         want, cover = align_loop(cur, asr)
-        matches = wer.word_matches(cur, [w for w, _, _ in asr])
+        matches = blocks.block_matches(cur, [w for w, _, _ in asr])
         got = pr.word_times(matches, np.array([s for _, s, _ in asr]), np.array([e for _, _, e in asr]))
         assert list(zip(*got)) == [pytest.approx(x) for x in want] and (matches >= 0).mean() == pytest.approx(cover)
     assert [len(x) for x in pr.word_times(np.zeros(0, int), np.zeros(0), np.zeros(0))] == [0, 0]

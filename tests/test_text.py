@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,41 @@ def test_lexicon_keeps_capitals_and_whole_words(spark):
     assert {r.id: r.text for r in frontend.apply_lexicon(df, many).collect()} == got
 
 
+def plain_lexicon(text, entries):
+    """Leftmost, then longest: entries tried at every place, in order of length."""
+    known = {w.lower(): p for w, p in entries}
+    word = lambda c: bool(c) and re.match(r"\w", c) is not None
+    edge = lambda k: word(text[k - 1 : k]) != word(text[k : k + 1])
+    out, k = [], 0
+    while k < len(text):
+        for w in sorted(known, key=len, reverse=True):
+            if text[k : k + len(w)].lower() == w and edge(k) and edge(k + len(w)):
+                out.append(known[w][0].upper() + known[w][1:] if text[k].isupper() else known[w])
+                k += len(w)
+                break
+        else:
+            out.append(text[k])
+            k += 1
+    return "".join(out)
+
+
+def test_lexicon_takes_the_longest_phrase_from_the_left(spark):
+    entries = [("por que", "purke"), ("por", "puʀ"), ("que nem", "kinẽ"), ("a b a", "aba"), ("b a", "ba"), ("a b a b", "abab"), ("guarda-chuva", "gwaʀda"), ("d'água", "dagwa"), ("etc.", "etɛ"), ("-feira", "fe"), ("... e", "i"), ("ß", "ss")]
+    rng = random.Random(11)
+    bits = ["por", "que", "nem", "Por", "a", "b", "A", "guarda", "chuva", "d", "água", "etc", "feira", "e", "ß", "x1", "_"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", " ", "-", "'", ". ", ".", "... ", "  ", "\n"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += ["", "...", "a b " * 2000, "por que", "Por que nem", texts[0], texts[0]]
+    df = spark.createDataFrame([(k % 7, x) for k, x in enumerate([*texts, None])], "id int, text string").repartition(3)
+    lex = spark.createDataFrame([(w, p, k) for k, (w, p) in enumerate([*entries, ("", "empty")])], "word string, phones string, seq long")
+    want = sorted((plain_lexicon(x, entries) for x in texts))
+    for limit in (256, 3):
+        got = [r.text for r in frontend.apply_lexicon(df, lex, literal_limit=limit).collect()]
+        assert got.count(None) == 1 and sorted(x for x in got if x is not None) == want
+    none = lex.limit(0)
+    assert sorted(r.text or "" for r in frontend.apply_lexicon(df, none).collect()) == sorted([*texts, ""])
+    assert frontend.apply_lexicon(df.limit(0), lex).count() == 0
+
+
 def test_front_end_modes(spark):
     df = spark.createDataFrame([(1, "  tio 2 ")], "id int, text string")
     assert [frontend.front_end(df, m).first().text for m in ("raw", "normalize", "lexicon")] == ["tio 2", "tio dois", "tʃi.o dois"]
@@ -125,3 +162,12 @@ def test_small_text_rules(spark):
     assert [(x.name, x.value) for x in r.kv] == [("k", "1"), ("b", "x=2")]
     assert (r.id, r.ses, r.p, r.q, r.st) == ("ana-lu-reuni-o-1-seg007", "u-m", "<animado|zona-sul> ", "", "oi")
     assert r.h == "um dois … [interrompido pelo usuário]" and re.search("interrompido", r.h)
+
+
+def test_accents_of_all_latin_letters(spark):
+    letters = [chr(c) for c in range(0x20, 0xFFFF) if unicodedata.name(chr(c), "").startswith(("LATIN", "COMBINING ACUTE", "COMBINING TILDE"))]
+    texts = [*letters, *(unicodedata.normalize("NFD", c) for c in letters), "São João, Ấn Độ, Čeština", "ｅ\u0301", "が"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.t for r in df.select("id", tx.strip_accents(F.col("text")).alias("t")).collect()}
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    assert [got[k] for k in range(len(texts))] == [plain(x) for x in texts]

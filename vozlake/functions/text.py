@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from unicodedata import category, normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +17,6 @@ SPACES = (
 WORD_CHAR = r"[\p{L}\p{N}_]"
 NOT_WORD_CHAR = r"[^\p{L}\p{N}_]"
 
-# Accented letters and the plain letters they reduce to.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
-
 # Pt-BR control-tag defaults that add no prefix.
 PLAIN_STYLES = ["neutro", "conversa"]
 PLAIN_ACCENT = "carioca-medio"
@@ -57,8 +56,20 @@ def seconds_per_char(dur_s: Column, text: Column) -> Column:
     return dur_s / F.greatest(alnum_chars(text), F.lit(1)).cast("double")
 
 
+@cache
+def accented() -> tuple[str, str]:
+    """Characters that decompose to one base character and marks, and their base characters."""
+    pairs = []
+    for code in range(0xA0, 0x10000):
+        base = [c for c in normalize("NFD", chr(code)) if category(c) != "Mn"]
+        if len(base) == 1 and base[0] != chr(code):
+            pairs.append((chr(code), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Without accents: composed letters become their base letters, marks of their own go."""
+    return F.regexp_replace(F.translate(text, *accented()), r"\p{Mn}+", "")
 
 
 def normalize_for_wer(text: Column) -> Column:

@@ -115,15 +115,6 @@ def word_operations(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndar
     return OPERATIONS[moves], *columns
 
 
-def word_matches(ref: list[str], hyp: list[str]) -> np.ndarray:
-    """For each reference word the place of the equal hypothesis word that a shortest alignment gives it, or -1."""
-    moves = _trace(*_encode(ref, hyp))
-    found = np.full(len(ref), -1)
-    same = moves == 0
-    found[(np.cumsum(TAKES_REF[moves]) - 1)[same]] = (np.cumsum(TAKES_HYP[moves]) - 1)[same]
-    return found
-
-
 @F.pandas_udf(T.IntegerType())
 def _long_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     pairs = [None if a is None or b is None else word_distance(list(a), list(b)) for a, b in zip(ref, hyp)]

@@ -148,15 +148,37 @@ def phrase_groups(t):
 
 
 def heard_clips(t):
-    """Turns with the words a recogniser might have heard: every fifth word is lost."""
-    w = roles.words(t).where(F.col("pos") % 5 != 3)
-    one = F.struct("pos", F.lower("word").alias("word"), "start", "end")
-    heard = w.groupBy("turn_id").agg(F.sort_array(F.collect_list(one)).alias("h"))
+    """Turns with the words a recogniser might have heard: every fifth word is heard as another one."""
+    word = F.lower(F.when(F.col("pos") % 5 == 3, F.concat("word", F.lit("x"))).otherwise(F.col("word")))
+    one = F.struct("pos", word.alias("word"), "start", "end")
+    heard = roles.words(t).groupBy("turn_id").agg(F.sort_array(F.collect_list(one)).alias("h"))
     asr = F.transform("h", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end")))
     return roles.turns(t).join(heard.select("turn_id", asr.alias("heard")), "turn_id")
 
 
-@query("aligned_words")
+def _key(x: str) -> str:
+    return rf"regexp_replace(strip_accents(lower({x})), '[^\p{{L}}\p{{N}}_]', '', 'g')"
+
+
+@query(
+    "aligned_words",
+    using("words", body=f"""WITH RECURSIVE h AS (SELECT turn_id, pos AS j, {_key("CASE WHEN pos % 5 = 3 THEN word || 'x' ELSE word END")} AS key, "start" AS s, "end" AS e FROM words),
+        c AS (SELECT turn_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT turn_id, list_filter({s_tokens("regexp_replace(text, '[" + chr(34) + "“”]', '', 'g')")}, lambda w: {_key("w")} <> '') AS w FROM turns WHERE turn_id IN (SELECT turn_id FROM h))),
+        m AS (SELECT turn_id, i, j - i AS d, i - row_number() OVER (PARTITION BY turn_id, j - i ORDER BY i) AS g FROM (SELECT *, {_key("word")} AS key FROM c) JOIN h USING (turn_id, key)),
+        run AS (SELECT turn_id, d, min(i) AS i0, max(i) AS i1 FROM m GROUP BY turn_id, d, g),
+        size AS (SELECT * FROM (SELECT turn_id, count(*) AS na FROM c GROUP BY 1) JOIN (SELECT turn_id, count(*) AS nb, min(s) AS first, arg_max(e, j) AS last FROM h GROUP BY 1) USING (turn_id)),
+        part AS (SELECT turn_id, 0::BIGINT AS alo, na AS ahi, 0::BIGINT AS blo, nb AS bhi FROM size
+          UNION ALL SELECT turn_id, CASE WHEN side = 0 THEN alo ELSE b.i - b.n END, CASE WHEN side = 0 THEN b.i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE b.i + b.d - b.n END, CASE WHEN side = 0 THEN b.i + b.d ELSE bhi END
+          FROM (SELECT p.turn_id, alo, ahi, blo, bhi, min({{'n': greatest(i0, alo, blo - d) - least(i1 + 1, ahi, bhi - d), 'i': greatest(i0, alo, blo - d), 'd': d}}) AS b FROM part p JOIN run r ON r.turn_id = p.turn_id AND greatest(i0, alo, blo - d) < least(i1 + 1, ahi, bhi - d) GROUP BY ALL), (VALUES (0), (1)) v(side)),
+        block AS (SELECT p.turn_id, alo, ahi, blo, bhi, min({{'n': greatest(i0, alo, blo - d) - least(i1 + 1, ahi, bhi - d), 'i': greatest(i0, alo, blo - d), 'd': d}}) AS b FROM part p JOIN run r ON r.turn_id = p.turn_id AND greatest(i0, alo, blo - d) < least(i1 + 1, ahi, bhi - d) GROUP BY ALL),
+        hit AS (SELECT turn_id, unnest(range(b.i, b.i - b.n)) AS i, b.d AS d FROM block),
+        t AS (SELECT c.turn_id, c.i, c.word, h.s, h.e FROM c LEFT JOIN hit USING (turn_id, i) LEFT JOIN h ON h.turn_id = c.turn_id AND h.j = c.i + hit.d),
+        w AS (SELECT t.*, na, first, last, count(s) OVER (PARTITION BY turn_id) AS hits, last_value(e IGNORE NULLS) OVER up AS pe, last_value(CASE WHEN s IS NOT NULL THEN i END IGNORE NULLS) OVER up AS pi,
+              first_value(s IGNORE NULLS) OVER down AS ns, first_value(CASE WHEN s IS NOT NULL THEN i END IGNORE NULLS) OVER down AS ni FROM t JOIN size USING (turn_id)
+              WINDOW up AS (PARTITION BY turn_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY turn_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        x AS (SELECT *, coalesce(pe, first) AS l, greatest(coalesce(pe, first), coalesce(ns, last)) AS top, i - coalesce(pi, -1) AS nth, greatest(0.12::DOUBLE, (greatest(coalesce(pe, first), coalesce(ns, last)) - coalesce(pe, first)) / greatest(1, coalesce(ni, na) - coalesce(pi, -1) - 1)) AS share FROM w)
+        SELECT turn_id, i::INTEGER AS pos, round(hits / na::DOUBLE, 6) AS coverage, word, round(CASE WHEN s IS NOT NULL THEN s ELSE least(top, l + (nth - 1) * share) END, 6) AS "start", round(CASE WHEN s IS NOT NULL THEN e ELSE least(top, l + nth * share) END, 6) AS "end" FROM x"""),
+)
 def aligned_words(t):
     got = pr.align_words(heard_clips(t)).select("turn_id", "coverage", F.posexplode("aligned").alias("pos", "w"))
     return got.select("turn_id", "pos", F.round("coverage", 6).alias("coverage"), "w.word", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
@@ -365,12 +387,42 @@ _LEX = {"the": "ðə", "and": "ænd", "of": "ʌv", "le": "lə", "und": "ʊnt"}
     + " ELSE p END), '')) AS text_md5 FROM documents",
 )
 def lexicon_text(t):
-    got = frontend.apply_lexicon(t.documents.select("doc_id", "text"), frontend.lexicon(t.spark, _LEX), key="doc_id")
+    got = frontend.apply_lexicon(t.documents.select("doc_id", "text"), frontend.lexicon(t.spark, _LEX))
     return got.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def phrase_lexicon(t):
+    """Every two and three words in a row of the benchmark as an entry; its phones are played by a digest."""
+    cut = t.benchmark.select(frontend.pieces_of(F.col("text")).alias("p"))
+    runs = cut.select("p", F.posexplode("p").alias("k", "piece"), F.lit([3, 5]).alias("sizes")).where(F.col("piece").rlike(r"[\p{L}\p{N}_]"))
+    words = runs.select("p", "k", F.explode("sizes").alias("n")).where("k + n <= size(p)").select(F.lower(F.array_join(F.slice("p", F.col("k") + 1, F.col("n")), "")).alias("word"))
+    return words.distinct().select("word", F.substring(F.md5("word"), 1, 6).alias("phones"), F.lit(0).cast("long").alias("seq"))
+
+
+@query(
+    "lexicon_phrases",
+    r"""WITH RECURSIVE b AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p FROM benchmark),
+        e AS (SELECT DISTINCT lower(array_to_string(p[k:k + n - 1], '')) AS word, n FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM b), (VALUES (3), (5)) v(n) WHERE k + n - 1 <= len(p) AND regexp_matches(p[k], '[\p{L}\p{N}_]')),
+        d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p FROM documents),
+        pl AS (SELECT doc_id, k, t FROM (SELECT doc_id, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS k FROM d)),
+        nx AS (SELECT *, t || lead(t) OVER o || lead(t, 2) OVER o AS w3, lead(t, 3) OVER o || lead(t, 4) OVER o AS w2 FROM pl WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+        w AS (SELECT doc_id, k, 3 AS n, lower(w3) AS word FROM nx UNION ALL SELECT doc_id, k, 5, lower(w3 || w2) FROM nx),
+        c AS (SELECT doc_id, k, max(w.n) AS n, arg_max(word, w.n) AS word FROM w JOIN e USING (word) GROUP BY 1, 2),
+        s AS (SELECT c.*, c2.k AS following FROM c ASOF LEFT JOIN (SELECT doc_id, k FROM c) c2 ON c.doc_id = c2.doc_id AND c.k + c.n <= c2.k),
+        taken AS (SELECT s.* FROM s JOIN (SELECT doc_id, min(k) AS k FROM c GROUP BY 1) USING (doc_id, k) UNION ALL SELECT s.* FROM taken t JOIN s ON s.doc_id = t.doc_id AND s.k = t.following),
+        shown AS (SELECT pl.doc_id, string_agg(CASE WHEN t.k IS NULL THEN pl.t WHEN t.k < pl.k THEN '' WHEN pl.t[1] = upper(pl.t[1]) AND pl.t[1] <> lower(pl.t[1]) THEN upper(md5(t.word)[1]) || md5(t.word)[2:6] ELSE md5(t.word)[1:6] END, '' ORDER BY pl.k) AS text
+                  FROM pl LEFT JOIN (SELECT doc_id, k, word, unnest(range(k, k + n)) AS place FROM taken) t ON t.doc_id = pl.doc_id AND t.place = pl.k GROUP BY 1),
+        n AS (SELECT doc_id, count(*) AS phrases, sum(n) AS pieces FROM taken GROUP BY 1)
+        SELECT doc_id, coalesce(phrases, 0) AS phrases, coalesce(pieces, 0)::BIGINT AS taken, md5(coalesce(shown.text, documents.text)) AS text_md5 FROM documents LEFT JOIN shown USING (doc_id) LEFT JOIN n USING (doc_id)""",
+)
+def lexicon_phrases(t):
+    found = frontend.found_entries(t.documents.select("doc_id", "text"), phrase_lexicon(t))
+    taken = F.aggregate("chosen", F.lit(0).cast("long"), lambda n, c: n + c["size"])
+    return found.select("doc_id", F.size("chosen").cast("long").alias("phrases"), taken.alias("taken"), F.md5(frontend.replaced_text(F.col("text"))).alias("text_md5"))
+
+
 @query("front_end_text")
 def front_end_text(t):
     d = t.documents.select("doc_id", "text")
-    one = lambda mode: frontend.front_end(d, mode, key="doc_id").select("doc_id", F.lit(mode).alias("mode"), "text")
+    one = lambda mode: frontend.front_end(d, mode).select("doc_id", F.lit(mode).alias("mode"), "text")
     return one("raw").unionByName(one("normalize")).unionByName(one("lexicon"))
