@@ -1,131 +1,198 @@
-"""Phones of Portuguese words by ordered spelling rules (Rio accent).
+"""Phones of Portuguese words (Rio accent) by a transducer over letters.
 
-A rule is a pattern and the phones it gives.  At each position the first rule
-that matches wins; letters without a rule are silent.
+A state says what lies to the left: nothing, an e that began the word, a vowel, another letter, or that the
+letter at hand was already read as the second half of a pair.  A symbol is a letter with the classes of the
+next two.  One table gives the next state and the phones; it is worked out from the spelling tables below, and
+a word is read by walking it.  Letters that nothing is known about are silent.
 """
 
 from __future__ import annotations
 
-import re
+from functools import cache
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vozlake.functions.wer import let
 
 # The phone inventory that coverage is measured against.
-INVENTORY = (
-    "a ɐ e ɛ i o ɔ u ã ẽ ĩ õ ũ aj ej ɛj oj ɔj uj aw ew iw ow ãw̃ ãj̃ õj̃ "
-    "p b t d k g tʃ dʒ f v s z ʃ ʒ m n ɲ l ʎ ɾ χ w j"
-).split()
-
-_VOWELS = "aáàâãeéêiíoóôõuúü"
-_FAMILIES = {"aáàâã": "ã", "eéê": "ẽ", "ií": "ĩ", "oóôõ": "õ", "uúü": "ũ"}
-_OPEN = {"a": "a", "á": "a", "à": "a", "â": "ɐ", "e": "e", "é": "ɛ", "ê": "e", "í": "í", "o": "o", "ó": "ɔ", "ô": "o", "ú": "ú", "ü": "ü"}
-
-
-def rules(edges_match: bool = True) -> list[tuple[str, str]]:
-    """Spelling rules in order.
-
-    With ``edges_match`` the edge of a word counts as a member of every letter
-    class, so a final vowel is nasal and an initial s is voiced.  That is the
-    behaviour results have to agree with; without it the rules look at real
-    neighbours only.
-    """
-    end, start = ("|$", "|^") if edges_match else ("", "")
-    vowel = f"[{_VOWELS}]"
-    out = [("ch", "ʃ"), ("lh", "ʎ"), ("nh", "ɲ"), ("rr", "χ"), ("ss", "s")]
-    out += [(f"(?:sc|sç|xc)(?=[eéêií]{end})", "s"), (f"qu(?=[eéêiíè]{end})", "k"), ("qu", "k w"), (f"gu(?=[eéêií]{end})", "g")]
-    out += [("[aáàâã]m$", "ãw̃"), ("[eéê]m$", "ãj̃")]
-    out += [(f"[{family}][mn](?!{vowel})", nasal) for family, nasal in _FAMILIES.items()]
-    if edges_match:
-        out += [(f"[{family}]$", nasal) for family, nasal in _FAMILIES.items()]
-    out += [("ão", "ãw̃"), ("ãe", "ãj̃"), ("ã", "ã"), ("õe", "õj̃"), ("õ", "õ")]
-    out += [(f"{v}{g}", phone + glide) for v, phone in _OPEN.items() for g, glide in (("i", "j"), ("u", "w"))]
-    out += [("iu", "iw"), ("ui", "uj"), ("[aáà]", "a"), ("â", "ɐ"), ("é", "ɛ"), ("(?<!^)e$", "i"), ("[eê]", "e"), ("[ií]", "i")]
-    out += [("ó", "ɔ"), ("(?<!^)o$", "u"), ("[oô]", "o"), ("[uúü]", "u")]
-    out += [(f"t(?=[ií]|e${end})", "tʃ"), ("t", "t"), (f"d(?=[ií]|e${end})", "dʒ"), ("d", "d")]
-    out += [(f"c(?=[eéêiíè]{end})", "s"), ("c", "k"), ("ç", "s"), (f"g(?=[eéêií]{end})", "ʒ"), ("g", "g"), ("j", "ʒ")]
-    out += [(f"(?:(?<={vowel}){start})s(?={vowel}{end})", "z"), ("s(?=[bdgvzjmnlrw])", "ʒ"), (f"s(?!{vowel})", "ʃ"), ("s", "s")]
-    out += [("z$", "ʃ"), ("z", "z"), (f"(?<=^e)x(?={vowel}{end})", "z"), ("x", "ʃ")]
-    out += [("^r", "χ"), (f"r(?!{vowel})", "χ"), ("r", "ɾ"), (f"l(?!{vowel})", "w"), ("l", "l")]
-    out += [(c, c) for c in "mnwkpbfv"] + [("y", "j")]
-    return out
+INVENTORY = [
+    "a", "ɐ", "e", "ɛ", "i", "o", "ɔ", "u", "ã", "ẽ", "ĩ", "õ", "ũ",
+    "aj", "ej", "ɛj", "oj", "ɔj", "uj", "aw", "ew", "iw", "ow", "ãw̃", "ãj̃", "õj̃",
+    "p", "b", "t", "d", "k", "g", "tʃ", "dʒ", "f", "v", "s", "z", "ʃ", "ʒ", "m", "n", "ɲ", "l", "ʎ", "ɾ", "χ", "w", "j",
+]
+
+# The sounds of letters.
+VOWELS = {"a": "a", "á": "a", "à": "a", "â": "ɐ", "ã": "ã", "e": "e", "é": "ɛ", "ê": "e", "i": "i", "í": "i", "o": "o", "ó": "ɔ", "ô": "o", "õ": "õ", "u": "u", "ú": "u", "ü": "u"}
+NASAL = {"aáàâã": "ã", "eéê": "ẽ", "ií": "ĩ", "oóôõ": "õ", "uúü": "ũ"}
+FINAL_NASAL = {"aáàâã": "ãw̃", "eéê": "ãj̃"}
+RAISED = {"e": "i", "o": "u"}
+NASAL_GLIDES = {"ão": "ãw̃", "ãe": "ãj̃", "õe": "õj̃", "iu": "iw", "ui": "uj"}
+BEFORE_GLIDE = {"a": "a", "á": "a", "à": "a", "â": "ɐ", "e": "e", "é": "ɛ", "ê": "e", "í": "í", "o": "o", "ó": "ɔ", "ô": "o", "ú": "ú", "ü": "ü"}
+GLIDES = {"i": "j", "u": "w"}
+PAIRS = {"ch": "ʃ", "lh": "ʎ", "nh": "ɲ", "rr": "χ", "ss": "s"}
+PLAIN = {"b": "b", "ç": "s", "d": "d", "f": "f", "j": "ʒ", "k": "k", "m": "m", "n": "n", "p": "p", "t": "t", "v": "v", "w": "w", "y": "j"}
+HARD_SOFT = {"c": ("k", "s"), "g": ("g", "ʒ")}
+SOFTENING = {"c": "eéêiíè", "qu": "eéêiíè", "g": "eéêií", "gu": "eéêií", "sc": "eéêií", "sç": "eéêií", "xc": "eéêií"}
+PALATAL = {"t": "tʃ", "d": "dʒ"}
+CLOSING = {"r": ("ɾ", "χ"), "l": ("l", "w"), "s": ("s", "ʃ")}
+VOICED = "bdgvzjmnlrw"
+
+LETTERS = "".join(VOWELS) + "bcçdfghjklmnpqrstvwxyzè"
+START, AFTER_E, AFTER_VOWEL, AFTER_OTHER, PAIRED = range(5)
+
+
+def _in_family(letter: str, table: dict[str, str]) -> str | None:
+    return next((phones for family, phones in table.items() if letter in family), None)
+
+
+def _vowel(left: int, letter: str, after: str, second: str, edges: bool) -> tuple[str, int]:
+    if after in ("m", "n") and second not in VOWELS:
+        return (not second and after == "m" and _in_family(letter, FINAL_NASAL)) or _in_family(letter, NASAL), 2
+    if not after and edges:
+        return _in_family(letter, NASAL), 1
+    if letter + after in NASAL_GLIDES:
+        return NASAL_GLIDES[letter + after], 2
+    if after in GLIDES and letter in BEFORE_GLIDE:
+        return BEFORE_GLIDE[letter] + GLIDES[after], 2
+    raised = not after and left != START
+    return (raised and RAISED.get(letter)) or VOWELS[letter], 1
+
+
+def _consonant(left: int, letter: str, after: str, second: str, edges: bool) -> tuple[str, int]:
+    member = lambda x, letters: x in letters if x else edges
+    pair = letter + after
+    if after and pair in PAIRS:
+        return PAIRS[pair], 2
+    if after and pair in SOFTENING and pair != "qu" and member(second, SOFTENING[pair]):
+        return HARD_SOFT["g"][0] if pair == "gu" else PLAIN["ç"], 2
+    if pair == "qu":
+        return ("k" if member(second, SOFTENING["qu"]) else "k w"), 2
+    if letter in HARD_SOFT:
+        return HARD_SOFT[letter][member(after, SOFTENING[letter])], 1
+    if letter in PALATAL and (after in ("i", "í") or (after == "e" and not second) or (not after and edges)):
+        return PALATAL[letter], 1
+    if letter in ("s", "x"):
+        # Between vowels both are voiced, x only behind a first e.
+        open_left = left == AFTER_E if letter == "x" else left in (AFTER_E, AFTER_VOWEL) or (left == START and edges)
+        if open_left and member(after, VOWELS):
+            return "z", 1
+        if letter == "x" or (after and after in VOICED):
+            return ("ʃ" if letter == "x" else "ʒ"), 1
+    if letter == "z":
+        return ("z" if after else "ʃ"), 1
+    if letter in CLOSING:
+        closed = after not in VOWELS or (letter == "r" and left == START)
+        return CLOSING[letter][closed], 1
+    return PLAIN.get(letter, ""), 1
+
+
+class Table(NamedTuple):
+    """``states[k]`` and ``phones[k]`` for k = ((state * letters + letter) * nexts + next) * seconds + second.
+
+    ``next_of`` and ``second_of`` number the letters (0 for others, the last for the end of the word) by what they
+    do to the letter one and two places to their left; ``nexts`` and ``seconds`` say how many numbers there are."""
+
+    states: list[int]
+    phones: list[str]
+    next_of: list[int]
+    second_of: list[int]
+    nexts: int
+    seconds: int
+
+    def cell(self, state, code, after, second):
+        return ((state * (len(LETTERS) + 1) + code) * self.nexts + after) * self.seconds + second
+
+
+def _step(state: int, letter: str, after: str, second: str, edges: bool) -> tuple[int, str]:
+    left = AFTER_VOWEL if letter in VOWELS else AFTER_OTHER
+    if state == PAIRED or letter not in LETTERS or not letter:
+        return left, ""
+    phones, used = (_vowel if letter in VOWELS else _consonant)(state, letter, after, second, edges)
+    return (PAIRED if used == 2 else AFTER_E if state == START and letter == "e" else left), phones
+
+
+def _numbered(symbols: list[str], effect) -> tuple[list[int], list[str]]:
+    """A number for each symbol, equal for equal effects, and a symbol that stands for each number."""
+    numbers: dict[object, int] = {}
+    stands: list[str] = []
+    for x in symbols:
+        if effect(x) not in numbers:
+            numbers[effect(x)] = len(stands)
+            stands.append(x)
+    return [numbers[effect(x)] for x in symbols], stands
+
+
+@cache
+def transitions(edges: bool = True) -> Table:
+    """The table; with ``edges`` the edge of a word counts as a member of every letter class."""
+    symbols = ["?", *LETTERS, ""]
+    softens = lambda x: tuple(x in s for s in SOFTENING.values())
+    next_of, nexts = _numbered(symbols, lambda x: (x if x in "mnhcçrsuioe" else "?", x in VOWELS, softens(x), x in "ií", x in VOICED, x == ""))
+    second_of, seconds = _numbered(symbols, lambda x: (x in VOWELS, softens(x), x == ""))
+    cells = [_step(state, letter, after, second if after else "", edges) for state in range(5) for letter in symbols[:-1] for after in nexts for second in seconds]
+    return Table([s for s, _ in cells], [p for _, p in cells], next_of, second_of, len(nexts), len(seconds))
+
+
+def spelled(word: Column, edges_match: bool = True) -> Column:
+    """Phones of a word, separated by blanks."""
+    table = transitions(edges_match)
+    # One literal each, folded once; an array of thousands of literals would be walked by every rule of the optimizer.
+    states, phones, next_of, second_of = (F.split(F.lit(",".join(map(str, x))), ",").cast(kind) for x, kind in zip(table[:4], ("array<int>", "array<string>", "array<int>", "array<int>"), strict=True))
+    kind = lambda of, code: F.get(of, F.coalesce(code, F.lit(len(LETTERS) + 1)))
+
+    def walk(codes: Column) -> Column:
+        def read(done: Column, k: Column) -> Column:
+            cell = table.cell(done["state"], F.get(codes, k), kind(next_of, F.get(codes, k + 1)), kind(second_of, F.get(codes, k + 2)))
+            return let(cell, lambda c: F.struct(F.get(states, c).alias("state"), F.concat(done["out"], F.lit(" "), F.get(phones, c)).alias("out")))
+
+        empty = F.struct(F.lit(START).alias("state"), F.lit("").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), empty, read, lambda done: F.trim(F.regexp_replace(done["out"], " +", " ")))
+
+    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(LETTERS), c))
+    return F.when(F.length(word) > 0, let(codes, walk)).when(word.isNotNull(), F.lit(""))
 
 
 class Speller:
-    """Rules compiled into one pattern.
-
-    What a rule sees is the letter before, the next four letters and whether the
-    word starts here or one letter back, so each such view is worked out once.
-    """
+    """Reads single words on the driver, by the same table."""
 
     def __init__(self, edges_match: bool = True):
-        table = rules(edges_match)
-        self._phones = [phones.split() for _, phones in table]
-        self._pattern = re.compile("|".join(f"({pattern})" for pattern, _ in table))
-        self._seen: dict[tuple, tuple[list[str], int]] = {}
-
-    def _at(self, word: str, i: int) -> tuple[list[str], int]:
-        view = (min(i, 2), word[i - 1 : i] if i else "", word[i : i + 4])
-        if view not in self._seen:
-            match = self._pattern.match(word, i)
-            self._seen[view] = (self._phones[match.lastindex - 1], match.end() - i) if match else ([], 1)
-        return self._seen[view]
+        self.table = transitions(edges_match)
 
     def word(self, word: str) -> list[str]:
-        out: list[str] = []
-        i = 0
-        while i < len(word):
-            phones, used = self._at(word, i)
-            out += phones
-            i += used
+        table, state, out = self.table, START, []
+        codes = [LETTERS.find(c) + 1 for c in word] + [len(LETTERS) + 1] * 2
+        for code, after, second in zip(codes, codes[1:], codes[2:], strict=False):
+            cell = table.cell(state, code, table.next_of[after], table.second_of[second])
+            state = table.states[cell]
+            out += table.phones[cell].split()
         return out
 
 
-def text_words(text: str) -> list[str]:
+def text_words(text: Column) -> Column:
     """Lower-case words; hyphens separate, other marks go."""
-    return re.sub(r"[^\w ]", " ", text.lower().replace("-", " ")).split()
-
-
-def _udf(edges_match: bool):
-    """Phones of single words, separated by blanks (text is cheaper to hand over than arrays)."""
-
-    @F.pandas_udf(T.StringType())
-    def phones(word: pd.Series) -> pd.Series:
-        speller = Speller(edges_match)
-        return word.map(lambda w: None if w is None else " ".join(speller.word(w)))
-
-    return phones
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "-", " "), r"[^\p{L}\p{N}_ ]", " ")
+    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
 
 
-def _listed(spoken: Column) -> Column:
-    return F.filter(F.split(spoken, " "), lambda p: p != "")
+def _listed(phones: Column) -> Column:
+    return F.filter(F.split(phones, " "), lambda p: p != "")
 
 
 def word_table(texts: DataFrame, text: str = "text", edges_match: bool = True) -> DataFrame:
     """Each distinct word of a corpus once: (word, n, phones)."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "-", " "), r"[^\p{L}\p{N}_ ]", " ")
-    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
-    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("phones", _listed(_udf(edges_match)(F.col("word"))))
+    counted = texts.select(F.explode(text_words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("phones", _listed(spelled(F.col("word"), edges_match)))
 
 
 def text_phones(texts: DataFrame, text: str = "text", out: str = "phones", edges_match: bool = True) -> DataFrame:
-    """Add the phones of each text; a task spells every word it meets once."""
-
-    @F.pandas_udf(T.StringType())
-    def phones(column: pd.Series) -> pd.Series:
-        speller, known = Speller(edges_match), {}
-
-        def spell(value: str | None) -> str:
-            result: list[str] = []
-            for word in text_words(value or ""):
-                if word not in known:
-                    known[word] = speller.word(word)
-                result += known[word]
-            return " ".join(result)
-
-        return column.map(spell)
-
-    return texts.withColumn(out, _listed(phones(F.col(text))))
+    """Add the phones of each text.  A word is read once for the whole corpus, and a repeated text is put together once."""
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    own = texts.select(digest.alias("__d"), F.col(text).alias("__t")).dropDuplicates(["__d"])
+    each = own.select("__d", F.posexplode(text_words(F.col("__t"))).alias("__pos", "__w"))
+    read = each.groupBy("__w").agg(F.count(F.lit(1)).alias("__n")).select("__w", _listed(spelled(F.col("__w"), edges_match)).alias("__p"))
+    entries = F.array_sort(F.collect_list(F.struct("__pos", "__p")))
+    joined = each.join(read, "__w").groupBy("__d").agg(F.flatten(F.transform(entries, lambda e: e["__p"])).alias(out))
+    rows = texts.drop(out).withColumn("__d", digest).join(joined, "__d", "left").drop("__d")
+    return rows.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))

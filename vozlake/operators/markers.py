@@ -74,7 +74,8 @@ def enrich(
 
 def phone_coverage(word_phones: DataFrame, inventory: list[str], rare_below: int = 5) -> DataFrame:
     """Counts per phone of the inventory and of any other phone; ``word_phones`` is (phones, n)."""
-    counts = word_phones.select(F.explode("phones").alias("phone"), "n").groupBy("phone").agg(F.sum("n").alias("n"))
+    # The outer form: a filter on the size of the array would move below the grouping that made the words.
+    counts = word_phones.select(F.explode_outer("phones").alias("phone"), "n").where("phone is not null").groupBy("phone").agg(F.sum("n").alias("n"))
     spark = word_phones.sparkSession
     target = spark.createDataFrame([(p, True) for p in inventory], "phone string, target boolean")
     out = counts.join(F.broadcast(target), "phone", "full")
@@ -89,6 +90,8 @@ def greedy_coverage(sentences: DataFrame, inventory: list[str], by: str = "seq",
     Every step adds a phone, so there are at most as many steps as phones.  Each
     step looks at the distinct phone sets only, stored as bit masks.
     """
+    if len(inventory) > 63:
+        raise ValueError("an inventory of more than 63 phones doesn't fit a mask")
     bit = {p: i for i, p in enumerate(inventory)}
     lookup = F.create_map(*[x for p, i in bit.items() for x in (F.lit(p), F.lit(1 << i).cast("long"))])
     mask = F.aggregate("phones", F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.coalesce(F.try_element_at(lookup, p), F.lit(0).cast("long"))))

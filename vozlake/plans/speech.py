@@ -278,9 +278,58 @@ def segment_ids(t):
 # ---- phones and markers ---------------------------------------------------
 
 
-@query("phone_coverage")
+def _one_of(x: str, letters) -> str:
+    return f"{x} IN ({', '.join(repr(c) for c in letters)})"
+
+
+def _mapped(x: str, table: dict[str, str]) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _phones_sql() -> str:
+    """CTEs that read the distinct words of ``documents`` letter by letter: spoken (word, n, phones)."""
+    vowel = lambda x: _one_of(x, phones.VOWELS)
+    soft = lambda x, of: f"({x} = '' OR {_one_of(x, phones.SOFTENING[of])})"
+    family = lambda table: "CASE " + " ".join(f"WHEN {_one_of('c', f)} THEN '{v}'" for f, v in table.items()) + " END"
+    cell = lambda sound, used: f"{{'p': {sound}, 'u': {used}}}"
+    cases = [
+        (f"{vowel('c')} AND a IN ('m', 'n') AND NOT {vowel('b')}", f"coalesce(CASE WHEN a = 'm' AND b = '' THEN {family(phones.FINAL_NASAL)} END, {family(phones.NASAL)})", 2),
+        (f"{vowel('c')} AND a = ''", family(phones.NASAL), 1),
+        (_one_of("c || a", phones.NASAL_GLIDES), _mapped("c || a", phones.NASAL_GLIDES), 2),
+        (f"{_one_of('c', phones.BEFORE_GLIDE)} AND {_one_of('a', phones.GLIDES)}", f"{_mapped('c', phones.BEFORE_GLIDE)} || {_mapped('a', phones.GLIDES)}", 2),
+        (vowel("c"), _mapped("c", phones.VOWELS), 1),
+        (_one_of("c || a", phones.PAIRS), _mapped("c || a", phones.PAIRS), 2),
+        (f"c || a IN ('sc', 'sç', 'xc') AND {soft('b', 'sc')}", "'s'", 2),
+        (f"c || a = 'gu' AND {soft('b', 'gu')}", "'g'", 2),
+        ("c || a = 'qu'", f"CASE WHEN {soft('b', 'qu')} THEN 'k' ELSE 'k w' END", 2),
+        ("c = 'c'", f"CASE WHEN {soft('a', 'c')} THEN 's' ELSE 'k' END", 1),
+        ("c = 'g'", f"CASE WHEN {soft('a', 'g')} THEN 'ʒ' ELSE 'g' END", 1),
+        ("c IN ('t', 'd') AND (a IN ('i', 'í', '') OR (a = 'e' AND b = ''))", _mapped("c", phones.PALATAL), 1),
+        (f"c = 's' AND (o = '' OR {vowel('o')}) AND (a = '' OR {vowel('a')})", "'z'", 1),
+        ("c = 's'", f"CASE WHEN a <> '' AND {_one_of('a', phones.VOICED)} THEN 'ʒ' WHEN {vowel('a')} THEN 's' ELSE 'ʃ' END", 1),
+        ("c = 'x'", f"CASE WHEN i = 2 AND o = 'e' AND (a = '' OR {vowel('a')}) THEN 'z' ELSE 'ʃ' END", 1),
+        ("c = 'z'", "CASE WHEN a = '' THEN 'ʃ' ELSE 'z' END", 1),
+        ("c = 'r'", f"CASE WHEN i > 1 AND {vowel('a')} THEN 'ɾ' ELSE 'χ' END", 1),
+        ("c = 'l'", f"CASE WHEN {vowel('a')} THEN 'l' ELSE 'w' END", 1),
+    ]
+    choice = "CASE " + " ".join(f"WHEN {when} THEN {cell(sound, used)}" for when, sound, used in cases) + f" ELSE {cell(f'coalesce({_mapped("c", phones.PLAIN)}, {chr(39) * 2})', 1)} END"
+    return f"""dw AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '-', ' '), '[^\\p{{L}}\\p{{N}}_ ]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS word FROM documents),
+        cw AS (SELECT word, count(*) AS n FROM dw GROUP BY 1),
+        st AS (SELECT word, 1::BIGINT AS i, '' AS said FROM cw
+          UNION ALL SELECT word, i + r.u, said || ' ' || r.p FROM (SELECT word, i, said, {choice} AS r FROM (SELECT word, i, said, word[i] AS c, word[i + 1] AS a, word[i + 2] AS b, CASE WHEN i > 1 THEN word[i - 1] ELSE '' END AS o FROM st WHERE i <= length(word)))),
+        spoken AS (SELECT word, n, list_filter(string_split(said, ' '), lambda p: p <> '') AS phones FROM st JOIN cw USING (word) WHERE i > length(word))"""
+
+
+_INVENTORY = "inv AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in phones.INVENTORY) + f"]) AS phone, unnest(range({len(phones.INVENTORY)})) AS bit)"
+
+
+@query(
+    "phone_coverage",
+    f"""WITH RECURSIVE {_phones_sql()}, {_INVENTORY}, l AS (SELECT phone, sum(n)::BIGINT AS n FROM (SELECT unnest(phones) AS phone, n FROM spoken) GROUP BY 1)
+        SELECT coalesce(l.phone, inv.phone) AS phone, coalesce(n, 0) AS n, CASE WHEN inv.phone IS NULL THEN 'outside' WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < 5 THEN 'rare' ELSE 'covered' END AS status FROM l FULL JOIN inv USING (phone)""",
+)
 def phone_coverage(t):
-    return mk.phone_coverage(materialize(phones.word_table(t.documents), "words"), phones.INVENTORY)
+    return mk.phone_coverage(phones.word_table(t.documents), phones.INVENTORY)
 
 
 @query(
@@ -295,12 +344,20 @@ def letter_coverage(t):
     return mk.phone_coverage(rows, list("abcdefghijklmnopqrstuvwxyzç"), 200)
 
 
-@query("word_phones")
+@query("word_phones", f"WITH RECURSIVE {_phones_sql()} SELECT word, n, array_to_string(phones, ' ') AS phones FROM spoken")
 def word_phones(t):
     return phones.word_table(t.documents).select("word", "n", F.array_join("phones", " ").alias("phones"))
 
 
-@query("greedy_phone_coverage")
+@query(
+    "greedy_phone_coverage",
+    f"""WITH RECURSIVE {_phones_sql()}, {_INVENTORY}, wm AS (SELECT word, bit_or(1::BIGINT << bit::INT) AS mask FROM (SELECT word, unnest(phones) AS phone FROM spoken) JOIN inv USING (phone) GROUP BY 1),
+        dm AS (SELECT documents.doc_id, coalesce(bit_or(mask), 0) AS mask FROM documents LEFT JOIN (SELECT DISTINCT * FROM dw) d USING (doc_id) LEFT JOIN wm USING (word) GROUP BY 1),
+        sets AS (SELECT mask, min(doc_id) AS first FROM dm GROUP BY 1),
+        picked AS (SELECT 0::BIGINT AS seen, 0 AS step, NULL::BIGINT AS first, 0::BIGINT AS gain
+          UNION ALL SELECT seen | b.mask, step + 1, -b.neg, b.gain FROM (SELECT seen, step, max({{'gain': bit_count(mask & ~seen)::BIGINT, 'neg': -sets.first, 'mask': mask}}) AS b FROM picked, sets GROUP BY 1, 2) WHERE b.gain > 0)
+        SELECT doc_id, step, gain::INTEGER AS gain, CASE WHEN step IS NULL THEN md5('7|' || doc_id) END AS order_key FROM dm LEFT JOIN (SELECT step, first AS doc_id, gain FROM picked WHERE step > 0) USING (doc_id)""",
+)
 def greedy_phone_coverage(t):
     rows = phones.text_phones(t.documents.select("doc_id", "text"), "text")
     return mk.greedy_coverage(rows, phones.INVENTORY, "doc_id", "doc_id").select("doc_id", "step", "gain", "order_key")
