@@ -134,26 +134,25 @@ _RATED = """rated AS (SELECT run, id, max(seq) AS seq, max(ts) AS ts, arg_max(ge
         arg_max("natural", seq) FILTER ("natural" IS NOT NULL) AS "natural", arg_max(voz, seq) FILTER (voz IS NOT NULL) AS voz, arg_max(parou, seq) FILTER (parou IS NOT NULL) AS parou,
         arg_max(CASE WHEN geral > 3 THEN 'sim' END, seq) FILTER (geral > 3) AS carioca, arg_max(problema, seq) FILTER (problema IS NOT NULL) AS problema,
         arg_max(marker_tag, seq) FILTER (marker_tag IS NOT NULL) AS marker_tag, max(seq) FILTER (marker_tag IS NOT NULL) AS marker_seq FROM ratings GROUP BY 1, 2)"""
-_CLIPS = """bench AS (SELECT 'it' || item_id AS id, text, (['feliz', 'triste', 'neutro'])[(item_id % 3 + 1)::BIGINT] AS emotion, 'carioca' AS accent FROM benchmark WHERE item_id % 10 <> 9),
-        wavs AS (SELECT run, id, count(*) AS takes FROM ratings WHERE seq % 3 <> 0 GROUP BY 1, 2),
-        sent AS (SELECT run, id, round(avg(coalesce(geral, 0)) / 5, 6) AS wer, count(*) / 4.0::DOUBLE AS dur_s, 'ref ' || id AS ref, 'hyp ' || run AS hyp FROM ratings WHERE seq % 5 = 0 GROUP BY 1, 2),
+_CLIPS = """bench AS (SELECT 'it' || item_id AS id, text, (['feliz', 'triste', 'neutro'])[(item_id % 3 + 1)::BIGINT] AS emotion, 'carioca' AS accent FROM benchmark),
+        wavs AS (SELECT run, id, count(*) AS takes FROM ratings GROUP BY 1, 2),
+        sent AS (SELECT run, id, round(avg(coalesce(geral, 0)) / 5, 6) AS wer, count(*) / 4.0::DOUBLE AS dur_s, 'ref ' || id AS ref, 'hyp ' || run AS hyp FROM ratings GROUP BY 1, 2),
         man AS (SELECT w.run, w.id, coalesce(b.emotion, '?') AS emotion, coalesce(b.accent, '?') AS accent, coalesce(b.text, s.ref, '') AS text, s.wer, s.dur_s, coalesce(s.hyp, '') AS hyp
         FROM wavs w LEFT JOIN bench b USING (id) LEFT JOIN sent s ON s.run = w.run AND s.id = w.id)"""
 
 
 def benchmark(t):
     item = F.col("item_id")
-    return t.benchmark.where(item % 10 != 9).select(
+    return t.benchmark.select(
         F.concat(F.lit("it"), item.cast("string")).alias("id"), "text", roles.one_of(["feliz", "triste", "neutro"], item % 3).alias("emotion"), F.lit("carioca").alias("accent")
     )
 
 
 def manifest(t):
     r = roles.ratings(t)
-    wavs = r.where(F.col("seq") % 3 != 0).select("run", "id").distinct().withColumn("wav", F.concat_ws("/", "run", F.concat("id", F.lit(".wav"))))
+    wavs = r.select("run", "id").distinct().withColumn("wav", F.concat_ws("/", "run", F.concat("id", F.lit(".wav"))))
     sent = (
-        r.where(F.col("seq") % 5 == 0)
-        .groupBy("run", "id")
+        r.groupBy("run", "id")
         .agg(F.round(F.avg(F.coalesce("geral", F.lit(0))) / 5, 6).alias("wer"), (F.count(F.lit(1)) / F.lit(4.0)).alias("dur_s"))
         .withColumn("ref", F.concat(F.lit("ref "), "id"))
         .withColumn("hyp", F.concat(F.lit("hyp "), "run"))
@@ -274,12 +273,12 @@ def emotion_suggestions(t):
 @query(
     "emotion_rule_violations",
     """SELECT user_id, array_to_string(list_filter([CASE WHEN list_contains(e, 'neutral') AND len(e) > 1 THEN 'neutral with others' END, CASE WHEN len(e) > 3 THEN 'more than three' END], lambda x: x IS NOT NULL), ',') AS violations
-        FROM (SELECT user_id, list_distinct(list(CASE WHEN event_type = 'view' THEN 'neutral' ELSE event_type END)) AS e FROM events WHERE value > 100 GROUP BY 1)
+        FROM (SELECT user_id, list_distinct(list(CASE WHEN event_type = 'view' THEN 'neutral' ELSE event_type END)) AS e FROM events GROUP BY 1)
         WHERE (list_contains(e, 'neutral') AND len(e) > 1) OR len(e) > 3""",
 )
 def emotion_rule_violations(t):
     kind = F.when(F.col("event_type") == "view", "neutral").otherwise(F.col("event_type"))
-    rows = t.events.where("value > 100").groupBy("user_id").agg(F.collect_set(kind).alias("emocoes"))
+    rows = t.events.groupBy("user_id").agg(F.collect_set(kind).alias("emocoes"))
     return rt.emotion_rule_violations(rows).select("user_id", F.array_join("violations", ",").alias("violations"))
 
 
@@ -314,14 +313,14 @@ def best_run_per_source(t):
     "sentence_metrics",
     using(
         "ratings",
-        body=f"""WITH {_CLIPS}, sim AS (SELECT run, id, round(avg(nativo), 6) AS spk_sim FROM ratings GROUP BY 1, 2), pros AS (SELECT run, id, count(*) AS taxa FROM ratings WHERE seq % 2 = 0 GROUP BY 1, 2)
+        body=f"""WITH {_CLIPS}, sim AS (SELECT run, id, round(avg(nativo), 6) AS spk_sim FROM ratings GROUP BY 1, 2), pros AS (SELECT run, id, count(*) AS taxa FROM ratings GROUP BY 1, 2)
         SELECT run, id, wer, spk_sim, taxa FROM man LEFT JOIN sim USING (run, id) LEFT JOIN pros USING (run, id)""",
     ),
 )
 def sentence_metrics(t):
     r = roles.ratings(t)
     sim = r.groupBy("run", "id").agg(F.round(F.avg("nativo"), 6).alias("spk_sim"))
-    pros = r.where(F.col("seq") % 2 == 0).groupBy("run", "id").agg(F.count(F.lit(1)).alias("taxa"))
+    pros = r.groupBy("run", "id").agg(F.count(F.lit(1)).alias("taxa"))
     return sc.attach_metrics(manifest(t).select("run", "id", "wer"), sim, pros, ["run", "id"])
 
 
@@ -346,7 +345,7 @@ def config_violations(t):
     "artifact_completeness",
     using(
         "ratings",
-        body="""WITH w AS (SELECT run, count(DISTINCT id) AS wavs FROM ratings WHERE seq % 3 <> 0 GROUP BY 1)
+        body="""WITH w AS (SELECT run, count(DISTINCT id) AS wavs FROM ratings GROUP BY 1)
         SELECT run, coalesce(wavs, 0) AS wavs, run <> 'run3' AS has_result, run <> 'run3' AND coalesce(wavs, 0) >= 14 AS complete FROM (SELECT DISTINCT run FROM ratings) LEFT JOIN w USING (run)""",
     ),
 )
@@ -354,7 +353,7 @@ def artifact_completeness(t):
     from vozlake.operators.gates import artifact_completeness as complete
 
     r = roles.ratings(t)
-    return complete(r, r.where(F.col("seq") % 3 != 0).select("run", "id").distinct(), r.where("run <> 'run3'"))
+    return complete(r, r.select("run", "id").distinct(), r.where("run <> 'run3'"))
 
 
 @query(

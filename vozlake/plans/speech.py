@@ -8,6 +8,7 @@ from vozlake.functions import frontend, numbers, phones
 from vozlake.functions import text as tx
 from vozlake.operators import markers as mk
 from vozlake.operators import prosody as pr
+from vozlake.operators.ordered import attach, beside
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import s_alnum, s_strip, s_tokens, using
@@ -369,18 +370,22 @@ def timeline(t):
 
 
 def timed_markers(t):
-    turn_id = F.col("user_id") * roles.TURNS + F.col("event_id") % 8
+    """Every event is a marker on a turn: users speak in conversations in turn, events lie on their turns in turn."""
+    held = roles.turns(t).groupBy("conv_id").agg(F.min("turn").alias("__first"), F.max("turn").alias("__last"))
+    every = beside(t.events, held.agg((F.max("conv_id") + 1).alias("__convs"))).withColumn("conv_id", F.col("user_id") % F.col("__convs"))
+    turn_id = F.col("conv_id") * roles.TURNS + F.col("__first") + F.col("event_id") % (F.col("__last") - F.col("__first") + 1)
     sev = F.when(F.col("event_id") % 6 == 0, "grave").otherwise((F.col("event_id") % 9).cast("string"))
     start = F.col("value") % F.lit(7.0)
-    rows = t.events.select(
+    return attach(every, held, ["conv_id"]).select(
         turn_id.alias("clip_id"), F.col("event_id").alias("marker"), start.alias("t_start"), (start + 0.35).alias("t_end"), F.col("event_type").alias("tag"), sev.alias("sev"), F.lit("").alias("note")
     )
-    return rows.join(roles.turns(t).select(F.col("turn_id").alias("clip_id")), "clip_id", "left_semi")
 
 
 _TL = """tl AS (SELECT turn_id, k, ch, n, dur_s, k * (dur_s / n) AS s, (k + 1) * (dur_s / n) AS e FROM
         (SELECT turn_id, dur_s, len(l) AS n, unnest(l) AS ch, unnest(range(len(l))) AS k FROM (SELECT turn_id, dur_s, regexp_extract_all(lower(text), '[a-z]') AS l FROM turns))),
-        mkr AS (SELECT user_id * 4294967296 + event_id % 8 AS turn_id, event_id AS marker, value % 7.0::DOUBLE AS t0, value % 7.0::DOUBLE + 0.35::DOUBLE AS t1 FROM events WHERE user_id * 4294967296 + event_id % 8 IN (SELECT turn_id FROM turns)),
+        held AS (SELECT conv_id, min(turn) AS f, max(turn) AS l FROM turns GROUP BY 1),
+        mkr AS (SELECT conv_id * 4294967296 + f + event_id % (l - f + 1) AS turn_id, event_id AS marker, value % 7.0::DOUBLE AS t0, value % 7.0::DOUBLE + 0.35::DOUBLE AS t1
+                FROM (SELECT *, user_id % (SELECT max(conv_id) + 1 FROM turns) AS conv_id FROM events) LEFT JOIN held USING (conv_id)),
         ov AS (SELECT marker, ch, k, s, least(e, t1) - greatest(s, t0) AS o FROM mkr JOIN tl USING (turn_id) WHERE s < t1 AND e > t0)"""
 
 
