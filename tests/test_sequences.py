@@ -1,5 +1,6 @@
 """Walks, alignments and turns against plain loops over small random data."""
 
+import datetime
 import random
 
 import numpy as np
@@ -335,6 +336,57 @@ def test_turns_batch_and_stream_agree_with_the_rule(spark, tmp_path, barge):
     assert sorted((r.session, r["first"], r["last"], r.frames, r.reason) for r in streamed) == want
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_do_not_depend_on_files_a_batch(spark, tmp_path, files):
+    rules, folder = tn.TurnRules(), str(tmp_path / "frames")
+    data = [f for seed in range(3) for f in random_frames(seed, 600)]
+    df = spark.createDataFrame(data, "session long, i long, prob double, playing boolean, complete double")
+    for k in range(3):
+        df.where(F.floor(F.col("i") / 200) == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.turn_stream(jobs.file_stream(spark, folder, df.schema, files=files), rules)
+    jobs.drain_to_files(stream, str(tmp_path / "cp"), str(tmp_path / "out"))
+    want = sorted(t for seed in range(3) for t in turns_loop([f for f in data if f[0] == seed], rules))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+    texts = ["Oi. Tudo  bem? Sim", " … claro. E", "nfim! ", "sem fim", " ponto.", "x. y"]
+    rows = [(c, k, x, k in (2, 5)) for c in range(4) for k, x in enumerate(texts)] + [(9, 0, None, True)]
+    pieces = spark.createDataFrame(rows, "conv_id long, pos long, piece string, last boolean")
+    for k in range(3):
+        pieces.where(F.floor(F.col("pos") / 2) == k).repartition(1).write.mode("append").parquet(str(tmp_path / "pieces"))
+    said = jobs.sentence_stream(jobs.file_stream(spark, str(tmp_path / "pieces"), pieces.schema, files=files))
+    jobs.drain_to_files(said, str(tmp_path / "cp2"), str(tmp_path / "said"))
+    each = ["Oi.", "Tudo  bem?", "Sim …", "claro.", "Enfim!", "sem fim ponto.x.", "y"]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "said")).collect()) == [(c, k, x) for c in range(4) for k, x in enumerate(each)]
+
+
+def test_state_of_an_idle_session_goes(spark, tmp_path):
+    folder, rules = str(tmp_path / "frames"), tn.TurnRules()
+    schema = "session long, i long, prob double, playing boolean, complete double, ts timestamp"
+    spoken = lambda s, lo, hi, at, prob=0.9: [(s, i, prob, False, None, datetime.datetime(2026, 1, 1, at)) for i in range(lo, hi)]
+
+    def drain(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        frames = jobs.file_stream(spark, folder, spark.createDataFrame([], schema).schema, files=1)
+        jobs.drain_to_files(jobs.turn_stream(frames, rules, idle_ms=60_000, watermark="1 minute"), str(tmp_path / "cp"), str(tmp_path / "out"))
+        return {r.key.session for r in spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / "cp")).collect() if r.value is not None}
+
+    assert drain(spoken(1, 0, 20, 1)) == {1}
+    assert drain(spoken(2, 0, 20, 2)) == {2}
+    # Session 1 comes back and starts afresh: its turn begins with the new frames.
+    assert drain(spoken(1, 20, 40, 3) + spoken(1, 40, 60, 3, 0.1)) == {1}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 20, 57, 38, "silence")]
+
+
+def test_latency_sketch_keeps_its_rank_error(spark):
+    n, scattered = 1_000_000, (F.col("id") * 7919) % 1_000_000 + 1
+    rows = spark.range(0, n, 1, 8).select(F.timestamp_seconds(F.lit(0)).alias("ts"), F.when(F.col("id") % 2 == 0, "asr").otherwise("tts").alias("stage"), scattered.cast("double").alias("seconds"))
+    for r in jobs.stage_latency(rows, sketch=jobs.SKETCH_K).collect():
+        values = np.sort([x.seconds for x in rows.where(F.col("stage") == r.stage).select("seconds").collect()])
+        assert r.n == n // 2 and r.mean_s == pytest.approx(values.mean())
+        for got, p in ((r.p50_s, 0.5), (r.p95_s, 0.95)):
+            assert abs(np.searchsorted(values, got) / len(values) - p) < 0.005
+
+
 def test_greedy_coverage_matches_a_loop(spark):
     rng = random.Random(8)
     inventory = [chr(97 + i) for i in range(12)]
