@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from vozlake.functions import license as lic
 from vozlake.operators import edits as ed
 from vozlake.operators import gates, splits
 from vozlake.operators import ratings as rt
-from vozlake.sinks import exports
+from vozlake.sinks import exports, json_array
 from vozlake.functions import text as tx
 
 CLIP = "id string, seq long, text string, dur_s double, speaker string, estilo_nl string"
@@ -155,3 +157,44 @@ def test_append_unseen_keeps_each_key_once(spark, tmp_path):
     exports.append_unseen(rows.where("path = 'a'"), target)
     exports.append_unseen(rows, target)
     assert sorted(r.path for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+def array_in(folder):
+    return json.loads("".join(p.read_text() for p in sorted(folder.glob("*.json"))))
+
+
+def test_one_json_array_from_many_tasks(spark, tmp_path):
+    texts = ['a "quoted" one', "two\nlines", "é, ß", "", ",", "]"]
+    rows = [(k % 50, f"clip{k}.wav", texts[k % 6], "paralinguistico" if k % 9 == 0 else "sentenca", "animado" if k % 4 == 0 else None, None) for k in range(400)]
+    df = spark.createDataFrame(rows, "seq long, audio string, text string, kind string, style string, accent string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    exports.write_conversations(df, str(tmp_path / "talk"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = sorted(rows, key=lambda r: (r[0], r[1]))
+    assert array_in(tmp_path / "talk") == [[{"text": r[2], "audio_path": r[1], "speaker": 0}] for r in ordered]
+    assert len(list((tmp_path / "talk").glob("*.json"))) > 5
+
+    exports.write_formats(df.withColumn("style", F.coalesce("style", F.lit(""))).withColumn("accent", F.lit("")), str(tmp_path / "f"), ["csm"])
+    assert array_in(tmp_path / "f" / "csm") == [{"speaker": 0, "text": ("<animado> " if r[4] else "") + r[2], "audio": r[1]} for r in ordered if r[3] != "paralinguistico"]
+    back = json_array.read_json_array(spark, str(tmp_path / "talk"), "array<struct<text:string,audio_path:string,speaker:int>>")
+    assert sorted(r["item"][0].audio_path for r in back.collect()) == sorted(r[1] for r in rows)
+
+    # Written again with less, nothing of the old array stays; without rows it is an empty array.
+    exports.write_conversations(df.where("seq = 3"), str(tmp_path / "talk"))
+    assert len(array_in(tmp_path / "talk")) == 8
+    exports.write_conversations(df.limit(0), str(tmp_path / "talk"))
+    assert array_in(tmp_path / "talk") == [] and not [p for p in (tmp_path / "talk").iterdir() if p.name.startswith("_")]
+
+
+def test_licence_gate_in_both_modes(spark, tmp_path):
+    rows = [("a", "s1", "CC-BY-4.0", 1.0), ("b", "s2", "CC-BY-NC-4.0", 2.0), ("c", "s0", "sem licença", 4.0)]
+    df = spark.createDataFrame(rows, "id string, source string, license string, dur_s double")
+    report = exports.write_licensed(df, str(tmp_path / "research"))
+    assert (report["rows"], report["seconds"], report["research_only"], report["research_only_source"], list(report["sources"])) == (3, 7.0, 2, "s0", ["s0", "s1", "s2"])
+    assert {r.id for r in spark.read.parquet(str(tmp_path / "research")).where("research_only").collect()} == {"b", "c"}
+    with pytest.raises(Exception, match="commercial gate blocks source s"):
+        exports.write_licensed(df, str(tmp_path / "commercial"), "commercial")
+    assert not list((tmp_path / "commercial").glob("part-*"))
+    assert exports.write_licensed(df.where("id = 'a'"), str(tmp_path / "commercial"), "commercial")["research_only"] == 0
+    with pytest.raises(Exception, match="research gate blocks source s9"):
+        exports.write_licensed(df.unionByName(spark.createDataFrame([("d", "s9", "pago (ELRA)", 1.0)], df.schema)), str(tmp_path / "blocked"))

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import struct as st
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vozlake import schemas as sm
+from vozlake.functions import license as lic
 from vozlake.operators import edits as ed
 from vozlake.operators import gates
 from vozlake.plans import roles
-from vozlake.plans.curation import _OK, gated
+from vozlake.plans.curation import _OK, _RESEARCH, gated
 from vozlake.plans.registry import query
 from vozlake.plans.roles import using
 from vozlake.session import scratch_path
 from vozlake.sinks import exports as ex
+from vozlake.sinks.json_array import read_json_array
 from vozlake.sources import audio as au
 from vozlake.sources import files as fl
 
@@ -225,22 +230,67 @@ def written_train_and_rejects(t):
 )
 def written_formats(t):
     path = scratch_path(t.spark, "formats")
-    rows = roles.clips(t).withColumn("kind", F.when(F.col("kind") == "dialogo", "paralinguistico").otherwise(F.col("kind")))
+    rows = export_rows(t)
     ex.write_formats(rows, path, ["canonical", "csm", "orpheus", "ljspeech"])
     ex.write_conversations(rows, f"{path}/conversations")
-    items = "array<struct<text:string,audio:string>>"
-    size = {
-        "canonical": F.lit(1),
-        "orpheus": F.lit(1),
-        "ljspeech": F.lit(1),
-        "csm": F.size(F.from_json("value", items)),
-        "conversations": F.size(F.from_json("value", f"array<{items}>")),
-    }
-    parts = [t.spark.read.text(f"{path}/{name}").agg(F.lit(name).alias("format"), F.sum(n).cast("long").alias("n")) for name, n in size.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    held = {name: t.spark.read.text(f"{path}/{name}") for name in ("canonical", "orpheus", "ljspeech")}
+    held |= {name: read_json_array(t.spark, f"{path}/{name}", kind) for name, kind in ARRAYS.items()}
+    parts = [rows.agg(F.lit(name).alias("format"), F.count(F.lit(1)).alias("n")) for name, rows in held.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+ARRAYS = {"csm": "struct<speaker:int,text:string,audio:string>", "conversations": "array<struct<text:string,audio_path:string,speaker:int>>"}
+
+
+def export_rows(t):
+    return roles.clips(t).withColumn("kind", F.when(F.col("kind") == "dialogo", "paralinguistico").otherwise(F.col("kind")))
+
+
+@query(
+    "written_arrays",
+    using("clips", body="""WITH p AS (SELECT *, CASE WHEN style IN ('neutro', 'conversa') OR style IS NULL THEN '' ELSE style END AS s, CASE WHEN accent = 'carioca-medio' OR accent IS NULL THEN '' ELSE accent END AS a FROM clips)
+        SELECT 'csm' AS format, audio, 0 AS speaker, md5(CASE WHEN s || a = '' THEN '' ELSE '<' || s || CASE WHEN s <> '' AND a <> '' THEN '|' ELSE '' END || a || '> ' END || text) AS text_md5 FROM p WHERE kind <> 'dialogo'
+        UNION ALL SELECT 'conversations', audio, 0, md5(text) FROM p"""),
+)
+def written_arrays(t):
+    path = scratch_path(t.spark, "arrays")
+    ex.write_formats(export_rows(t), path, ["csm"])
+    ex.write_conversations(export_rows(t), f"{path}/conversations")
+    turn = read_json_array(t.spark, f"{path}/csm", ARRAYS["csm"]).select(F.lit("csm").alias("format"), "item.audio", "item.speaker", F.md5("item.text").alias("text_md5"))
+    talk = read_json_array(t.spark, f"{path}/conversations", ARRAYS["conversations"]).select(F.explode("item").alias("turn"))
+    return turn.unionByName(talk.select(F.lit("conversations").alias("format"), F.col("turn.audio_path").alias("audio"), "turn.speaker", F.md5("turn.text").alias("text_md5")))
+
+
+def _gate_sql(run: str, mode: str, bad: str, rows: str) -> str:
+    held = f"count(*) FILTER ({bad}) > 0"
+    return f"""SELECT '{run}' AS run, '{mode}' AS mode, CASE WHEN {held} THEN 'blocked' ELSE 'written' END AS outcome, CASE WHEN NOT {held} THEN count(*) END AS rows,
+        CASE WHEN NOT {held} THEN count(*) FILTER (NOT {_OK}) END AS research_only, CASE WHEN NOT {held} THEN min(source) FILTER (NOT {_OK}) END AS research_only_source FROM {rows}"""
+
+
+@query(
+    "license_gate_runs",
+    using("manifest", body=" UNION ALL ".join([
+        _gate_sql("everything", "commercial", f"NOT {_OK}", "manifest"),
+        _gate_sql("everything", "research", f"NOT {_RESEARCH}", "manifest"),
+        _gate_sql("usable", "research", "FALSE", f"(SELECT * FROM manifest WHERE {_RESEARCH})"),
+        _gate_sql("usable", "commercial", f"NOT {_OK}", f"(SELECT * FROM manifest WHERE {_RESEARCH})"),
+        _gate_sql("shippable", "commercial", "FALSE", f"(SELECT * FROM manifest WHERE {_OK})"),
+    ])),
+)
+def license_gate_runs(t):
+    """Manifests written through the gate in both modes: what was blocked, and the report of what was written."""
+    manifest = roles.manifest(t)
+    usable, shippable = manifest.where(lic.research_ok(F.col("license"))), manifest.where(lic.commercial_ok(F.col("license")))
+    out = []
+    for run, rows, mode in [("everything", manifest, "commercial"), ("everything", manifest, "research"), ("usable", usable, "research"), ("usable", usable, "commercial"), ("shippable", shippable, "commercial")]:
+        try:
+            report = ex.write_licensed(rows, scratch_path(t.spark, "licensed"), mode)
+            out.append((run, mode, "written", report["rows"], report["research_only"], report["research_only_source"]))
+        except SparkRuntimeException as error:
+            if "gate blocks source" not in str(error):
+                raise
+            out.append((run, mode, "blocked", None, None, None))
+    return t.spark.createDataFrame(out, "run string, mode string, outcome string, rows long, research_only long, research_only_source string")
 
 
 @query("appended_pairs", using("turns", body="SELECT 'p' || turn_id AS path, dur_s AS duration FROM turns"))

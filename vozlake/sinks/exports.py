@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vozlake.functions import text as tx
-from vozlake.operators.ordered import Ordered, nest
+from vozlake.functions.license import commercial_ok
+from vozlake.operators.gates import assert_licenses
+from vozlake.sinks.json_array import write_json_array
 from vozlake.sources.files import base_name
 
 
@@ -23,19 +25,11 @@ def write_train(gated: DataFrame, path: str, speaker: str = "speaker", key: str
     ordered(rejects).write.mode("overwrite").partitionBy(speaker).json(f"{path}/rejects")
 
 
-def _arrays(rows: DataFrame, item: Column, by: str, ties: list[str], array_rows: int) -> DataFrame:
-    """Rows in order as JSON arrays of ``array_rows`` items each; the last one may be shorter."""
-    numbered = Ordered(rows, [], by, ties).row_number("__rn").df
-    placed = numbered.withColumn("__array", F.floor((F.col("__rn") - 1) / F.lit(array_rows)))
-    return nest(placed, ["__array"], "__rn", item, "items").select(F.to_json("items").alias("value"))
-
-
-def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq", array_rows: int = 10_000) -> None:
+def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq") -> None:
     """One split in several training formats.
 
-    ``canonical`` JSON lines; ``csm`` JSON arrays of one-turn conversations
-    without sound events, ``array_rows`` to an array; ``orpheus`` JSON lines with the control prefix;
-    ``ljspeech`` lines ``name|text``.
+    ``canonical`` JSON lines; ``csm`` one JSON array of turns without sound events; ``orpheus`` JSON lines
+    with the control prefix; ``ljspeech`` lines ``name|text``.
     """
     prefixed = F.concat(tx.style_prefix(F.col("style"), F.col("accent")), "text")
     if "canonical" in formats:
@@ -43,7 +37,7 @@ def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq
     if "csm" in formats:
         talk = rows.where(F.coalesce(F.col("kind"), F.lit("")) != "paralinguistico")
         item = F.struct(F.lit(0).alias("speaker"), prefixed.alias("text"), F.col("audio"))
-        _arrays(talk, item, by, ["audio"], array_rows).write.mode("overwrite").text(f"{path}/csm")
+        write_json_array(talk, item, f"{path}/csm", [by, "audio"])
     if "orpheus" in formats:
         rows.select("audio", prefixed.alias("text")).write.mode("overwrite").json(f"{path}/orpheus")
     if "ljspeech" in formats:
@@ -51,10 +45,28 @@ def write_formats(rows: DataFrame, path: str, formats: list[str], by: str = "seq
         rows.select(line.alias("value")).write.mode("overwrite").text(f"{path}/ljspeech")
 
 
-def write_conversations(rows: DataFrame, path: str, by: str = "seq", array_rows: int = 10_000) -> None:
-    """Conversations of one segment each: arrays of ``array_rows`` one-element arrays."""
+def write_conversations(rows: DataFrame, path: str, by: str = "seq") -> None:
+    """Conversations of one segment each: one array of one-element arrays."""
     item = F.array(F.struct("text", F.col("audio").alias("audio_path"), F.lit(0).alias("speaker")))
-    _arrays(rows, item, by, ["audio"], array_rows).write.mode("overwrite").text(path)
+    write_json_array(rows, item, path, [by, "audio"])
+
+
+def write_licensed(manifest: DataFrame, path: str, mode: str = "research") -> dict:
+    """Write a manifest through the licence gate and return what was counted on the way.
+
+    In ``commercial`` mode a row that may not be shipped, in ``research`` mode a row that may not be used at all,
+    raises an error and nothing is committed.  Research rows that may not be shipped are marked ``research_only``.
+    The report holds rows, seconds, sources, research_only rows and the least source among these.
+    """
+    marked = assert_licenses(manifest, mode).withColumn("research_only", ~commercial_ok(F.col("license")))
+    only = F.col("research_only")
+    seen = Observation("licences")
+    counted = marked.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.sum("dur_s").alias("seconds"), F.count_if(only).alias("research_only"),
+        F.min(F.when(only, F.col("source"))).alias("research_only_source"), F.array_sort(F.collect_set("source")).alias("sources"),
+    )
+    counted.write.mode("overwrite").parquet(path)
+    return seen.get
 
 
 def append_unseen(rows: DataFrame, path: str, key: str = "path") -> None:
