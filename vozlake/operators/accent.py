@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vozlake.operators.ordered import attach, beside
+from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, beside
+from vozlake.session import materialize
 
 # Features, plausible ranges and the phone pairs under test.
 FEATURES = ["F1_z", "F2_z", "F3_z", "B1_Hz", "duration_ms"]
@@ -81,42 +86,73 @@ def macro_f1(predicted: DataFrame) -> DataFrame:
     return counts.agg(((one(tp) + one(tn)) / 2).alias("macro_f1"))
 
 
-def _cross_validated(rows: DataFrame, model, fold: Column, folds: int) -> DataFrame:
-    marked = rows.withColumn("__fold", fold)
+def _cross_validated(rows: DataFrame, model, folds: int) -> DataFrame:
+    """Predictions for every row by a model that was fitted on the other folds (column ``fold``)."""
     parts = []
     for k in range(folds):
-        train, test = marked.where(F.col("__fold") != k), marked.where(F.col("__fold") == k)
+        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         parts.append(fit(train, model).transform(test).select("label", "prediction"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _hashed_fold(key: Column, folds: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+def row_folds(rows: DataFrame, row_id: str, folds: int, label: str = "label", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``fold``: the rows of each class dealt in turn, in a scattered order, so that folds differ by one row a class."""
+    scattered = F.xxhash64(F.col(row_id).cast("string"))
+    numbered = Ordered(rows, [label], scattered, [row_id], rows_per_task).row_number("__rn").df
+    return numbered.withColumn("fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__rn")
+
+
+def _deal(folds: int):
+    """Speakers come with the most rows of class 1 first.  Each ``folds`` of them go to different folds, the one with
+    the most rows of class 0 to the fold that has the fewest: then neither class differs by more than one speaker's rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting = np.zeros(folds, np.int64), None
+        for batch in batches:
+            waiting = batch if waiting is None else pd.concat([waiting, batch])
+            whole = len(waiting) // folds * folds
+            yield dealt(waiting.iloc[:whole], held)
+            waiting = waiting.iloc[whole:]
+        if waiting is not None:
+            yield dealt(waiting, held)
+
+    def dealt(speakers: pd.DataFrame, held: np.ndarray) -> pd.DataFrame:
+        other = speakers["zeros"].to_numpy()
+        fold = np.zeros(len(speakers), np.int32)
+        for at in range(0, len(speakers), folds):
+            group = at + np.argsort(-other[at : at + folds], kind="stable")
+            takes = np.argsort(held, kind="stable")[: len(group)]
+            fold[group], held[takes] = takes, held[takes] + other[group]
+        return speakers[[speakers.columns[0]]].assign(fold=fold)
+
+    return run
+
+
+def speaker_folds(rows: DataFrame, folds: int, speaker: str = "speaker_id", label: str = "label") -> DataFrame:
+    """Add ``fold``, the same for all rows of a speaker; each class is spread evenly, up to one speaker's rows.
+
+    One row a speaker passes through one sorted stream, which remembers ``folds`` numbers."""
+    ones = F.sum((F.col(label) == 1).cast("long"))
+    counted = rows.groupBy(speaker).agg(ones.alias("ones"), (F.count(F.lit(1)) - ones).alias("zeros"))
+    order = [F.desc("ones"), F.desc("zeros"), F.md5(F.col(speaker).cast("string"))]
+    stream = counted.repartition(1).sortWithinPartitions(*order)
+    schema = T.StructType([counted.schema[speaker], T.StructField("fold", T.IntegerType())])
+    dealt = attach(rows, materialize(stream.mapInPandas(_deal(folds), schema), "folds"), [speaker])
+    return dealt.withColumn("fold", F.coalesce("fold", F.lit(0)))
 
 
 def cross_domain(human: DataFrame, tts: DataFrame, row_id: str, speaker: str = "speaker_id", folds: int = 5, forest: bool = True, trees: int = 200) -> DataFrame:
     """Macro-F1 of human→human (folds by speaker), human→tts, tts→tts (folds by row) and tts→human."""
     spark = human.sparkSession
-    h, t = labelled(human).cache(), labelled(tts).cache()
+    h, t = labelled(human), labelled(tts)
     voices = h.select(speaker).distinct().limit(folds).count()
-    used = min(folds, max(2, voices))
-    ranked = h.select(speaker).distinct().orderBy(F.md5(F.col(speaker).cast("string")))
-    few = ranked.limit(folds + 1).collect()
-    if len(few) <= folds:
-        fold = F.lit(0)
-        for i, r in enumerate(few):
-            fold = F.when(F.col(speaker) == r[0], i % used).otherwise(fold)
-    else:
-        fold = _hashed_fold(F.col(speaker), used)
+    least = t.groupBy("label").count().agg(F.min("count")).first()[0] or 0
+    by_voice, by_row = min(folds, max(2, voices)), min(folds, max(2, least))
+    h, t = speaker_folds(h, by_voice, speaker).cache(), row_folds(t, row_id, by_row).cache()
     rows = []
     for name, model in models(forest, trees).items():
         on_h, on_t = fit(h, model), fit(t, model)
-        tests = {
-            "HH": _cross_validated(h, model, fold, used),
-            "HtoTTS": on_h.transform(t),
-            "TTStoTTS": _cross_validated(t, model, _hashed_fold(F.col(row_id), folds), folds),
-            "TTStoH": on_t.transform(h),
-        }
+        tests = {"HH": _cross_validated(h, model, by_voice), "HtoTTS": on_h.transform(t), "TTStoTTS": _cross_validated(t, model, by_row), "TTStoH": on_t.transform(h)}
         rows += [(name, test, float(macro_f1(df).first()[0])) for test, df in tests.items()]
     h.unpersist(), t.unpersist()
     return spark.createDataFrame(rows, "model string, test string, macro_f1 double")
