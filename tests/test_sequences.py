@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from vozlake.functions import blocks, wer
+from vozlake.functions import blocks, tables, wer
 from vozlake.operators import frames as fr
 from vozlake.operators import markers as mk
 from vozlake.operators import prosody as pr
@@ -63,6 +63,23 @@ def test_wer_of_short_and_long_pairs(spark):
     assert scoring.score(df, training=True).where("id = 0").first().wer == 1.0
 
 
+def test_table_functions_in_sql(spark):
+    tables.register(spark)
+    rng = random.Random(21)
+    pairs = [(k, [rng.choice("abc") for _ in range(rng.randrange(6))], [rng.choice("abc") for _ in range(rng.randrange(6))]) for k in range(40)] + [(99, None, ["a"])]
+    spark.createDataFrame(pairs, "id int, ref array<string>, hyp array<string>").createOrReplaceTempView("word_pairs")
+    got = [tuple(r) for r in spark.sql("SELECT p.id, o.* FROM word_pairs p, LATERAL word_operations(p.ref, p.hyp) o ORDER BY 1, 2").collect()]
+    want = []
+    for k, ref, hyp in pairs:
+        if ref and hyp:
+            want += [(k, at, *(None if x is None else str(x) for x in step)) for at, step in enumerate(zip(*wer.word_operations(ref, hyp), strict=True))]
+    assert got == want and {o for _, _, o, *_ in got} == {"ok", "sub", "del", "ins"}
+
+    spark.createDataFrame([("a", 0.0, 45.0), ("b", 5.0, 25.0), ("a", 50.0, 50.0), ("b", 1.0, 2.5)], "clip_id string, start double, end double").createOrReplaceTempView("long_segments")
+    cut = spark.sql("SELECT * FROM split_segments(TABLE(long_segments) PARTITION BY clip_id ORDER BY (start), 20.0D) ORDER BY clip_id, n").collect()
+    assert [tuple(r) for r in cut] == [("a", 1, 0.0, 20.0), ("a", 2, 20.0, 40.0), ("a", 3, 40.0, 45.0), ("a", 4, 50.0, 50.0), ("b", 1, 1.0, 2.5), ("b", 2, 5.0, 25.0)]
+
+
 def units_loop(rows):
     out, start, first = [], rows[0]["start"], 0
     for i, r in enumerate(rows):

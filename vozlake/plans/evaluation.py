@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vozlake.functions import tables
 from vozlake.functions import text as tx
+from vozlake.functions import wer as w
 from vozlake.operators import edits as ed
 from vozlake.operators import ratings as rt
 from vozlake.operators import scoring as sc
@@ -61,7 +63,20 @@ def misread_turns(t):
     return sc.misread_takes(rows, 0.95, ("user", "assistant")).select("turn_id")
 
 
-@query("wer_operations")
+_OPS = f"""{_PAIRS}, toks AS (SELECT turn_id, regexp_extract_all(lower(ref), '[\\p{{L}}\\p{{N}}_]+') AS r, regexp_extract_all(lower(hyp), '[\\p{{L}}\\p{{N}}_]+') AS h FROM pairs),
+        dp AS (SELECT turn_id, 0::BIGINT AS i, range(0, len(h) + 1) AS line FROM toks
+        UNION ALL SELECT dp.turn_id, i + 1, list_transform(range(0, len(h) + 1), lambda j: list_min(list_concat([i + 1], list_transform(range(1, len(h) + 1),
+          lambda k: least(line[k + 1] + 1, line[k] + (CASE WHEN h[k] = r[i + 1] THEN 0 ELSE 1 END)) - k))[1:j + 1]) + j)
+        FROM dp JOIN toks USING (turn_id) WHERE i < len(r)),
+        back AS (SELECT turn_id, len(r)::BIGINT AS i, len(h)::BIGINT AS j, 0 AS step, NULL::VARCHAR AS op, NULL::VARCHAR AS ref, NULL::VARCHAR AS hyp FROM toks
+          UNION ALL SELECT turn_id, i - (m <> 'ins')::BIGINT, j - (m <> 'del')::BIGINT, step + 1, m, CASE WHEN m <> 'ins' THEN r[i] END, CASE WHEN m <> 'del' THEN h[j] END
+          FROM (SELECT x.*, toks.r, toks.h, CASE WHEN x.i > 0 AND j > 0 AND r[x.i] = h[j] AND a.line[j + 1] = b.line[j] THEN 'ok' WHEN x.i > 0 AND j > 0 AND a.line[j + 1] = b.line[j] + 1 THEN 'sub'
+                       WHEN x.i > 0 AND a.line[j + 1] = b.line[j + 1] + 1 THEN 'del' ELSE 'ins' END AS m
+                FROM back x JOIN toks ON toks.turn_id = x.turn_id JOIN dp a ON a.turn_id = x.turn_id AND a.i = x.i LEFT JOIN dp b ON b.turn_id = x.turn_id AND b.i = x.i - 1 WHERE x.i + j > 0)),
+        ops AS (SELECT turn_id, (max(step) OVER (PARTITION BY turn_id) - step)::INTEGER AS pos, op, ref, hyp FROM back QUALIFY step > 0)"""
+
+
+@query("wer_operations", using("turns", body=f"WITH RECURSIVE {_OPS} SELECT * FROM ops"))
 def wer_operations(t):
     return sc.operations(turn_pairs(t), ["turn_id"])
 
@@ -83,7 +98,16 @@ def wer_operation_totals(t):
     return sc.operation_totals(turn_pairs(t), ["turn_id"])
 
 
-@query("word_confusions")
+@query("sql_wer_operations", using("turns", body=f"WITH RECURSIVE {_OPS} SELECT op, ref, hyp, count(*) AS n FROM ops GROUP BY ALL"))
+def sql_wer_operations(t):
+    """Operations counted through the table function, in SQL."""
+    tables.register(t.spark)
+    words = lambda c: w.unicode_words(F.lower(F.col(c))).alias(f"{c}_words")
+    pairs = turn_pairs(t).select("turn_id", words("ref"), words("hyp"))
+    return t.spark.sql("SELECT o.op, o.ref, o.hyp, count(*) AS n FROM {pairs} p, LATERAL word_operations(p.ref_words, p.hyp_words) o GROUP BY ALL", pairs=pairs)
+
+
+@query("word_confusions", using("turns", body=f"WITH RECURSIVE {_OPS} SELECT op, ref, hyp, count(*) AS n FROM ops WHERE op <> 'ok' GROUP BY ALL"))
 def word_confusions(t):
     return sc.confusions(sc.operations(turn_pairs(t), ["turn_id"]))
 

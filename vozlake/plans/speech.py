@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vozlake.functions import frontend, numbers, phones
+from vozlake.functions import frontend, numbers, phones, tables
 from vozlake.functions import text as tx
 from vozlake.operators import markers as mk
 from vozlake.operators import prosody as pr
@@ -148,6 +148,19 @@ def phrase_groups(t):
     return got.select("track_id", "phrase", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text", "segments", "long")
 
 
+@query(
+    "sql_split_segments",
+    f"""WITH {_SEG}, c AS (SELECT track_id, s, e, pos, unnest(range(greatest(1, ceil((e - s) / 2.0::DOUBLE)::BIGINT))) AS k FROM seg)
+        SELECT track_id AS clip_id, row_number() OVER (PARTITION BY track_id ORDER BY s, pos, k)::INTEGER AS n, round(s + k * 2.0::DOUBLE, 6) AS "start", round(least(s + (k + 1) * 2.0::DOUBLE, e), 6) AS "end" FROM c""",
+)
+def sql_split_segments(t):
+    """Segments cut every two seconds and numbered per clip by the table function, in SQL."""
+    tables.register(t.spark)
+    rows = segments(t).select(F.col("track_id").alias("clip_id"), "pos", "start", "end")
+    got = t.spark.sql("SELECT * FROM split_segments(TABLE(SELECT * FROM {rows}) PARTITION BY clip_id ORDER BY (start, pos), 2.0D)", rows=rows)
+    return got.select("clip_id", "n", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 def heard_clips(t):
     """Turns with the words a recogniser might have heard: every fifth word is heard as another one."""
     word = F.lower(F.when(F.col("pos") % 5 == 3, F.concat("word", F.lit("x"))).otherwise(F.col("word")))
