@@ -45,6 +45,25 @@ def test_short_blocks_with_links():
     assert ex.main_text(page.format(f'<div>{LONG}</div><div>It is said in <a href="/r">one</a> of them.</div><div>{LONG}</div>')) == f"{LONG}\nIt is said in one of them.\n{LONG}"
 
 
+def test_linked_lists_and_formulas_stay_in_the_article():
+    linked = [f"A link to part number {k} of the report that was made for the town and its people" for k in range(3)]
+    listed = "".join(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(linked))
+    given = "Let <math><mi>n</mi></math> be a number of the kind that we want to have in the set."
+    page = f'<body><nav>{listed}</nav><article><p>{LONG}</p><p>{given}</p><ul>{listed}</ul><object><p>It is a picture of the town.</p></object><nav>{listed}</nav><p>See the end.</p></article><div>{listed}</div></body>'
+    assert ex.main_text(page) == "\n".join([LONG, "Let n be a number of the kind that we want to have in the set.", *linked, "It is a picture of the town.", "See the end."])
+
+
+def test_stray_end_tags_take_linear_time():
+    for head, tail in (("<div>", "</section>"), ("<section><article>" + "<div>" * 10, "</section>"), ("<body><article><div>", "</main>"), ("<main><article>", "</main>")):
+        start = time.process_time()
+        text = ex.main_text(head * 50_000 + tail * 100_000 + f"<p>{LONG}</p>")
+        assert time.process_time() - start < 20 and text in (LONG, "")
+    start = time.process_time()
+    ex.main_text("<section><article>" + "<div>" * 100_000 + "</section>" * 100_000)
+    assert time.process_time() - start < 2
+    assert ex.main_text(f"<nav><div><article><div><p>{LONG}</p></section></nav></body></html><p>{LONG}</p>").startswith(LONG)
+
+
 def test_long_attributes():
     for value in (f"<nav class='menu'><p>{LONG}</p> > ", f"<b>{LONG}"):
         value = value * (100_000 // len(value) + 1)

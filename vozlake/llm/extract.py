@@ -3,13 +3,14 @@
 A page is cut into blocks at block-level tags.  Pass one decides each block by its share of stop words,
 its length and the share of its text inside links: long prose is good; linked text, and text in
 navigation, notices, adverts, forms or comments, is bad; short blocks and medium prose stay open.
-Inside an article short blocks stay open whatever they link to.
+Inside an article blocks stay open whatever they link to, outside its navigation and other such parts.
 Pass two gives an open block the label of its nearest decided neighbours: both agree, or the nearer one
-counts; neighbours in the same article are asked first.
+counts; neighbours in the same article are asked first, and a tie inside an article is good.
 
 Null and empty pages give an empty text.  Comments, scripts, styles and other raw elements are
 skipped whole, also when they never end; unknown or unclosed tags do no harm.  Character references are
 decoded, white space inside a block becomes one blank, and kept blocks are joined by line breaks.
+Time grows with a page's length, however its tags are nested or left open.
 Each page is read whole and on its own; repeated rows and other columns don't matter.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -39,7 +41,7 @@ STOP_WORDS = {
 }
 STOP_LISTS = {word: tuple(k for k, words in enumerate(STOP_WORDS.values()) if word in words) for words in STOP_WORDS.values() for word in words}
 
-RAW = frozenset("script style noscript template iframe svg math select textarea title object audio video canvas button".split())
+RAW = frozenset("script style noscript template iframe svg select textarea title audio video button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -47,6 +49,7 @@ BOUNDARIES = BLOCKS | {"br"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BESIDE = frozenset("nav footer aside form menu dialog head".split())
 CONTENT = frozenset("article main".split())
+ROOTS = frozenset("html body".split())
 #: Parts of class, id and role names of what isn't the article, and of what may hold it.
 BESIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget".split()
@@ -84,6 +87,9 @@ class Reader:
 
     blocks: list[Block] = field(default_factory=list)
     open: list[Element] = field(default_factory=list)
+    # Open elements by name: of the page, and of each article that is open inside.
+    scopes: list[Counter] = field(default_factory=lambda: [Counter()])
+    roots: Counter = field(default_factory=Counter)
     pieces: list[tuple[str, bool]] = field(default_factory=list)
     tag: str = ""
     links: int = 0
@@ -113,7 +119,7 @@ class Reader:
     def meet(self, page: str, name: str, ends: bool, rest: str, at: int) -> int:
         """Take in a tag; returns where to read on."""
         if name in RAW and not ends:
-            if rest.endswith("/") and name in ("svg", "math"):
+            if rest.endswith("/") and name == "svg":
                 return at
             over = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             return over.end() if over else len(page)
@@ -139,19 +145,32 @@ class Reader:
         above = self.open[-1] if self.open else Element("", False, 0)
         if name in CONTENT:
             self.articles += not above.article
-            self.open.append(Element(name, above.beside and bool(above.article), above.article or self.articles))
+            self.push(Element(name, above.beside and bool(above.article), above.article or self.articles))
             return
         beside = above.beside or name in BESIDE or (name == "header" and not above.article) or named_beside(rest, name)
-        self.open.append(Element(name, beside, above.article))
+        self.push(Element(name, beside, above.article))
+
+    def push(self, element: Element) -> None:
+        self.open.append(element)
+        if element.name in CONTENT:
+            self.scopes.append(Counter())
+        self.scopes[-1][element.name] += 1
+        self.roots[element.name] += element.name in ROOTS
+
+    def pop(self) -> str:
+        name = self.open.pop().name
+        self.scopes[-1][name] -= 1
+        self.roots[name] -= name in ROOTS
+        if name in CONTENT:
+            self.scopes.pop()
+        return name
 
     def leave(self, name: str) -> None:
         self.tag = ""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].name == name:
-                del self.open[k:]
-                return
-            if self.open[k].name in CONTENT and name not in ("body", "html"):
-                return  # a stray end tag doesn't close an article
+        # A stray end tag closes nothing, and no article.
+        if (self.roots if name in ROOTS else self.scopes[-1])[name]:
+            while self.pop() != name:
+                pass
 
     def close(self) -> None:
         """End the present block."""
@@ -193,8 +212,8 @@ def first_pass(block: Block) -> str:
     n = len(block.text)
     if block.beside:
         return "bad"
-    if n < SHORT and block.article:
-        return "open"  # a short line of the article may well be a link
+    if block.article and (n < SHORT or block.linked > MOST_LINKED * n):
+        return "open"  # a line of the article may well be a link
     if block.linked > MOST_LINKED * n:
         return "bad"
     if n < SHORT:
@@ -241,7 +260,7 @@ def second_pass(blocks: list[Block]) -> None:
             block.label = "good"
         else:
             (steps, label), (other, _) = sorted(sides)
-            block.label = label if steps < other else "good" if block.tag in HEADINGS else "bad"
+            block.label = label if steps < other else "good" if block.tag in HEADINGS or block.article else "bad"
 
 
 def labelled(page: str | None) -> list[Block]:

@@ -173,6 +173,5 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     rows = scan(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("body")), "body", "spans")
-    return rows.select(
-        F.col("key").alias(key), *[count_of(spans, kind).alias(f"n_{kind}") for kind in KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans")
-    )
+    counts = lambda kinds: [count_of(spans, kind).alias(f"n_{kind}") for kind in kinds]
+    return rows.select(F.col("key").alias(key), *counts(BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), *counts(k for k in KINDS if k not in BASE))
