@@ -49,6 +49,16 @@ def test_numbers_beyond_all_scales_and_empty_texts(spark):
     assert got[5] == ", ".join(["nove"] * 40) + " vírgula cinco"
 
 
+def test_counts_without_words(spark):
+    rng = random.Random(31)
+    bits = ["R$ ", "R$", "1", "23", "007", "4.500", "1.000.000", ",5", ",50", "%", " %", "-", "22290-160", "4-7-9", " ", " ", ".", "x", "1234567", "\u00a0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(400)] + [None, "", "sem"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id: list(r.hits) for r in numbers.verbalized(df).collect()}
+    assert {r.id: list(r.hits) for r in numbers.counted(df).collect()} == want
+    assert sorted(map(tuple, numbers.rule_counts(numbers.counted(df)).collect())) == sorted(map(tuple, numbers.rule_counts(numbers.verbalized(df)).collect()))
+
+
 def test_phones_with_and_without_word_edges():
     plain = phones.Speller(edges_match=False)
     assert plain.word("carioca") == ["k", "a", "ɾ", "i", "o", "k", "a"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vozlake.functions import signal as sg
 from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, nest
+from vozlake.operators.splits import time_budget
 
 # Estimated seconds per kind of prompt.
 ESTIMATES = {"curta": 8, "media": 12, "longa": 18, "emotion": 14, "accent": 12, "monologo": 110, "dialogo": 90, "paralinguistico": 10}
@@ -127,6 +128,17 @@ def estimate_of(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit(12))
 
 
+def recording_mix(parts: dict[str, DataFrame], budget_s: float = 45 * 60.0, shares: dict[str, float] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Items of several kinds (seq, est_s, ...) that share a budget: each kind fills its share, up to the item that would overflow it.
+
+    Adds ``part`` and ``part_no``, the place of the kind in ``shares``."""
+    out = None
+    for number, (name, share) in enumerate((shares or MIX).items()):
+        one = time_budget(parts[name], budget_s * share, rows_per_task=rows_per_task).withColumn("part", F.lit(name)).withColumn("part_no", F.lit(number))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def session_minutes(items: DataFrame) -> DataFrame:
     return items.agg(F.count(F.lit(1)).alias("items"), (F.sum(estimate_of(F.col("kind"))) / 60).alias("minutes"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vozlake.functions.text import sentences
 from vozlake.operators.ordered import ROWS_PER_TASK, exclusive, linear, nth, quantiles
 
 
@@ -25,6 +26,12 @@ def endpoint_percentiles(rows: DataFrame, keys: list[str], seconds: Column, rows
     return quantiles(rows, keys, seconds, {"p50": exclusive(50), "p95": exclusive(95)}, rows_per_task)
 
 
+def reply_bench(replies: DataFrame, keys: list[str], seconds: Column, text: Column, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Percentiles of the reply times (exclusive rule) and the mean number of sentences of a reply."""
+    means = replies.groupBy(*keys).agg(F.avg(F.size(sentences(text))).alias("sentences"))
+    return endpoint_percentiles(replies, keys, seconds, rows_per_task).join(means, keys)
+
+
 def cascade_floor(rows: DataFrame, stages: list[str], keys: list[str], target_ms: float = 800.0, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Median per stage and of their sum, as long rows (stage, p50_ms, within)."""
     total = sum((F.col(s) for s in stages[1:]), F.col(stages[0]))

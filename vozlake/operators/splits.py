@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vozlake.functions import license as lic
-from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, beside, hash_bottom, rank_by_text
+from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, beside, hash_bottom, rank_by_text
 
 HOLDOUT_SEED, MIX_SEED = "777", "42"
 
@@ -172,6 +172,21 @@ def shuffled_order(rows: DataFrame, key: str = "audio", seed: str = MIX_SEED) ->
     return rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("source"), F.col(key))))
 
 
+def half_half(first: DataFrame, second: DataFrame, clips: int, by: str = "seq", names: tuple[str, str] = ("first", "second"), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The first ``clips // 2`` rows of each of two corpora (ordered by ``by``), unified, in a seeded shuffle order (``mix_key``)."""
+    head = lambda df: Ordered(df, [], by, rows_per_task=rows_per_task).row_number("__rn").df.where(F.col("__rn") <= clips // 2).drop("__rn", by)
+    return shuffled_order(unify({names[0]: head(first), names[1]: head(second)}))
+
+
+def references(clips: DataFrame, usable: Column, n: int = 2, group: str = "speaker", by: str = "seq", key: str = "id") -> DataFrame:
+    """For each clip the first ``n`` usable clips of its speaker other than itself (column ``references``, in order)."""
+    firsts = first_n(clips.where(usable), n + 1, group, by)
+    held = firsts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(by, key))).alias("__held"))
+    others = F.filter(F.transform("__held", lambda c: c[key]), lambda c: c != F.col(key))
+    found = F.slice(F.coalesce(others, F.array().cast(f"array<{clips.schema[key].dataType.simpleString()}>")), 1, n)
+    return attach(clips, held, [group]).withColumn("references", found).drop("__held")
+
+
 def corpus_hours(manifest: DataFrame) -> DataFrame:
     """Clips, hours and the shippable / research split per source and in total."""
     ships = F.coalesce(F.col("shippable"), lic.commercial_ok(F.col("license")))

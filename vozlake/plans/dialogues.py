@@ -146,6 +146,20 @@ def recording_plan(t):
     return sp.time_budget(items, 45 * 60 * dg.MIX["core"]).select("id", "est_s")
 
 
+_PARTS = {"core": "kind = 'sentenca'", "emotion": "kind = 'emocao'", "accent": "kind = 'sotaque'", "conversation": "kind IN ('monologo', 'dialogo')"}
+
+
+@query(
+    "recording_session",
+    using("clips", body=" UNION ALL ".join(
+        f"SELECT '{name}' AS part, {k} AS part_no, id, est AS est_s FROM (SELECT id, {_EST} AS est, sum({_EST}) OVER (ORDER BY seq) AS used FROM clips WHERE {_PARTS[name]}) WHERE used <= 2700 * {share}::DOUBLE" for k, (name, share) in enumerate(dg.MIX.items()))),
+)
+def recording_session(t):
+    items = roles.clips(t).withColumn("est_s", dg.estimate_of(F.col("kind")))
+    parts = {name: items.where(where).select("id", "seq", "est_s") for name, where in _PARTS.items()}
+    return dg.recording_mix(parts).select("part", "part_no", "id", "est_s")
+
+
 @query("session_minutes", using("clips", body=f"SELECT count(*) AS items, round(sum({_EST}) / 60.0::DOUBLE, 6) AS minutes FROM clips"))
 def session_minutes(t):
     return dg.session_minutes(roles.clips(t)).withColumn("minutes", F.round("minutes", 6))

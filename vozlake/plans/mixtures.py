@@ -193,6 +193,34 @@ def speaker_buckets(t):
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", sp.speaker_bucket(F.col("source")).alias("bucket"), "n")
 
 
+@query(
+    "clip_references",
+    using("clips", body=f"""WITH f AS (SELECT speaker, id, seq FROM clips WHERE dur_s BETWEEN 5 AND 10 AND len({s_tokens("text")}) >= 8 QUALIFY row_number() OVER (PARTITION BY speaker ORDER BY seq) <= 3),
+        r AS (SELECT c.id, f.id AS ref, f.seq FROM clips c JOIN f ON f.speaker = c.speaker AND f.id <> c.id QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY f.seq) <= 2)
+        SELECT id, coalesce(string_agg(ref, ',' ORDER BY r.seq), '') AS refs FROM clips LEFT JOIN r USING (id) GROUP BY 1"""),
+)
+def clip_references(t):
+    c = roles.clips(t)
+    return sp.references(c, F.col("dur_s").between(5, 10) & (tx.token_count(F.col("text")) >= 8)).select("id", F.array_join("references", ",").alias("refs"))
+
+
+#: Clips of the half and half mix.
+MIXED_CLIPS = 1000
+
+
+@query(
+    "half_half_mix",
+    f"""SELECT source, audio, md5(text) AS text_md5, md5(concat_ws('|', '42', source, audio)) AS mix_key FROM (
+        SELECT 'docs' AS source, 'd' || doc_id AS audio, text FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= {MIXED_CLIPS // 2}
+        UNION ALL SELECT 'talk', 'c' || conv_id || '-' || turn, text FROM conversations QUALIFY row_number() OVER (ORDER BY conv_id, turn) <= {MIXED_CLIPS // 2})""",
+)
+def half_half_mix(t):
+    name = lambda *cols: F.concat(*[F.lit(c) if c in "dc-" else F.col(c).cast("string") for c in cols])
+    docs = t.documents.select(F.col("doc_id").alias("seq"), name("d", "doc_id").alias("audio"), "text")
+    talk = t.conversations.select((F.col("conv_id") * roles.TURNS + F.col("turn")).alias("seq"), name("c", "conv_id", "-", "turn").alias("audio"), F.col("text").alias("transcript"))
+    return sp.half_half(docs, talk, MIXED_CLIPS, names=("docs", "talk")).select("source", "audio", F.md5("text").alias("text_md5"), "mix_key")
+
+
 @query(
     "corpora_union",
     """SELECT source, count(*) AS n, count(*) FILTER (text = '') AS empty, min(mix_key) AS first_key FROM (

@@ -325,6 +325,20 @@ def endpoint_percentiles(t):
     return got.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
+@query(
+    "reply_bench",
+    r"""WITH s AS (SELECT role, 0.5::DOUBLE + length(text) / 60.0::DOUBLE AS v, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ')), lambda x: x <> '')) AS k FROM conversations),
+        x AS (SELECT role, list_sort(list(v)) AS v, count(*) AS n, avg(k) AS sentences FROM s GROUP BY 1),
+        q AS (SELECT *, unnest([50, 95]) AS p FROM x), j AS (SELECT *, least(greatest(p * (n + 1) // 100, 1), n - 1) AS j FROM q),
+        r AS (SELECT role, n, sentences, p, (v[j] * (100 - (p * (n + 1) - j * 100)) + v[j + 1] * (p * (n + 1) - j * 100)) / 100.0::DOUBLE AS val FROM j)
+        SELECT role, n, round(max(val) FILTER (p = 50), 6) AS p50, round(max(val) FILTER (p = 95), 6) AS p95, round(max(sentences), 6) AS sentences FROM r GROUP BY 1, 2""",
+)
+def reply_bench(t):
+    seconds = F.lit(0.5) + F.length("text") / F.lit(60.0)
+    got = lt.reply_bench(t.conversations, ["role"], seconds, F.col("text"))
+    return got.select("role", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "sentences")])
+
+
 @query(
     "cascade_floor",
     """WITH x AS (SELECT event_type, value / 100 AS asr, (event_id % 7) / 10.0::DOUBLE AS llm, (event_id % 5) / 10.0::DOUBLE AS tts FROM events),

@@ -447,7 +447,7 @@ def spoken_numbers(t):
 
 @query("number_rule_counts")
 def number_rule_counts(t):
-    return numbers.rule_counts(numbers.verbalized(t.documents.select("text")))
+    return numbers.rule_counts(numbers.counted(t.documents.select("text")))
 
 
 _LEX = {"the": "ðə", "and": "ænd", "of": "ʌv", "le": "lə", "und": "ʊnt"}
