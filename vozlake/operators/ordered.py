@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from vozlake.session import materialize
 
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_GROUPS = 1024
+#: Slices of one group, and copies of one row in a salted join, at most; beyond that slices grow.
+MOST_SLICES = 1 << 16
 _BY, _SLICE = "__o_by", "__o_slice"
 
 
@@ -34,18 +35,17 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
 def hot_groups(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> list[tuple[tuple, int]]:
     """Groups too large for one task, as ``[(key values, rows)]``.
 
-    At most ``MAX_HOT_GROUPS`` rows reach the driver.  A group outside that top
-    list holds less than 1/1024 of the table, so it is never hot.
+    There are at most rows / ``rows_per_task`` of them, so few keys reach the driver.
     """
     if not keys:
         n = df.count()
         return [((), n)] if n > rows_per_task else []
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n")).limit(MAX_HOT_GROUPS).collect()
-    return [(tuple(r[k] for k in keys), r["__n"]) for r in top if r["__n"] > rows_per_task]
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task).collect()
+    return [(tuple(r[k] for k in keys), r["__n"]) for r in large]
 
 
 def hot_frame(df: DataFrame, keys: Sequence[str], hot: list[tuple[tuple, int]]) -> DataFrame:
-    """The hot keys as a small DataFrame (at most ``MAX_HOT_GROUPS`` rows)."""
+    """The hot keys as a small DataFrame."""
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("__n", T.LongType())])
     return df.sparkSession.createDataFrame([(*k, n) for k, n in hot], schema)
 
@@ -77,19 +77,20 @@ class Ordered:
     def _cut(self, rows: DataFrame, hot: list[tuple[tuple, int]], rows_per_task: int) -> DataFrame:
         """Add the slice number; rows of small groups get slice -1."""
         total = sum(n for _, n in hot)
-        per_slice = max(rows_per_task, total // 512)
+        per_slice = max(rows_per_task, total // MOST_SLICES)
         parts = {k: -(-n // per_slice) for k, n in hot}
         steps = max(parts.values())
-        probs = F.array(*[F.lit(i / steps) for i in range(1, max(steps, 2))])
+        probs = F.split(F.lit(",".join(str(i / steps) for i in range(1, max(steps, 2)))), ",").cast("array<double>")
+        accuracy = max(10_000, 10 * steps)
         if not self.keys:
-            cuts = rows.agg(F.percentile_approx(_BY, probs, 10000).alias("__o_cuts"))
+            cuts = rows.agg(F.percentile_approx(_BY, probs, accuracy).alias("__o_cuts"))
             cut_rows = [tuple(r) for r in cuts.collect()]
             schema = T.StructType([T.StructField("__o_cuts", T.ArrayType(T.DoubleType()))])
         else:
             only = rows.alias("r").join(
                 F.broadcast(hot_frame(rows, self.keys, hot)).alias("h"), _same("r", "h", self.keys), "left_semi"
             )
-            cuts = only.groupBy(*self.keys).agg(F.percentile_approx(_BY, probs, 10000).alias("__o_cuts"))
+            cuts = only.groupBy(*self.keys).agg(F.percentile_approx(_BY, probs, accuracy).alias("__o_cuts"))
             cut_rows = []
             for r in cuts.collect():
                 key = tuple(r[k] for k in self.keys)
@@ -324,7 +325,7 @@ def hash_bottom(
     so no task orders a whole group.  Adds ``out`` and the group size ``n``.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")))
-    rows = df.withColumn("__h", digest).withColumn("__p", F.substring("__h", 1, 3))
+    rows = df.withColumn("__h", digest).withColumn("__p", F.substring("__h", 1, 4))
     counts = rows.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__c"))
     over = Window.partitionBy(group)
     stepped = counts.withColumn("__hi", F.sum("__c").over(over.orderBy("__p"))).withColumn("n", F.sum("__c").over(over))
@@ -384,7 +385,7 @@ def salted_join(
     hot = hot_groups(left, on, rows_per_task)
     if not hot:
         return left.join(right, list(on), how)
-    salts = F.least(F.ceil(F.col("__n") / F.lit(rows_per_task)), F.lit(512)).cast("int")
+    salts = F.least(F.ceil(F.col("__n") / F.lit(rows_per_task)), F.lit(MOST_SLICES)).cast("int")
     spread = F.broadcast(hot_frame(left, on, hot).select(*on, salts.alias("__salts")))
     pick = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("__salts").cast("long")).cast("int"), F.lit(0))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
