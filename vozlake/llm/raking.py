@@ -199,9 +199,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", topic: Colu
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The drawn rows of ``docs`` with their columns, and the probability that each was drawn with."""
-    mixed = mix(docs, prefix="mix_", **options)
-    return mixed.where("mix_drawn").select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix_probability"], "mix_probability")
+    """The drawn rows of ``docs`` with their columns, and the probability that each was drawn with (``mix_probability``, which replaces a column of that name)."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    mixed = mix(docs, prefix=prefix, **options)
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix_probability"]
+    return mixed.where(F.col(f"{prefix}drawn")).select(*own, F.col(f"{prefix}probability").alias("mix_probability"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
