@@ -173,9 +173,15 @@ def cards(t):
     )
 
 
+def style_cards(t):
+    """One card for each source, with the lines of its first document as sentences."""
+    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    return cards(t).drop("style").join(first.select(F.col("doc_id").alias("seq"), F.col("source").alias("style")), "seq")
+
+
 @query(
     "emotion_prompts",
-    """WITH c AS (SELECT doc_id AS seq, 's' || doc_id AS style, 'Fala ' || lang AS direction, string_split(text, chr(10)) AS sen FROM documents),
+    """WITH c AS (SELECT doc_id AS seq, source AS style, 'Fala ' || lang AS direction, string_split(text, chr(10)) AS sen FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1),
         o AS (SELECT seq, 1 AS block, 'emo_' || style || '_anchor_' || item_id AS id, b.text, 'media' AS intensity FROM c, benchmark b
         UNION ALL SELECT seq, 2, 'emo_' || style || '_' || lv || '_' || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INTEGER, '0'), line, lv FROM (SELECT seq, style, lv, unnest(sen) AS line, unnest(range(len(sen))) AS k FROM c, (VALUES ('leve'), ('forte')) v(lv))
         UNION ALL SELECT seq, 3, 'emo_' || style || '_freeform', '[IMPROVISO 2–3min no estilo ' || style || ']', 'media' FROM c)
@@ -183,7 +189,7 @@ def cards(t):
 )
 def emotion_prompts(t):
     anchors = t.benchmark.select(F.col("item_id").alias("seq"), F.col("item_id").alias("id"), "text")
-    got = dg.emotion_prompts(cards(t), anchors)
+    got = dg.emotion_prompts(style_cards(t), anchors)
     return got.groupBy("seq", "block", "intensity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.md5(F.min("text")).alias("text_md5"))
 
 

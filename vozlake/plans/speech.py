@@ -95,7 +95,19 @@ def boundary_statistics(t):
     )
 
 
-@query("punctuated_text")
+def _capitals(rows: str, key: str, text: str) -> str:
+    """CTEs that read a text character by character: ``lifted`` (key, text) has the first letter of each sentence upper-cased."""
+    return f"""chars AS (SELECT {key}, unnest(string_split({text}, '')) AS c, unnest(range(len(string_split({text}, '')))) AS k FROM {rows}),
+        sorts AS (SELECT *, CASE WHEN regexp_matches(c, '\\p{{L}}') THEN 'letter' WHEN c IN ('.', '?', '!', '…') THEN 'end' END AS sort FROM chars),
+        before AS (SELECT *, last_value(sort IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM sorts),
+        lifted AS (SELECT {key}, string_agg(CASE WHEN sort = 'letter' AND coalesce(last, 'end') = 'end' THEN CASE WHEN c = 'ß' THEN 'SS' ELSE upper(c) END ELSE c END, '' ORDER BY k) AS text FROM before GROUP BY 1)"""
+
+
+@query(
+    "punctuated_text",
+    using("words", "f0", body=f"""WITH {_BOUND}, said AS (SELECT turn_id AS clip_id, string_agg(core || coalesce(mark, ''), ' ' ORDER BY pos) AS said FROM b WHERE core <> '' GROUP BY 1),
+        {_capitals("said", "clip_id", "said")} SELECT clip_id, CASE WHEN regexp_matches(text, '[.?!…]$') THEN text ELSE text || '.' END AS text FROM lifted"""),
+)
 def punctuated_text(t):
     return pr.punctuated_text(boundaries(t))
 
@@ -254,7 +266,7 @@ def sentences(t):
     return got.groupBy("turn_id", F.md5("s").alias("sentence_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("capitalized_turns")
+@query("capitalized_turns", using("turns", body=f"WITH {_capitals('turns', 'turn_id', 'lower(text)')} SELECT turn_id, text FROM lifted"))
 def capitalized_turns(t):
     return roles.turns(t).select("turn_id", tx.capitalize_sentences(F.lower("text")).alias("text"))
 
