@@ -37,6 +37,22 @@ def test_sums_equal_all_segmentations():
         assert np.allclose(use, want_use)
 
 
+def test_words_are_runs_of_letters():
+    text = "Ünïcode ½ x2y ² Ⅷ _a_ 12 don't ﬁn İx " + "q" * 95 + "\u0301\n漢字"
+    plain = ["".join(run) for alpha, run in itertools.groupby(text.lower(), str.isalpha) if alpha]
+    want = [word[at : at + 40] for word in plain for at in range(0, len(word), 40)]
+    assert lg.words_of(text) == want and lg.words_of("½ 12 _") == lg.words_of("") == []
+    assert all(p == "▁" or p.removeprefix("▁").isalpha() for p in lg.load_pieces()) and max(map(len, lg.load_pieces())) > 12
+
+
+def test_pieces_of_a_language_sum_to_one(spark):
+    rows = [(x, "en") for x in ENGLISH] + [(x, "de") for x in GERMAN * 50] + [("½", "xx")]
+    model = lg.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "en"] and np.allclose(model.table[: model.pieces.count].sum(axis=0), 1)
+    floors = model.table[: model.pieces.count].min(axis=0)
+    assert np.allclose(floors, floors[0]) and floors[0] > 0
+
+
 ENGLISH = ["the weather is fine and the children play in the garden", "where have you been this morning with that book", "nothing of this would have happened without them"]
 GERMAN = ["das Wetter ist schön und die Kinder spielen im Garten", "wo bist du heute morgen mit dem Buch gewesen", "nichts davon wäre ohne sie geschehen"]
 

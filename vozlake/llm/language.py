@@ -16,7 +16,6 @@ learned.  Texts are read whole; rows are judged one by one; repeated rows and ot
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -30,27 +29,41 @@ from pyspark.sql import types as T
 from vozlake.llm.common import bounded_batches, in_fold, materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-ROUNDS, SMOOTHING, MOST_PIECE, OTHER = 2, 0.1, 12, 0.1
+ROUNDS, SMOOTHING, OTHER = 2, 0.1, 0.1
 COUNTED, REMEMBERED, BLOCK, TEXTS = 200_000, 400_000, 4096, 1000
 SMALL = 1e-300
 UNKNOWN = "und"
-LONGEST_WORD = 40
 #: Longer runs of letters are cut into words of this length, so that no probability underflows on known pieces.
-WORD = re.compile(r"[^\W\d_]{1,40}")
+LONGEST_WORD = 40
 
 
-def load_pieces(path: str = VOCABULARY, longest: int = MOST_PIECE) -> list[str]:
-    """The letter pieces of the vocabulary, lower-cased; ▁ marks the start of a word."""
+def load_pieces(path: str = VOCABULARY) -> list[str]:
+    """All letter pieces of the vocabulary, lower-cased; ▁ marks the start of a word."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
     lower = {piece.lower() for piece in found}
-    return sorted(p for p in lower if len(p) <= longest and (p == "▁" or WORD.fullmatch(p.removeprefix("▁"))))
+    return sorted(p for p in lower if p == "▁" or p.removeprefix("▁").isalpha())
+
+
+class Letters(dict):
+    """A translation that leaves letters alone and makes a blank of everything else."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = found = code if chr(code).isalpha() else 32
+        return found
+
+
+LETTERS = Letters()
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, in lower case; number signs such as ½ are no letters."""
+    words = text.lower().translate(LETTERS).split()
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    return [word[at : at + LONGEST_WORD] for word in words for at in range(0, len(word), LONGEST_WORD)]
 
 
 class Pieces:
@@ -64,8 +77,10 @@ class Pieces:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         # One bit for each value of a hash's first 22 bits tells most other substrings apart at once.
-        self.marked = np.zeros(1 << 22, bool)
+        self.marked, self.begun = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
         self.marked[hashes >> np.uint64(42)] = True
+        beginnings = {piece[:k] for piece in pieces for k in range(1, len(piece))}
+        self.begun[np.array([self.hash_of(x) for x in beginnings], np.uint64) >> np.uint64(42)] = True
 
     @classmethod
     def hash_of(cls, piece: str) -> int:
@@ -86,43 +101,55 @@ class Pieces:
 
 
 class Lattice:
-    """All segmentations of words of one length: which piece lies between any two places, for every word."""
+    """All segmentations of words of one length: which piece lies between which places of which words."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        self.places = len(words[0]) + 1
+        self.places, self.words = len(words[0]) + 1, len(words)
         letters = np.array(["▁" + word for word in words], f"<U{self.places}").view(np.uint32).reshape(len(words), self.places).astype(np.uint64)
-        self.spans = [(start, end) for end in range(1, self.places + 1) for start in range(max(0, end - pieces.longest), end)]
-        self.pieces = np.empty((len(self.spans), len(words)), np.int32)
-        running: dict[int, np.ndarray] = {}
-        for row, (start, end) in enumerate(self.spans):
+        #: (start, end, numbers of the words, their pieces), by end and then by start.
+        self.spans: list[tuple[int, int, np.ndarray | slice, np.ndarray]] = []
+        running: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        every = np.arange(len(words))
+        for end in range(1, self.places + 1):
             last = letters[:, end - 1]
-            running[start] = running[start] * Pieces.BASE + last if end - start > 1 else last
-            found = pieces.find(running[start])
-            if end - start == 1:
-                found[found == pieces.count] = pieces.count + 1  # an unknown character
-            self.pieces[row] = found
+            for start in range(max(0, end - pieces.longest), end):
+                if end - start == 1:
+                    alive, hashes = every, last
+                    found = pieces.find(hashes)
+                    found[found == pieces.count] = pieces.count + 1  # an unknown character
+                    self.spans.append((start, end, slice(None), found))
+                else:
+                    alive, hashes = running[start]
+                    if not len(alive):
+                        continue
+                    hashes = hashes * Pieces.BASE + last[alive]
+                    found = pieces.find(hashes)
+                    hit = np.flatnonzero(found != pieces.count)
+                    if len(hit):
+                        self.spans.append((start, end, alive[hit], found[hit]))
+                # What begins no piece is followed no further.
+                on = pieces.begun[hashes >> np.uint64(42)]
+                running[start] = alive[on], hashes[on]
 
     def forward(self, table: np.ndarray) -> list[np.ndarray]:
         """Sums over all cuts of the first letters, one row per word; ``table`` has a row per piece."""
-        shape = (self.pieces.shape[1], table.shape[1])
+        shape = (self.words, table.shape[1])
         sums = [np.ones(shape)] + [np.zeros(shape) for _ in range(self.places)]
-        for row, (start, end) in enumerate(self.spans):
-            sums[end] += sums[start] * table[self.pieces[row]]
+        for start, end, rows, piece in self.spans:
+            sums[end][rows] += sums[start][rows] * table[piece]
         return sums
 
     def expected(self, table: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected use of every piece, over all cuts of every word, each word ``times``; ``table`` has one column."""
         before = self.forward(table)
-        n = self.pieces.shape[1]
-        after = [np.zeros((n, 1)) for _ in range(self.places)] + [np.ones((n, 1))]
-        use = np.empty(self.pieces.shape)
+        after = [np.zeros((self.words, 1)) for _ in range(self.places)] + [np.ones((self.words, 1))]
+        use = []
         share = times[:, None] / np.maximum(before[-1], SMALL)
-        for row in range(len(self.spans) - 1, -1, -1):
-            start, end = self.spans[row]
-            onward = table[self.pieces[row]] * after[end]
-            after[start] += onward
-            use[row] = (before[start] * onward * share)[:, 0]
-        return np.bincount(self.pieces.ravel(), use.ravel(), len(table))
+        for start, end, rows, piece in reversed(self.spans):
+            onward = table[piece] * after[end][rows]
+            after[start][rows] += onward
+            use.append((before[start][rows] * onward * share[rows])[:, 0])
+        return np.bincount(np.concatenate([piece for *_, piece in reversed(self.spans)]), np.concatenate(use), len(table))
 
 
 def by_length(words: Iterable[str]) -> dict[int, list[str]]:
@@ -231,11 +258,10 @@ def fit(rows: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, smo
     table[n:] = [[0.0], [OTHER / n]]
     for _ in range(rounds if languages else 0):
         counts = expected_counts(words, languages, pieces, table)[:n]
-        total = counts.sum(axis=0) + smoothing * n
-        table[:n] = (counts + smoothing) / total
-        # A language with little text has large floors; one floor for all keeps that from deciding.
-        floor = (smoothing / total).max()
-        table[:n] = np.maximum(table[:n], floor)
+        total = counts.sum(axis=0)
+        # A language with little text has a large floor; one floor for all keeps that from deciding.  Pieces sum to one.
+        floor = (smoothing / (total + smoothing * n)).max()
+        table[:n] = floor + (1 - n * floor) * counts / np.maximum(total, SMALL)
         table[n + 1] = OTHER * floor
     return Model(languages, pieces, table)
 
