@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,3 +52,80 @@ def test_held_out_labels_of_the_table(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     got = od.digest(docs, labels).where("held_out").join(labels, "doc_id").select("selected", "quality").collect()
     assert sum(r.selected == (r.quality == 1) for r in got) / len(got) > 0.9
+
+
+def plain_features(text):
+    """Bucket -> value, feature by feature."""
+    text = text or ""
+    words, tokens = re.findall(r"[^\W\d_]+", text.lower()), text.split()
+    groups = [Counter(), Counter(), Counter()]
+    for word in words:
+        for feature in (word, *(f"{word[:n]}~" for n in (4, 5) if len(word) > n)):
+            groups[0][zlib.crc32(feature.encode())] += 1
+    for token in tokens:
+        shape = token[:48]
+        for run, sign in (("[A-Z]+", "X"), ("[a-z]+", "x"), ("[0-9]+", "9"), (r"[^\W\d_A-Za-z]+", "é")):
+            shape = re.sub(run, sign, shape)
+        groups[1][zlib.crc32(("shape " + shape[:12]).encode())] += 1
+    n, lines = max(1, len(tokens)), text.split("\n")
+    upper = sum(t.isupper() and len(t) > 1 for t in tokens)
+    measures = [("length", math.log2(1 + len(words))), ("shouted", 10 * upper / n), ("distinct", 10 * len(set(tokens)) / n), ("unwordly", 10 * (n - min(n, len(words))) / n), ("lines", 10 * len(set(lines)) / len(lines)), ("long", 2 * math.log2(1 + len(text) / n))]
+    for name, value in measures:
+        groups[2][zlib.crc32(f"{name} {int(value)}".encode())] += 1
+    out = Counter()
+    for group, damp in zip(groups, (math.log1p, math.sqrt, lambda c: c), strict=True):
+        length = math.sqrt(sum(damp(c) ** 2 for c in group.values()))
+        for feature, count in group.items():
+            out[feature % BUCKETS] += damp(count) / (length or 1.0)
+    return out
+
+
+def plain_fit(rows, grades, steps=100, rate=0.3, cost=0.0005):
+    """Cumulative logits by full gradients, document by document; three grades."""
+    slots = {s: k for k, s in enumerate(sorted({s for row in rows for s in row}))}
+    m, n = len(slots), len(rows)
+    share = [sum(g <= k for g in grades) / n for k in (0, 1)]
+    first = [math.log(p / (1 - p)) for p in share]
+    x = np.concatenate([np.zeros(m), [first[0], math.log(max(first[1] - first[0], 1e-2))]])
+    mean, square = np.zeros_like(x), np.zeros_like(x)
+    sigma = lambda z: 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+    for t in range(1, steps + 1):
+        cut = [x[m], x[m] + math.exp(x[m + 1])]
+        gradient = np.concatenate([cost * x[:m], [0.0, 0.0]])
+        for row, grade in zip(rows, grades, strict=True):
+            score = sum(x[slots[s]] * v for s, v in row.items())
+            below = [0.0, sigma(cut[0] - score), sigma(cut[1] - score), 1.0]
+            slope = [b * (1 - b) for b in below]
+            chance = max(below[grade + 1] - below[grade], 1e-12)
+            up, low = slope[grade + 1] / chance / n, slope[grade] / chance / n
+            for s, v in row.items():
+                gradient[slots[s]] += (up - low) * v
+            by_cut = [-(up if grade == k else 0) + (low if grade == k + 1 else 0) for k in (0, 1)]
+            gradient[m] += sum(by_cut)
+            gradient[m + 1] += by_cut[1] * math.exp(x[m + 1])
+        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
+        x -= rate * (1 - (t - 1) / steps) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return {s: x[k] for s, k in slots.items()}, [x[m], x[m] + math.exp(x[m + 1])]
+
+
+def test_query_equals_a_plain_version(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    grade = {}
+    for r in labels.collect():
+        told = 0 if r.quality == 0 else (1 if r.toxic == 1 else 2) if r.quality == 1 else None
+        if told is not None:
+            grade[r.doc_id] = min(told, grade.get(r.doc_id, 2))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sample = {}
+    for key, text in texts.items():
+        if zlib.crc32(str(key).encode()) % 5 and key in grade:
+            sample[text or ""] = min(grade[key], sample.get(text or "", 2))
+    rows = {text: plain_features(text) for text in {*sample, *(t or "" for t in texts.values())}}
+    weights, cut = plain_fit([rows[t] for t in sample], list(sample.values()))
+    got = od.digest(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        score = sum(weights.get(s, 0.0) * v for s, v in rows[texts[r.doc_id] or ""].items())
+        above = [1 / (1 + math.exp(c - score)) for c in cut]
+        assert abs(r.expected_grade - sum(above)) < 0.02 and abs(r.tail_probability - above[0]) < 0.02
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and (r.selected == (above[0] >= 0.5) or abs(above[0] - 0.5) < 0.02)
