@@ -232,7 +232,7 @@ def fit(texts: DataFrame, told: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Cl
 
 def score(df: DataFrame, classifier: Classifier, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add a score from 0 to 1 for each whole text."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")  # words and votes of a batch take several times its bytes
     shipped = df.sparkSession.sparkContext.broadcast(classifier)  # one megabyte of weights, whatever the input
 
     @F.pandas_udf(T.DoubleType())
