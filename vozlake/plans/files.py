@@ -15,11 +15,15 @@ from pyspark.sql import types as T
 from vozlake import schemas as sm
 from vozlake.functions import license as lic
 from vozlake.operators import edits as ed
+from vozlake.operators import frames as fr
 from vozlake.operators import gates
+from vozlake.operators import prosody as pr
 from vozlake.plans import roles
 from vozlake.plans.curation import _OK, _RESEARCH, gated
+from vozlake.plans.evaluation import _RUNS, runs
 from vozlake.plans.registry import query
 from vozlake.plans.roles import using
+from vozlake.plans.speech import pairs
 from vozlake.session import scratch_path
 from vozlake.sinks import exports as ex
 from vozlake.sinks.json_array import read_json_array
@@ -309,5 +313,28 @@ def appended_pairs(t):
 def curation_report(t):
     board = gates.scoreboard(gated(t)).where("speaker <> 'TOTAL'")
     lines = ex.long_report("speakers", board, F.col("speaker"), ["total", "rejected"])
-    ex.write_report(lines, scratch_path(t.spark, "report"))
-    return lines
+    return reread(t, lines)
+
+
+def reread(t, lines):
+    """Report lines as they stand in the written report."""
+    path = scratch_path(t.spark, "report")
+    ex.write_report(lines, path)
+    return ex.read_report(t.spark, path)
+
+
+@query(
+    "written_reports",
+    using("clips", body=f"""WITH {_RUNS}, q AS (SELECT style, sum(dur_s) / 60 AS minutes, count(*) AS takes FROM (SELECT coalesce(style, '-') AS style, dur_s FROM clips) GROUP BY 1)
+        SELECT 'leaderboard' AS section, tag AS key, 'wer' AS metric, round(wer, 4) AS value FROM runs UNION ALL SELECT 'leaderboard', tag, 'clips', clips::DOUBLE FROM runs
+        UNION ALL SELECT 'minutes by style', style, 'minutes', round(minutes, 4) FROM q UNION ALL SELECT 'minutes by style', style, 'takes', takes::DOUBLE FROM q
+        UNION ALL SELECT 'punctuation', 'all', 'clips', count(*)::DOUBLE FROM documents UNION ALL SELECT 'punctuation', 'all', 'changed', count(*) FILTER (a <> b)::DOUBLE FROM
+          (SELECT regexp_replace(text, '\\s', '', 'g') AS a, regexp_replace(CASE WHEN doc_id % 4 = 0 THEN text ELSE regexp_replace(regexp_replace(text, '\\. ', '… ', 'g'), ', ', CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE ', ' END, 'g') END, '\\s', '', 'g') AS b FROM documents)"""),
+)
+def written_reports(t):
+    """Leaderboard, recorded minutes and punctuation, written as one report and read again."""
+    styles = fr.qc_minutes(roles.clips(t)).where("axis = 'style'")
+    marks = pr.punctuation_report(pairs(t))
+    lines = ex.long_report("leaderboard", runs(t), F.col("tag"), ["wer", "clips"])
+    lines = lines.unionByName(ex.long_report("minutes by style", styles, F.col("name"), ["minutes", "takes"]))
+    return reread(t, lines.unionByName(ex.long_report("punctuation", marks, F.lit("all"), ["clips", "changed"])))

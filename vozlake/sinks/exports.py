@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vozlake.functions import text as tx
@@ -52,21 +52,20 @@ def write_conversations(rows: DataFrame, path: str, by: str = "seq") -> None:
 
 
 def write_licensed(manifest: DataFrame, path: str, mode: str = "research") -> dict:
-    """Write a manifest through the licence gate and return what was counted on the way.
+    """Write a manifest through the licence gate and return a report of what was written.
 
     In ``commercial`` mode a row that may not be shipped, in ``research`` mode a row that may not be used at all,
     raises an error and nothing is committed.  Research rows that may not be shipped are marked ``research_only``.
-    The report holds rows, seconds, sources, research_only rows and the least source among these.
+    The report holds rows, seconds, sources, research_only rows and the least source among these.  It is counted
+    on the written table: an observation would leave the session in a state that Spark ML models can't ship.
     """
     marked = assert_licenses(manifest, mode).withColumn("research_only", ~commercial_ok(F.col("license")))
+    marked.write.mode("overwrite").parquet(path)
     only = F.col("research_only")
-    seen = Observation("licences")
-    counted = marked.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.sum("dur_s").alias("seconds"), F.count_if(only).alias("research_only"),
+    return manifest.sparkSession.read.schema(marked.schema).parquet(path).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("dur_s").alias("seconds"), F.count_if(only).alias("research_only"),
         F.min(F.when(only, F.col("source"))).alias("research_only_source"), F.array_sort(F.collect_set("source")).alias("sources"),
-    )
-    counted.write.mode("overwrite").parquet(path)
-    return seen.get
+    ).first().asDict()
 
 
 def append_unseen(rows: DataFrame, path: str, key: str = "path") -> None:
@@ -87,6 +86,14 @@ def long_report(section: str, rows: DataFrame, key: Column, metrics: list[str])
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report lines as text, ordered by section, key and metric."""
-    text = F.concat_ws(" | ", "section", "key", "metric", F.format_number("value", 2))
+    """Report lines as text, ordered by section, key and metric; numbers with four decimals, ``-`` for none."""
+    value = F.when(F.col("value").isNull(), "-").otherwise(F.format_string("%.4f", "value"))
+    text = F.concat_ws(" | ", "section", F.coalesce("key", F.lit("-")), "metric", value)
     lines.orderBy("section", "key", "metric").select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a written report; a key may hold bars."""
+    parts = lambda k: F.regexp_extract("value", r"^(.*?) \| (.*) \| (.*?) \| (\S+)$", k)
+    number = F.when(parts(4) != "-", parts(4).cast("double"))
+    return spark.read.text(path).select(parts(1).alias("section"), parts(2).alias("key"), parts(3).alias("metric"), number.alias("value"))
