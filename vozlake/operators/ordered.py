@@ -304,6 +304,15 @@ def attach(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "lef
     return rows.join(small, list(on), how)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is not to be broadcast.
+
+    The optimizer takes rows made from texts or arrays for no larger than the compressed file they come from, and
+    would send all of them through the driver.  Hot keys are still split by adaptive execution.
+    """
+    return rows.hint("merge")
+
+
 def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
     """Add the values of a one-row table to every row, as literals."""
     row = one.first()
@@ -380,18 +389,19 @@ def salted_join(
     Rows of a hot key get a salt; the matching rows of ``right`` are repeated
     once per salt.  The salt is a hash of ``salt_by``, columns that identify a
     row of ``left``, so a recomputed task repeats it and copies still spread.
+    Neither side is broadcast.
     ``how`` is ``inner`` or ``left``.
     """
     hot = hot_groups(left, on, rows_per_task)
     if not hot:
-        return left.join(right, list(on), how)
+        return left.join(shuffled(right), list(on), how)
     salts = F.least(F.ceil(F.col("__n") / F.lit(rows_per_task)), F.lit(MOST_SLICES)).cast("int")
     spread = F.broadcast(hot_frame(left, on, hot).select(*on, salts.alias("__salts")))
     pick = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("__salts").cast("long")).cast("int"), F.lit(0))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
     salted = left.join(spread, list(on), "left").withColumn("__salt", pick).drop("__salts")
     copied = right.join(spread, list(on), "left").withColumn("__salt", copies).drop("__salts")
-    return salted.join(copied, [*on, "__salt"], how).drop("__salt")
+    return salted.join(shuffled(copied), [*on, "__salt"], how).drop("__salt")
 
 
 def nest(df: DataFrame, keys: Sequence[str], by: Column | str, item: Column, out: str, ties: Sequence[str] = ()) -> DataFrame:
