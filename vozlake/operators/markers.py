@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vozlake.operators.ordered import ROWS_PER_TASK, nest, salted_join
+from vozlake.operators.ordered import ROWS_PER_TASK, nest, salted_join, shuffled
 from vozlake.operators.ratings import severity
 from vozlake.session import materialize
 
@@ -41,7 +41,7 @@ def expected_phone(markers: DataFrame, phones: DataFrame, clip: str = "clip_id",
     pairs = overlapping(markers, phones, clip, rows_per_task=rows_per_task)
     best = F.max_by(F.struct("phone", "grapheme", "confidence"), F.struct("overlap", -F.col("start")))
     found = pairs.groupBy(clip, "marker").agg(best.alias("__best"))
-    out = markers.join(found, [clip, "marker"], "left")
+    out = markers.join(shuffled(found), [clip, "marker"], "left")
     return out.select(
         *markers.columns, F.col("__best.phone").alias("expected_phoneme"), F.col("__best.grapheme").alias("expected_grapheme"), F.col("__best.confidence").alias("confidence")
     )
@@ -67,7 +67,7 @@ def enrich(
         F.when(known, F.round(score if score is not None else F.lit(0.5), 3)).alias("gop_score"),
     )
     lists = nest(found, [clip], "marker", item, "enriched")
-    out = good.drop("__bad").join(lists, clip, "left")
+    out = good.drop("__bad").join(shuffled(lists), clip, "left")
     passed = flagged.where("__bad").drop("__bad")
     return out.unionByName(passed, allowMissingColumns=True)
 

@@ -8,7 +8,7 @@ from vozlake.functions import frontend, numbers, phones, tables
 from vozlake.functions import text as tx
 from vozlake.operators import markers as mk
 from vozlake.operators import prosody as pr
-from vozlake.operators.ordered import attach, beside
+from vozlake.operators.ordered import attach, beside, shuffled
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import s_alnum, s_strip, s_tokens, using
@@ -444,7 +444,7 @@ def enriched_records(t):
     kind = "array<struct<t_start:double,t_end:double,tag:string,sev:string,note:string>>"
     one = F.struct("t_start", "t_end", "tag", "sev", "note")
     lists = timed_markers(t).groupBy("clip_id").agg(F.sort_array(F.collect_list(one)).alias("markers"))
-    records = roles.turns(t).select(F.col("turn_id").alias("clip_id")).join(lists, "clip_id", "left").withColumn("markers", F.coalesce("markers", F.array().cast(kind)))
+    records = roles.turns(t).select(F.col("turn_id").alias("clip_id")).join(shuffled(lists), "clip_id", "left").withColumn("markers", F.coalesce("markers", F.array().cast(kind)))
     got = mk.enrich(records, timeline(t))
     return got.select("clip_id", F.size("markers").alias("markers"), F.size(F.filter(F.coalesce("enriched", F.array().cast(dict(got.dtypes)["enriched"])), lambda m: m["expected_phoneme"].isNotNull())).alias("enriched"))
 
