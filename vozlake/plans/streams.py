@@ -15,8 +15,14 @@ from vozlake.session import scratch_path
 from vozlake.streaming import jobs
 
 
+def table_stream(t, name: str, files: int | None = None):
+    """A table as a stream, be it one file or a folder of files: a pattern may stand for either, a plain path for a folder alone."""
+    path = t.path(name)
+    return jobs.file_stream(t.spark, f"{path[:-1]}[{path[-1]}]", t.read(name).schema, files=files)
+
+
 def event_stream(t, files: int | None = None):
-    return jobs.file_stream(t.spark, t.folder, t.events.schema, "events.parquet", files)
+    return table_stream(t, "events", files)
 
 
 def clocked(df):
@@ -129,7 +135,7 @@ def streamed_rating_upsert(t):
 @query("streamed_edit_log", "SELECT doc_id AS id, quality = 1 AS keep FROM labels")
 def streamed_edit_log(t):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("keep", T.BooleanType())])
-    raw = jobs.file_stream(t.spark, t.folder, t.labels.schema, "labels.parquet")
+    raw = table_stream(t, "labels")
     final = raw.select(F.col("doc_id").alias("id"), F.lit(2).cast("long").alias("seq"), (F.col("quality") == 1).alias("keep"))
     log = final.unionByName(final.select("id", F.lit(1).cast("long").alias("seq"), (~F.col("keep")).alias("keep")))
     store = jobs.DeltaStore(t.spark, scratch_path(t.spark, "edits"), schema, ["id"], "seq", by_field=False)
@@ -142,7 +148,7 @@ def streamed_edit_log(t):
         (SELECT conv_id, turn, unnest(p) AS s, unnest(range(len(p))) AS k FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?…])\s', '\1' || chr(1), 'g'), chr(1)) AS p FROM conversations))) WHERE s <> ''""",
 )
 def streamed_sentences(t):
-    raw = jobs.file_stream(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
+    raw = table_stream(t, "conversations")
     pieces = raw.select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("k", "piece"), F.size(F.split("text", "(?<= )")).alias("n"))
     chunks = pieces.select("conv_id", (F.col("turn") * roles.TURNS + F.col("k")).alias("pos"), "piece", (F.col("k") == F.col("n") - 1).alias("last"))
     out = scratch_path(t.spark, "sentences")
