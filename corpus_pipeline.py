@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vozlake
-from vozlake.llm import copies, decontaminate, raking, secrets, toxicity
+from vozlake.llm import copies, decontaminate, raking, secrets, simhash, toxicity
 from vozlake.llm.common import materialize
 from vozlake.llm.queries import read
 
@@ -31,10 +31,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 of 5-word shingles) stays, the one with the smallest id.
+    """One document of each group of near copies stays, the one with the smallest id.
 
+    op4's tree links fingerprints (of 5-word shingles) at 2 or fewer differing bits.  They are tighter than a
+    similarity, so pairs of a Jaccard similarity of 0.8 or more, found by minimum hashes and decided by the whole
+    shingle sets, are linked as well; groups are the components of both kinds of links.
     Texts without words are one group; of repeated rows one stays, of one id with two texts both do."""
-    return copies.deduplicate(docs)
+    return copies.deduplicate(docs, linked=simhash.groups(docs, shingle=copies.SHINGLE))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

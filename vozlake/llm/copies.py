@@ -7,7 +7,8 @@
 4. Buckets whose nodes are still in several components are compared from within: each node outside the
    bucket's largest component with every node of another component.  Nodes travel with their sets in slices of
    bounded size; a task holds two slices and returns links that join components, not pairs.
-5. Components come from ``simhash.components``.
+5. Links from elsewhere may join them (``linked``: the pipeline passes the groups of op4's tree over fingerprints).
+6. Components come from ``simhash.components``.
 
 Pairs whose sets differ too much in size are never compared.
 
@@ -189,8 +190,20 @@ def find_links(buckets: DataFrame, sets: DataFrame, **slices: int) -> DataFrame:
     return first.unionAll(links_inside(buckets, sets, labels, **slices))
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, **slices: int) -> DataFrame:
-    """(id, text_hash, root) for each row of ``docs``; equal roots make a group."""
+def links_given(prints: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links (a, b) between the first node of each group of ``linked`` (id, text_hash, root) and its other nodes."""
+    own = prints.select("id", "text_hash", "node").distinct().alias("p")
+    named = linked.select("id", "text_hash", F.col("root").alias("group")).distinct().alias("l")
+    same = F.col("p.id").eqNullSafe(F.col("l.id")) & (F.col("p.text_hash") == F.col("l.text_hash"))
+    placed = materialize(own.join(named, same).select("group", "node").distinct(), "given")
+    lows = placed.groupBy("group").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return placed.join(lows, "group").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, linked: DataFrame | None = None, **slices: int) -> DataFrame:
+    """(id, text_hash, root) for each row of ``docs``; equal roots make a group.
+
+    Rows (id, text_hash, root) of ``linked`` with equal roots are in one group, too."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), body.alias("body"), F.xxhash64(body).alias("text_hash"))
     prints = materialize(with_sets(own, "body", shingle).select("id", "text_hash", "s.node", "s.size", "s.keys"), "prints")
@@ -207,7 +220,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     wanted = wanted.select("node", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     texts = own.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select("node", "body")
     sets = materialize(texts.dropDuplicates(["node"]).select("node", hashes("body").alias("hashes")), "sets")
-    labels = simhash.components(find_links(buckets, sets, **slices))
+    links = find_links(buckets, sets, **slices)
+    if linked is not None:
+        links = links.unionAll(links_given(prints, linked))
+    labels = simhash.components(links)
     rooted = prints.select("id", "text_hash", "node").join(labels, F.col("node") == F.col("fp"), "left")
     return rooted.select("id", "text_hash", F.coalesce("root", "node").alias("root"))
 
