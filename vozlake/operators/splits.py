@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vozlake.functions import license as lic
-from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, beside, hash_bottom, rank_by_text
+from vozlake.operators.ordered import ROWS_PER_TASK, Ordered, attach, beside, hash_bottom, pick_ranks, rank_by_text
 
 HOLDOUT_SEED, MIX_SEED = "777", "42"
 
@@ -172,9 +172,23 @@ def shuffled_order(rows: DataFrame, key: str = "audio", seed: str = MIX_SEED) ->
     return rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("source"), F.col(key))))
 
 
+def first_rows(df: DataFrame, by: str, n: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The first ``n`` rows in the order of the number ``by`` (nulls first; of equal ones any).
+
+    The number at the cut is found on counts of equal numbers; of the rows only those that have it are ordered."""
+    rows = df.withColumn("__v", F.coalesce(F.col(by).cast("double"), F.lit(float("-inf"))))
+    cut = pick_ranks(rows, [], F.col("__v"), {"__cut": lambda size: F.least(F.lit(n).cast("long"), size)}, rows_per_task).select("__cut").first()
+    if cut is None or cut["__cut"] is None:
+        return df.limit(0)
+    below, at = rows.where(F.col("__v") < F.lit(cut["__cut"])), rows.where(F.col("__v") == F.lit(cut["__cut"]))
+    rest = n - below.count()
+    ties = Ordered(at, [], "__v", rows_per_task=rows_per_task).row_number("__rn").df.where(F.col("__rn") <= rest).drop("__rn")
+    return below.unionByName(ties).drop("__v")
+
+
 def half_half(first: DataFrame, second: DataFrame, clips: int, by: str = "seq", names: tuple[str, str] = ("first", "second"), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The first ``clips // 2`` rows of each of two corpora (ordered by ``by``), unified, in a seeded shuffle order (``mix_key``)."""
-    head = lambda df: Ordered(df, [], by, rows_per_task=rows_per_task).row_number("__rn").df.where(F.col("__rn") <= clips // 2).drop("__rn", by)
+    head = lambda df: first_rows(df, by, clips // 2, rows_per_task).drop(by)
     return shuffled_order(unify({names[0]: head(first), names[1]: head(second)}))
 
 
