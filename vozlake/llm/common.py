@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vozlake.session import materialize
+from vozlake.session import bounded_batches, materialize
 
 __all__ = ["ascii_lower", "bounded_batches", "in_fold", "materialize", "only", "unused"]
 
@@ -38,8 +38,3 @@ def unused(df: DataFrame, stem: str) -> str:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """These columns alone, quoted, so that dots in other names do no harm."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bound the Arrow batches that Python workers receive by bytes, not by rows alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vozlake.functions import wer as w
 from vozlake.operators.ordered import ROWS_PER_TASK, beside, linear, quantiles
-from vozlake.session import materialize
+from vozlake.session import bounded_batches, materialize
 
 
 def score(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", training: bool = False) -> DataFrame:
@@ -34,7 +34,10 @@ def wer_summary(scored: DataFrame, keys: list[str] | None = None, cap: float | N
 
 
 def operations(rows: DataFrame, keep: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """One row per alignment operation (pos, op, ref, hyp); empty texts give none."""
+    """One row per alignment operation (pos, op, ref, hyp); empty texts give none.
+
+    Python workers get small batches: a pair of words grows many times as three lists of operations."""
+    bounded_batches(rows.sparkSession, "1m")
     usable = rows.where((F.coalesce(F.col(ref), F.lit("")) != "") & (F.coalesce(F.col(hyp), F.lit("")) != ""))
     ops = usable.select(*keep, F.posexplode(w.alignment(F.col(ref), F.col(hyp))).alias("pos", "o"))
     return ops.select(*keep, "pos", "o.op", "o.ref", "o.hyp")
