@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from vozlake.session import bounded_batches
+
 FORMAT = "vozlake_json_array"
 SEPARATOR = b",\n"
 
@@ -92,6 +94,7 @@ def write_json_array(rows: DataFrame, item: Column, path: str, by: list[str]) ->
 
     ``path`` must be a folder that driver and executors share."""
     rows.sparkSession.dataSource.register(ArraySource)
+    bounded_batches(rows.sparkSession, "4m")
     lines = rows.select(*by, F.to_json(item).alias("value"))
     order = list(dict.fromkeys([*by, "value"]))
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
