@@ -94,6 +94,29 @@ def _replaced(pieces: Column, chosen: Column) -> Column:
     return F.concat(F.array_join(F.transform(chosen, part), ""), F.array_join(F.slice(pieces, rest + 1, F.size(pieces) - rest), ""))
 
 
+def _windows(texts: DataFrame, sizes: list[int], begins: list[bool]) -> DataFrame:
+    """The windows (__d, pos, size, word) of ``texts`` (__d, pieces) that ``_window`` lets stand, as rows.
+
+    Words and marks take turns, so a place says which of them it is.  ``begins`` has true if entries begin with a word
+    and false if some begin with a mark; windows that begin otherwise are left out."""
+    shown = [F.col("pieces"), *[F.slice("pieces", k + 1, F.size("pieces")) for k in range(1, max(sizes))]]
+    zipped = F.arrays_zip(F.sequence(F.lit(0), F.size("pieces") - 1).alias("pos"), *[c.alias(f"p{k}") for k, c in enumerate(shown)])
+    first = F.when(F.get("pieces", F.lit(0)).rlike(f"^{_WORD}"), 0).otherwise(1)
+    counted = texts.select("__d", "pieces", F.size("pieces").alias("__n"), first.alias("__first"))
+    rows = counted.select("__d", "__n", "__first", F.inline_outer(zipped))
+    is_word = lambda k: k % 2 == F.col("__first")
+    rows = rows.where(is_word(F.col("pos")).isin(begins))
+
+    def window(n: int) -> Column:
+        end = F.col("pos") + n
+        left, right = is_word(F.col("pos")) | (F.col("pos") > 0), is_word(end - 1) | (end < F.col("__n"))
+        word = F.when((end <= F.col("__n")) & left & right, F.lower(F.concat(*[F.col(f"p{k}") for k in range(n)])))
+        return F.struct(F.lit(n).alias("size"), word.alias("word"))
+
+    each = rows.select("__d", "pos", F.explode_outer(F.array(*[window(n) for n in sizes])).alias("w"))
+    return each.select("__d", "pos", "w.size", "w.word").where("word is not null")
+
+
 def found_entries(texts: DataFrame, entries: DataFrame, text: str = "text", literal_limit: int = LITERAL_LIMIT) -> DataFrame:
     """Add ``pieces`` of each text and ``chosen``: the places (pos, size, phones) that lexicon entries take.
 
@@ -121,14 +144,15 @@ def found_entries(texts: DataFrame, entries: DataFrame, text: str = "text", lite
         candidates = F.when(F.size("pieces") > 0, F.filter(F.transform(places, longest), lambda c: c.isNotNull())).otherwise(F.array().cast(_CANDIDATES))
         return cut.withColumn("candidates", candidates.cast(_CANDIDATES)).withColumn("chosen", _choose(F.col("candidates"))).drop("candidates")
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    own = cut.select(digest.alias("__d"), "pieces").dropDuplicates(["__d"]).where(F.size("pieces") > 0)
-    windows = lambda at: F.array(*[F.struct(at.alias("pos"), F.lit(n).alias("size"), _window(F.col("pieces"), at, n).alias("word")) for n in sizes])
-    each = own.select("__d", F.explode(F.flatten(F.transform(places, windows))).alias("w")).select("__d", "w.*").where("word is not null")
+    # Texts move, not their pieces, which take many times the room.
+    own = texts.select(digest.alias("__d"), F.col(text).alias("__t")).where(F.length("__t") > 0).dropDuplicates(["__d"])
+    own = own.select("__d", pieces_of(F.col("__t")).alias("pieces"))
+    each = _windows(own, sizes, [r["w"] for r in table.select(F.col("word").rlike(f"^{_WORD}").alias("w")).distinct().collect()])
     best = each.join(table.select("word", "phones"), "word").groupBy("__d", "pos").agg(F.max(F.struct("size", "phones")).alias("b"))
     lists = best.groupBy("__d").agg(F.array_sort(F.collect_list(F.struct("pos", "b.size", "b.phones"))).cast(_CANDIDATES).alias("candidates"))
     chosen = lists.select("__d", _choose(F.col("candidates")).alias("chosen"))
-    joined = cut.withColumn("__d", digest).join(chosen, "__d", "left").drop("__d")
-    return joined.withColumn("chosen", F.coalesce("chosen", F.array().cast(_CANDIDATES)))
+    joined = texts.withColumn("__d", digest).join(chosen, "__d", "left").drop("__d")
+    return joined.withColumn("pieces", pieces_of(F.coalesce(F.col(text), F.lit("")))).withColumn("chosen", F.coalesce("chosen", F.array().cast(_CANDIDATES)))
 
 
 def replaced_text(text: Column) -> Column:
