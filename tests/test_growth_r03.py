@@ -17,6 +17,16 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_phones_of_texts_move_texts_alone(spark):
+    df = spark.createDataFrame([(1, "Chave, chave - carro"), (2, None), (3, ""), (4, "quem  bom!")], "doc_id long, text string")
+    got = ph.text_phones(df)
+    assert "Join" not in plan(got) and "Sort" not in plan(got)
+    speller = ph.Speller()
+    for r in got.collect():
+        words = ["chave", "chave", "carro"] if r.doc_id == 1 else ["quem", "bom"] if r.doc_id == 4 else []
+        assert r.phones == [p for w in words for p in speller.word(w)]
+
+
 def test_windows_of_large_lexicons(spark):
     texts = spark.createDataFrame([(1, "A b, c d"), (2, "- a b -"), (3, "x"), (4, "!?"), (5, "a b a b a")], "__d long, text string").withColumn("pieces", fe.pieces_of(F.col("text")))
     places = F.explode(F.sequence(F.lit(0), F.size("pieces") - 1)).alias("pos")

@@ -137,20 +137,28 @@ def transitions(edges: bool = True) -> Table:
 
 def spelled(word: Column, edges_match: bool = True) -> Column:
     """Phones of a word, separated by blanks."""
-    table = transitions(edges_match)
+    table, end = transitions(edges_match), len(LETTERS) + 1
+    row = end * table.nexts * table.seconds
     # One literal each, folded once; an array of thousands of literals would be walked by every rule of the optimizer.
-    states, phones, next_of, second_of = (F.split(F.lit(",".join(map(str, x))), ",").cast(kind) for x, kind in zip(table[:4], ("array<int>", "array<string>", "array<int>", "array<int>"), strict=True))
-    kind = lambda of, code: F.get(of, F.coalesce(code, F.lit(len(LETTERS) + 1)))
+    literal = lambda items, kind: F.split(F.lit(",".join(map(str, items))), ",").cast(kind)
+    # The last cell stands for the time before the first letter.
+    begins = literal([state * row for state in [*table.states, START]], "array<int>")
+    said = literal([f" {p}" if p else "" for p in [*table.phones, ""]], "array<string>")
+    # What a letter, the next and the second next one add to the number of a cell.
+    own = literal([code * table.nexts * table.seconds for code in range(end)], "array<int>")
+    after, second = literal([kind * table.seconds for kind in table.next_of], "array<int>"), literal(table.second_of, "array<int>")
 
     def walk(codes: Column) -> Column:
-        def read(done: Column, k: Column) -> Column:
-            cell = table.cell(done["state"], F.get(codes, k), kind(next_of, F.get(codes, k + 1)), kind(second_of, F.get(codes, k + 2)))
-            return let(cell, lambda c: F.struct(F.get(states, c).alias("state"), F.concat(done["out"], F.lit(" "), F.get(phones, c)).alias("out")))
+        places = F.transform(F.slice(codes, 1, F.size(codes) - 2), lambda c, k: F.get(own, c) + F.get(after, F.get(codes, k + 1)) + F.get(second, F.get(codes, k + 2)))
+        # The state is a cell: where the next one is looked for, and what is said when the walk goes on.
+        empty = F.struct(F.lit(len(table.states)).alias("cell"), F.lit("").alias("out"))
 
-        empty = F.struct(F.lit(START).alias("state"), F.lit("").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), empty, read, lambda done: F.trim(F.regexp_replace(done["out"], " +", " ")))
+        def read(done: Column, place: Column) -> Column:
+            return F.struct((F.get(begins, done["cell"]) + place).alias("cell"), F.concat(done["out"], F.get(said, done["cell"])).alias("out"))
 
-    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(LETTERS), c))
+        return F.aggregate(places, empty, read, lambda done: F.trim(F.concat(done["out"], F.get(said, done["cell"]))))
+
+    codes = F.concat(F.transform(F.split(word, ""), lambda c: F.instr(F.lit(LETTERS), c)), F.array(F.lit(end), F.lit(end)))
     return F.when(F.length(word) > 0, let(codes, walk)).when(word.isNotNull(), F.lit(""))
 
 
@@ -177,7 +185,7 @@ def text_words(text: Column) -> Column:
 
 
 def _listed(phones: Column) -> Column:
-    return F.filter(F.split(phones, " "), lambda p: p != "")
+    return F.array_remove(F.split(phones, " "), "")
 
 
 def word_table(texts: DataFrame, text: str = "text", edges_match: bool = True) -> DataFrame:
@@ -187,12 +195,7 @@ def word_table(texts: DataFrame, text: str = "text", edges_match: bool = True) -
 
 
 def text_phones(texts: DataFrame, text: str = "text", out: str = "phones", edges_match: bool = True) -> DataFrame:
-    """Add the phones of each text.  A word is read once for the whole corpus, and a repeated text is put together once."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    own = texts.select(digest.alias("__d"), F.col(text).alias("__t")).dropDuplicates(["__d"])
-    each = own.select("__d", F.posexplode(text_words(F.col("__t"))).alias("__pos", "__w"))
-    read = each.groupBy("__w").agg(F.count(F.lit(1)).alias("__n")).select("__w", _listed(spelled(F.col("__w"), edges_match)).alias("__p"))
-    entries = F.array_sort(F.collect_list(F.struct("__pos", "__p")))
-    joined = each.join(read, "__w").groupBy("__d").agg(F.flatten(F.transform(entries, lambda e: e["__p"])).alias(out))
-    rows = texts.drop(out).withColumn("__d", digest).join(joined, "__d", "left").drop("__d")
-    return rows.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    """Add the phones of each text.  Every word is read where its text lies: texts are dealt out once, no row is made per word."""
+    read = F.transform(text_words(F.col(text)), lambda w: spelled(w, edges_match))
+    rows = texts.drop(out)
+    return rows.repartition(F.xxhash64(*rows.columns)).withColumn(out, _listed(F.array_join(read, " ")))

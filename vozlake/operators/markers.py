@@ -94,7 +94,8 @@ def greedy_coverage(sentences: DataFrame, inventory: list[str], by: str = "seq",
         raise ValueError("an inventory of more than 63 phones doesn't fit a mask")
     bit = {p: i for i, p in enumerate(inventory)}
     lookup = F.create_map(*[x for p, i in bit.items() for x in (F.lit(p), F.lit(1 << i).cast("long"))])
-    mask = F.aggregate("phones", F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.coalesce(F.try_element_at(lookup, p), F.lit(0).cast("long"))))
+    # A phone counts once, however often a text has it.
+    mask = F.aggregate(F.array_distinct("phones"), F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.coalesce(F.try_element_at(lookup, p), F.lit(0).cast("long"))))
     masked = sentences.withColumn("__mask", mask)
     sets = materialize(masked.groupBy("__mask").agg(F.min(F.col(by)).alias("__first")), "phone-sets")
     chosen: list[tuple[int, int, int]] = []
