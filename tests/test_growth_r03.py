@@ -17,6 +17,25 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(4000).select((F.col("id") % 40).alias("k"), F.col("id").alias("i"))
+    monkeypatch.setattr(ordered, "ROWS_PER_PARTITION", 100)
+    dealt = ordered.Ordered(rows, ["k"], "i").row_number("n", total="of").df
+    assert dealt.rdd.getNumPartitions() >= 40 and dealt.where("n = (i - k) / 40 + 1 and of = 100").count() == 4000
+    hot = ordered.Ordered(rows, ["k"], "i", rows_per_task=30).row_number("n", total="of").df
+    assert hot.rdd.getNumPartitions() >= 40 and hot.where("n = (i - k) / 40 + 1 and of = 100").count() == 4000
+
+
+def test_frames_dealt_out_give_the_same_rows(spark, monkeypatch):
+    dice = random.Random(5)
+    kept = [(k, i, i * 0.01, float(dice.choice([20, 20, 60, 62, 64])), dice.random() < 0.7) for k in [None, 1, 2, 3] for i in range(300)]
+    df = spark.createDataFrame(kept, "clip_id long, i long, t double, db double, voiced boolean")
+    both = lambda: (sorted(map(repr, fr.silent_pauses(df, 0.01, 25.0, 0.02, 0.02).collect())), sorted(map(repr, fr.syllable_nuclei(df).collect())))
+    whole = both()
+    monkeypatch.setattr(ordered, "ROWS_PER_PARTITION", 50)
+    assert both() == whole and len(whole[1]) > 20
+
+
 def test_phones_of_texts_move_texts_alone(spark):
     df = spark.createDataFrame([(1, "Chave, chave - carro"), (2, None), (3, ""), (4, "quem  bom!")], "doc_id long, text string")
     got = ph.text_phones(df)

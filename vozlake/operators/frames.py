@@ -159,13 +159,13 @@ def syllable_nuclei(frames: DataFrame, clip: str = "clip_id", rows_per_task: int
     next to the frames and ordered twice.
     """
     tops = frames.where(~F.isnan("db")).groupBy(clip).agg(F.max("db").alias("__top"))
-    o = Ordered(attach(frames, tops, [clip]), [clip], "i", rows_per_task=rows_per_task).lag("__a", "db").lead("__b", "db")
+    o = Ordered(frames, [clip], "i", rows_per_task=rows_per_task).attach(tops).lag("__a", "db").lead("__b", "db")
     peak = (F.col("db") > F.col("__top") - 4.0) & (F.col("db") >= F.col("__a")) & (F.col("db") > F.col("__b"))
     found = materialize(o.df.where(peak).select(clip, "i", "t", "voiced"), "peaks")
     chain = Ordered(found, [clip], "i", rows_per_task=rows_per_task).lag("__p", "i")
     new = F.col("__p").isNull() | (F.col("i") - F.col("__p") >= 3)
     rows = chain.cumsum("__chain", F.when(new, 1).otherwise(0)).df
-    counted = Ordered(rows, [clip, "__chain"], "i", rows_per_task=rows_per_task).row_number("__k").df
+    counted = Ordered(rows, [clip, "__chain"], "i", rows_per_task=rows_per_task, placed=True).row_number("__k").df
     return counted.where((F.col("__k") % 2 == 1) & F.col("voiced")).select(clip, "i", "t")
 
 
@@ -186,17 +186,18 @@ def silent_pauses(
 ) -> DataFrame:
     """Number of silent intervals per clip: short sounds join the silence around them, then short silences drop."""
     tops = frames.groupBy(clip).agg(F.max("db").alias("__top"))
-    rows = attach(frames, tops, [clip]).withColumn("silent", F.col("db") < F.col("__top") - below_db).drop("__top")
+    frames_ = Ordered(frames, [clip], "i", rows_per_task=rows_per_task).attach(tops)
+    marked = frames_.with_column("silent", F.col("db") < F.col("__top") - below_db).drop("__top").with_column("n", F.lit(1))
 
-    def runs(table: DataFrame) -> DataFrame:
-        o = Ordered(table, [clip], "i", rows_per_task=rows_per_task).lag("__was", "silent")
+    def runs(o: Ordered) -> DataFrame:
+        o = o.lag("__was", "silent")
         new = F.col("__was").isNull() | (F.col("silent") != F.col("__was"))
         numbered = o.cumsum("__run", F.when(new, 1).otherwise(0)).df
         return numbered.groupBy(clip, "__run").agg(F.min("i").alias("i"), F.sum("n").alias("n"), F.first("silent").alias("silent")).drop("__run")
 
-    first = materialize(runs(rows.withColumn("n", F.lit(1))), "runs")
+    first = materialize(runs(marked), "runs")
     long_enough = F.col("n") * F.lit(hop_s) >= min_sounding_s
-    merged = runs(first.withColumn("silent", F.col("silent") | ~long_enough))
+    merged = runs(Ordered(first.withColumn("silent", F.col("silent") | ~long_enough), [clip], "i", rows_per_task=rows_per_task))
     pauses = F.count_if(F.col("silent") & (F.col("n") * F.lit(hop_s) >= min_silent_s))
     return merged.groupBy(clip).agg(pauses.alias("pauses"))
 

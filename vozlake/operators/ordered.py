@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from vozlake.session import materialize
 
 ROWS_PER_TASK = 2_000_000
+#: Rows that one partition of an ordered table holds on average; larger tables get more partitions, not larger ones.
+ROWS_PER_PARTITION = 500_000
 #: Slices of one group, and copies of one row in a salted join, at most; beyond that slices grow.
 MOST_SLICES = 1 << 16
 _BY, _SLICE = "__o_by", "__o_slice"
@@ -37,11 +39,18 @@ def hot_groups(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER
 
     There are at most rows / ``rows_per_task`` of them, so few keys reach the driver.
     """
+    return counted_groups(df, keys, rows_per_task)[0]
+
+
+def counted_groups(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> tuple[list[tuple[tuple, int]], int]:
+    """``hot_groups``, and the number of all rows, from one pass."""
     if not keys:
         n = df.count()
-        return [((), n)] if n > rows_per_task else []
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task).collect()
-    return [(tuple(r[k] for k in keys), r["__n"]) for r in large]
+        return ([((), n)] if n > rows_per_task else []), n
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = F.collect_list(F.when(F.col("__n") > rows_per_task, F.struct(*keys, "__n")))
+    found = sizes.agg(large.alias("large"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
+    return [(tuple(r[k] for k in keys), r["__n"]) for r in found["large"]], found["rows"]
 
 
 def hot_frame(df: DataFrame, keys: Sequence[str], hot: list[tuple[tuple, int]]) -> DataFrame:
@@ -55,6 +64,8 @@ class Ordered:
 
     ``by`` is a numeric column expression without nulls; ``ties`` make the order
     total.  Methods add columns and return a new ``Ordered``; ``.df`` is the result.
+    The number of partitions follows the number of rows, so that a task's memory does not grow with the table;
+    ``placed`` says that an ``Ordered`` over some of the keys has dealt the rows already.
     """
 
     def __init__(
@@ -64,15 +75,20 @@ class Ordered:
         by: Column | str,
         ties: Sequence[str] = (),
         rows_per_task: int = ROWS_PER_TASK,
+        placed: bool = False,
     ):
         by = F.col(by) if isinstance(by, str) else by
         self.keys = list(keys)
         self.ties = list(ties)
         self._rows = df.withColumn(_BY, by.cast("double"))
-        hot = hot_groups(df, self.keys, rows_per_task)
+        hot, n = counted_groups(df, self.keys, rows_per_task)
         self.split = bool(hot)
         if self.split:
             self._rows = self._cut(self._rows, hot, rows_per_task)
+        parts = [*self.keys, _SLICE] if self.split else self.keys
+        if parts and n > ROWS_PER_PARTITION and (self.split or not placed):
+            many = max(-(-n // ROWS_PER_PARTITION), df.sparkSession.sparkContext.defaultParallelism)
+            self._rows = self._rows.repartition(many, *parts)
 
     def _cut(self, rows: DataFrame, hot: list[tuple[tuple, int]], rows_per_task: int) -> DataFrame:
         """Add the slice number; rows of small groups get slice -1."""
@@ -136,6 +152,10 @@ class Ordered:
     def select(self, *cols) -> DataFrame:
         return self.df.select(*cols)
 
+    def attach(self, small: DataFrame) -> "Ordered":
+        """Add the columns of a table with one row for each group."""
+        return self._with(attach(self._rows, small, self.keys))
+
     def with_column(self, name: str, value: Column) -> "Ordered":
         return self._with(self._rows.withColumn(name, value))
 
