@@ -67,3 +67,33 @@ def test_texts_are_compared_before_they_are_cut(spark):
     below = [line for line in moved.splitlines() if "Exchange" in line or "Aggregate" in line]
     assert below and not any("first(pieces" in line for line in below)
     assert sorted((r.doc_id, [c.phones for c in r.chosen]) for r in found.collect()) == [(1, ["x", "y"]), (2, ["x", "y"]), (3, []), (4, [])]
+
+
+def test_short_sessions_are_not_grouped(monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("a grouping for one session")
+
+    monkeypatch.setattr(pd.DataFrame, "groupby", refuse)
+    rules = TurnRules(endpoint_ms=96, short_ms=64, min_turn_ms=64)
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def exists(self):
+            return self.kept is not None
+
+        def update(self, value):
+            self.kept = value
+
+    processor = TurnProcessor(rules, ["mark_playing", "mark_strong", "mark_speech", "mark_likely"], ["i"], None)
+    processor.value = Value()
+    speech = [True] * 5 + [False] * 4 + [True] * 3 + [False] * 9
+    rows = pd.DataFrame({"i": range(len(speech)), "mark_playing": False, "mark_strong": False, "mark_speech": speech, "mark_likely": False})
+    got = [tuple(r)[1:] for part in (rows[9:0:-1], rows[10:]) for r in next(iter(processor.handleInputRows((7,), iter([part]), None))).itertuples(index=False)]
+    listener, want = Listener(), []
+    for first, n, on in ((1, 4, True), (5, 4, False), (9, 1, True), (10, 2, True), (12, 9, False)):
+        want.append(listener.hear(rules, Run(first, n, False, False, on, False)))
+    assert got == [w for w in want if w] and len(got) == 2

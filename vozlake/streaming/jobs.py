@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,12 +242,14 @@ class TurnProcessor(Kept):
         self.rules, self.names, self.order = rules, names, order
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        listener = Listener(*self.value.get()) if self.value.exists() else Listener()
+        listener = Listener(*(self.value.get() or ()))
         clock = [] if self.idle is None else ["ts"]
         frames = in_order(rows, dict.fromkeys(["i", *self.order, *self.names, *clock]), self.order)
-        new = (frames[self.names] != frames[self.names].shift()).any(axis=1) | (frames["i"] != frames["i"].shift() + 1)
-        runs = frames.groupby(new.cumsum()).agg(first=("i", "min"), n=("i", "size"), **{c: (c, "first") for c in self.names})
-        heard = (listener.hear(self.rules, Run(*(int(x) for x in r[:2]), *(bool(x) for x in r[2:]))) for r in runs.itertuples(index=False, name=None))
+        # Plain arrays: sessions are many and short, and a grouping costs more than all else that is done for one.
+        i, marked = frames["i"].to_numpy(), frames[self.names].to_numpy(bool)
+        starts = np.flatnonzero(np.r_[True, (marked[1:] != marked[:-1]).any(axis=1) | (i[1:] != i[:-1] + 1)][: len(frames)])
+        lengths = np.diff(np.r_[starts, len(frames)])
+        heard = (listener.hear(self.rules, Run(int(first), n, *flags)) for first, n, flags in zip(i[starts], lengths.tolist(), marked[starts].tolist(), strict=True))
         out = [(key[0], *turn) for turn in heard if turn]
         self.keep((listener.start, listener.kept, listener.voiced, listener.quiet, listener.strong, listener.played, listener.cut), frames)
         yield pd.DataFrame(out, columns=_TURN_OUT.names)
