@@ -22,6 +22,10 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_PER_PARTITION", 100)
     dealt = ordered.Ordered(rows, ["k"], "i").row_number("n", total="of").df
     assert dealt.rdd.getNumPartitions() >= 40 and dealt.where("n = (i - k) / 40 + 1 and of = 100").count() == 4000
+    tops = rows.groupBy("k").agg(F.max("i").alias("top"))
+    for limit in (30, 2000):
+        joined = ordered.Ordered(rows, ["k"], "i", rows_per_task=limit).attach(tops.hint("merge")).row_number("n").df
+        assert joined.rdd.getNumPartitions() >= 40 and joined.where("n = (i - k) / 40 + 1 and top = 3960 + k").count() == 4000
     hot = ordered.Ordered(rows, ["k"], "i", rows_per_task=30).row_number("n", total="of").df
     assert hot.rdd.getNumPartitions() >= 40 and hot.where("n = (i - k) / 40 + 1 and of = 100").count() == 4000
 

@@ -85,10 +85,10 @@ class Ordered:
         self.split = bool(hot)
         if self.split:
             self._rows = self._cut(self._rows, hot, rows_per_task)
-        parts = [*self.keys, _SLICE] if self.split else self.keys
-        if parts and n > ROWS_PER_PARTITION and (self.split or not placed):
-            many = max(-(-n // ROWS_PER_PARTITION), df.sparkSession.sparkContext.defaultParallelism)
-            self._rows = self._rows.repartition(many, *parts)
+        self._many = None
+        if (self.keys or self.split) and n > ROWS_PER_PARTITION and (self.split or not placed):
+            self._many = max(-(-n // ROWS_PER_PARTITION), df.sparkSession.sparkContext.defaultParallelism)
+            self._rows = self._dealt(self._rows)
 
     def _cut(self, rows: DataFrame, hot: list[tuple[tuple, int]], rows_per_task: int) -> DataFrame:
         """Add the slice number; rows of small groups get slice -1."""
@@ -124,9 +124,12 @@ class Ordered:
         ).otherwise(-1)
         return joined.select("r.*", slice_no.alias(_SLICE))
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self._many, *self.keys, *([_SLICE] if self.split else []))
+
     def _with(self, rows: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
-        other.keys, other.ties, other.split, other._rows = self.keys, self.ties, self.split, rows
+        other.keys, other.ties, other.split, other._many, other._rows = self.keys, self.ties, self.split, self._many, rows
         return other
 
     def _order(self) -> list[Column]:
@@ -154,7 +157,11 @@ class Ordered:
 
     def attach(self, small: DataFrame) -> "Ordered":
         """Add the columns of a table with one row for each group."""
-        return self._with(attach(self._rows, small, self.keys))
+        if self._many is None:
+            return self._with(attach(self._rows, small, self.keys))
+        # A join takes the partitions of its other side, if only that one was left to the optimizer.
+        rows = attach(self._rows, small.repartition(self._many, *self.keys), self.keys)
+        return self._with(self._dealt(rows) if self.split else rows)
 
     def with_column(self, name: str, value: Column) -> "Ordered":
         return self._with(self._rows.withColumn(name, value))
