@@ -1,12 +1,15 @@
 """Work that must not grow faster than the tables: partitions follow the rows, texts move and not their words."""
 
+import itertools
 import random
+import threading
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from vozlake.functions import frontend as fe
 from vozlake.functions import phones as ph
+from vozlake.operators import accent
 from vozlake.operators import frames as fr
 from vozlake.operators import ordered
 from vozlake.operators.turns import Listener, Run, TurnRules
@@ -101,3 +104,47 @@ def test_short_sessions_are_not_grouped(monkeypatch):
     for first, n, on in ((1, 4, True), (5, 4, False), (9, 1, True), (10, 2, True), (12, 9, False)):
         want.append(listener.hear(rules, Run(first, n, False, False, on, False)))
     assert got == [w for w in want if w] and len(got) == 2
+
+
+def vowels(spark, speakers, count, seed):
+    dice = random.Random(seed)
+    rows = [(k, k % speakers, dice.choice(["open", "open", "closed"])) for k in range(count)]
+    out = [(k, s, a, (0.5 if a == "open" else -0.5) + dice.gauss(0, 1), dice.gauss(0, 1), dice.gauss(0, 1), dice.gauss(100, 5), dice.gauss(90, 5)) for k, s, a in rows]
+    return spark.createDataFrame(out, "id int, speaker_id int, aperture string, F1_z double, F2_z double, F3_z double, B1_Hz double, duration_ms double")
+
+
+def test_models_are_fitted_side_by_side_on_even_partitions(spark, monkeypatch):
+    monkeypatch.setattr(accent, "ROWS_BEFORE_DEALING", 100, raising=False)
+    sizes, turn, meet, fit = [], itertools.count(), threading.Barrier(2, timeout=60), accent.fit
+
+    def watched(rows, model):
+        if next(turn) < 2:
+            meet.wait()
+        sizes.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(rows, model)
+
+    monkeypatch.setattr(accent, "fit", watched)
+    got = accent.cross_domain(vowels(spark, 3, 600, 1), vowels(spark, 1, 500, 2), "id", folds=2, forest=False).collect()
+    assert [(r.model, r.test) for r in got] == [("LR", test) for test in ("HH", "HtoTTS", "TTStoTTS", "TTStoH")]
+    assert sorted(map(sum, sizes))[-2:] == [500, 600] and len(sizes) == 6
+    for held in sizes:
+        assert max(held) < 1.5 * sum(held) / spark.sparkContext.defaultParallelism
+
+
+def test_scores_over_folds_are_those_of_all_predictions(spark):
+    human, tts = vowels(spark, 5, 300, 3), vowels(spark, 1, 200, 4)
+    got = {r.test: r.macro_f1 for r in accent.cross_domain(human, tts, "id", folds=2, forest=False).collect()}
+    model = accent.models(False)["LR"]
+    h, t = accent.speaker_folds(accent.labelled(human), 2), accent.row_folds(accent.labelled(tts), "id", 2)
+    for test, rows in (("HH", h), ("TTStoTTS", t)):
+        parts = [accent.fit(rows.where(F.col("fold") != k), model).transform(rows.where(F.col("fold") == k)).select("label", "prediction") for k in range(2)]
+        assert abs(got[test] - accent.macro_f1(parts[0].union(parts[1])).first()[0]) < 1e-12
+    assert abs(got["HtoTTS"] - accent.macro_f1(accent.fit(h, model).transform(t)).first()[0]) < 1e-12
+
+
+def test_dealt_rows_are_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(accent, "ROWS_BEFORE_DEALING", 100)
+    rows = accent.row_folds(accent.labelled(vowels(spark, 2, 300, 5).unionByName(vowels(spark, 2, 300, 5))), "id", 3).cache()
+    dealt = accent.evenly(rows, 600)
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, rows.collect()))
+    assert accent.evenly(rows, 100) is rows
