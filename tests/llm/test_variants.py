@@ -98,3 +98,10 @@ def test_near_words_share_a_signature():
             word = "".join(rng.choice("aabcdeéz") for _ in range(rng.randrange(2, 15)))
             a, b = vr.signatures(pd.Series([word, changed(rng, word, "abxyé")]), parts)
             assert (a == b).any()
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    table = spark.createDataFrame([("abcdef", 500), ("abcdeg", 20), ("abcdegh", 5)], "word string, n long")
+    for df in (vr.near_pairs(vr.materialize(table)), vr.group(table)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, vr.near_pairs(table).collect())) == [("abcdef", 500, "abcdeg", 20), ("abcdeg", 20, "abcdegh", 5)]

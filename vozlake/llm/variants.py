@@ -9,7 +9,7 @@ compared letter by letter (edit distance exactly one).
 
 1. Runs of letters are counted over whole texts; a known share of them loses a letter on the way (``damaged``).
 2. Signatures of the counted words are joined by equality, with the comparison inside the join, so that only
-   near pairs come out of it.
+   near pairs come out of it.  No table of words is broadcast, here or below, whatever its size.
 3. A word's form is its most frequent near word if that is ``ratio`` times as frequent.  Frequencies rise by
    that ratio along a chain of forms, so chains are short; following them doubles its reach each round.
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vozlake.llm.common import ascii_lower, bounded_batches, materialize, only
+from vozlake.operators.ordered import shuffled
 
 LETTERS = r"a-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, RATIO, DAMAGED = 6, 5, 5, 199
@@ -89,7 +90,8 @@ def near_pairs(words: DataFrame, parts: int = PARTS, places: int = PLACES) -> Da
     bounded_batches(words.sparkSession)
     keyed = words.select("word", "n", F.explode(signed("word")).alias("signature"))
     other = keyed.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "signature")
-    met = keyed.join(other, "signature").where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+    # The optimizer doesn't count that a word becomes a row for each signature: a table under its limit would be broadcast 21-fold.
+    met = keyed.join(shuffled(other), "signature").where((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     return met.select("word", "n", "other", "other_n").distinct()
 
 
@@ -98,7 +100,7 @@ def roots(forms: DataFrame, hops: int) -> DataFrame:
     reach, found = 1, forms.select("word", F.col("form").alias("root"))
     while reach < hops:
         further = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        found = materialize(found.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        found = materialize(found.join(shuffled(further), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
         reach *= 2
     return found
 
@@ -109,13 +111,13 @@ def group(words: DataFrame, ratio: int = RATIO, parts: int = PARTS) -> DataFrame
     pairs = materialize(near_pairs(words, parts), "near-pairs")
     both = pairs.unionAll(pairs.select("other", "other_n", "word", "n"))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    joined = words.join(best, "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")))
+    joined = words.join(shuffled(best), "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")))
     named = materialize(joined.select("word", "n", F.when(F.col("form_n").isNotNull(), F.col("best.other")).alias("form"), "form_n", F.coalesce("n_near", F.lit(0)).alias("n_near")), "forms")
     most, hops = named.agg(F.max("n")).first()[0] or 0, 0
     while ratio ** (hops + 1) <= most:
         hops += 1
     ends = roots(named.where("form is not null").select("word", "form"), hops)
-    return named.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return named.join(shuffled(ends), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
