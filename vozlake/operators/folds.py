@@ -90,11 +90,12 @@ def cuts(columns: dict[str, np.ndarray], ends: np.ndarray, rule: Rule, begun: tu
     return marked
 
 
-def segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, out: str) -> DataFrame:
+def segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, out: str, placed: bool = False) -> DataFrame:
     """Add the boolean column ``out``: the rows at which the greedy ``rule`` cuts each run (a combination of ``keys``).
 
     Runs are read as a sorted stream.  A task holds one Arrow batch and, for a run that goes on, how its
-    segment began; so a run may be of any length.
+    segment began; so a run may be of any length.  ``placed`` says that a window over some of the keys made ``df``,
+    so that no run lies in two partitions.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
     keys = list(keys)
@@ -123,4 +124,5 @@ def segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule
             key, state = tuple(batch[keys].iloc[-1]), tuple(b[-1] for b in begun)
             yield batch.assign(**{out: marked})
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    rows = df if placed else df.repartition(*keys)
+    return rows.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -229,6 +229,18 @@ class Ordered:
         rows = rows.withColumn(out, F.when(F.col("__o_cut"), F.col("__o_near.v")).otherwise(F.col(out)))
         return self._with(rows.drop("__o_cut", "__o_near"))
 
+    def nth(self, out: str, col: Column | str, n: int) -> "Ordered":
+        """The value of the group's row ``n``, counted from 1, on all its rows; null in shorter groups and where a key is null."""
+        value = F.col(col) if isinstance(col, str) else col
+        if not self.split:
+            whole = self._window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            known = F.lit(True)
+            for k in self.keys:
+                known = known & F.col(k).isNotNull()
+            return self._with(self._rows.withColumn(out, F.when(known, F.nth_value(value, n).over(whole))))
+        numbered = self.row_number("__o_rn")._rows.where(F.col("__o_rn") == n)
+        return self._with(attach(self._rows, shuffled(numbered.select(*self.keys, value.alias(out))), self.keys))
+
     def lags(self, out: str, col: Column | str, depth: int) -> "Ordered":
         """Array of the previous ``depth`` values, oldest first, shorter at the start of a group."""
         value = F.col(col) if isinstance(col, str) else col
@@ -340,6 +352,20 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def clip_partitions(clip: str, rows_per_task: int, *tables: DataFrame) -> int | None:
+    """Into how many partitions tables are ``dealt`` by clip, so that they are shuffled once and joined where they lie;
+    None if one of them has a clip too large for one task."""
+    counts = [counted_groups(t, [clip], rows_per_task) for t in tables]
+    if any(hot for hot, _ in counts):
+        return None
+    return max(-(-max(n for _, n in counts) // ROWS_PER_PARTITION), tables[0].sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, many: int | None, *keys: str) -> DataFrame:
+    """``rows`` by their keys in ``many`` partitions; as they are without a number."""
+    return rows if many is None else rows.repartition(many, *keys)
+
+
 def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
     """Add the values of a one-row table to every row, as literals."""
     row = one.first()

@@ -12,7 +12,7 @@ from vozlake.operators.ordered import attach, beside, shuffled
 from vozlake.plans import roles
 from vozlake.plans.registry import query
 from vozlake.plans.roles import s_alnum, s_strip, s_tokens, using
-from vozlake.session import materialize
+from vozlake.session import materialize, where_dealt
 
 
 def words(t):
@@ -25,7 +25,9 @@ def pitch(t):
 
 def boundaries(t):
     """Marked words; written out, because every reader would otherwise repeat the pitch join."""
-    return materialize(pr.boundaries(words(t), pitch(t)), "boundaries")
+    marked = pr.boundaries(words(t), pitch(t))
+    with where_dealt(t.spark):
+        return materialize(marked, "boundaries")
 
 
 _ST = "12.0::DOUBLE * log2(greatest({}, 1e-6) / 100.0::DOUBLE)"
